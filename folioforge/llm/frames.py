@@ -104,14 +104,19 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end) of ``data``: equal bytes, equal hash, wherever they stand."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> np.ndarray | list[np.ndarray]:
+    """64-bit hashes of the byte spans [start, end) of ``data``: equal bytes, equal hash, wherever they stand.
+
+    With several arrays of ends, the hashes of the spans up to each.
+    """
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * powers(_INVERSE, int(starts.max()) + 1)[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        out = [np.zeros(0, np.uint64) for _ in ends]
+    else:
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=sums[1:])
+        low, back = sums[starts], powers(_INVERSE, int(starts.max()) + 1)[starts]
+        out = [mix((sums[e] - low) * back + (e - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for e in ends]
+    return out if len(ends) > 1 else out[0]
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -120,8 +125,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words between the bytes marked in ``breaks``: their hashes, starts and ends, and for each row the index of its first word (one more at the end)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words between the bytes marked in ``breaks``, and for each row the index of its first word (one more at the end)."""
     n = len(data)
     gap = np.ones(n + 2, bool)
     gap[1:-1] = breaks[data]
@@ -130,5 +135,14 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, breaks: np.
     edge[offsets] = True
     starts = np.flatnonzero(inner[1:-1] & (gap[:-2] | edge[:-1]))
     ends = np.flatnonzero(inner[1:-1] & (gap[2:] | edge[1:])) + 1
-    hashes = span_hashes(_LOWER[data] if lower else data, starts, ends)
-    return hashes, starts, ends, np.searchsorted(starts, offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the words, and ``word_spans``."""
+    starts, ends, first = word_spans(data, offsets, breaks)
+    return span_hashes(lowered(data) if lower else data, starts, ends), starts, ends, first
