@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; longer single texts are taken alone.
 STEP_BYTES = 2 << 20
@@ -146,3 +148,51 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, breaks: np.
     """The hashes of the words, and ``word_spans``."""
     starts, ends, first = word_spans(data, offsets, breaks)
     return span_hashes(lowered(data) if lower else data, starts, ends), starts, ends, first
+
+
+def summed(df: DataFrame, counts: Callable[[pa.RecordBatch], np.ndarray], size: int, chunk: int = 1 << 14) -> np.ndarray:
+    """The sum over all rows of arrays of a fixed ``size`` that ``counts`` makes from batches.
+
+    Each task adds up its own; the tasks' sums meet chunk by chunk in other tasks, and the driver gets one array.
+    """
+    bounded_batches(df.sparkSession)
+    schema = pa.schema([("chunk", pa.int32()), ("part", pa.binary())])
+
+    def rows(total: np.ndarray):
+        for i in range(0, size, chunk):
+            if total[i : i + chunk].any():
+                yield i // chunk, zlib.compress(total[i : i + chunk].tobytes(), 1)
+
+    def first(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[0]):
+                total += counts(part)
+        found = list(rows(total))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], schema=schema)
+
+    def second(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got = np.frombuffer(zlib.decompress(raw), np.int64)
+                sums[i] = sums[i] + got if i in sums else got
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], schema=schema)
+
+    ddl = "chunk int, part binary"
+    merged = df.mapInArrow(first, ddl).repartition(partitions(df.sparkSession), "chunk").mapInArrow(second, ddl)
+    out = np.zeros(size, np.int64)
+    for r in merged.collect():
+        got = np.frombuffer(zlib.decompress(r["part"]), np.int64)
+        out[r["chunk"] * chunk :][: len(got)] = got
+    return out
+
+
+def marks(keys: np.ndarray, size: int) -> np.ndarray:
+    """Places of 64-bit keys in a table of ``size`` marks."""
+    return (mix(keys ^ np.uint64(0x5BF03635)) % np.uint64(size)).astype(np.int64)
+
+
+def marked(df: DataFrame, key: str, size: int = 1 << 22) -> np.ndarray:
+    """A table of fixed size that holds a mark for each value of the long column ``key`` (and, by chance, for some others)."""
+    return summed(df.select(F.lit("").alias("none"), F.col(key)), lambda part: np.bincount(marks(np.asarray(part.column(1)).astype(np.uint64), size), minlength=size), size) > 0
