@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; longer single texts are taken alone.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 #: Bytes and rows of one Arrow batch between the JVM and Python.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
 
@@ -96,14 +96,25 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
+    out[:1] = 1
     return np.cumprod(out)
 
 
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_TABLES: dict[np.uint64, np.ndarray] = {}
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers; those that a usual slice needs are kept."""
+    if n > 2 * STEP_BYTES:
+        return _powers(base, n)
+    if base not in _TABLES:
+        _TABLES[base] = _powers(base, 2 * STEP_BYTES)
+    return _TABLES[base][:n]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> np.ndarray | list[np.ndarray]:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import os
 import zlib
 
@@ -27,10 +28,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, cut, flat, slices, words
+from .frames import bounded_batches, cut, flat, lowered, slices, span_hashes, word_spans
 
 CAPACITY, END_ID, CACHED_WORDS = 2048, 0, 400_000
 
+#: Kinds of bytes: 0 white space and beyond ASCII, 1 letters, 2 other ASCII. Second bytes of Latin-1 letters. What keeps a word whole.
+_KIND = np.array([1 if i < 128 and chr(i).isalpha() else 2 if i < 128 and i != 32 and not 9 <= i <= 13 else 0 for i in range(256)], np.uint8)
+_LATIN = np.array([128 <= i < 192 and i not in (0x97, 0xB7) for i in range(256)])
+_WHOLE = np.array([i in b"'<" for i in range(256)])
+
+
+def word_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of text that the tokenizer encodes independently of what surrounds them.
+
+    Text is parted by ASCII white space, and between a letter (of ASCII or Latin-1) and another ASCII character, save in
+    words with an apostrophe (contractions) or ``<`` (special tokens). A-Z is lower-cased but where ``<`` stands. Gives
+    the bytes, the spans' starts and ends, each row's first span, and which spans hold nothing but letters.
+    """
+    starts, ends, _ = word_spans(data, offsets)
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[_LATIN[data[lead + 1]]]
+    kind[lead] = kind[lead + 1] = 1
+    with_mark = np.concatenate([[0], np.cumsum(_WHOLE[data])])
+    whole = with_mark[ends] > with_mark[starts]
+    split = np.flatnonzero(kind[:-1] + kind[1:] == 3) + 1
+    word = np.searchsorted(starts, split, side="right") - 1
+    inside = (word >= 0) & (split < ends[word]) & (split > starts[word]) & ~whole[word] if len(starts) else np.zeros(len(split), bool)
+    low = lowered(data)
+    for i in np.flatnonzero(whole):
+        if 60 in data[starts[i] : ends[i]]:
+            low[starts[i] : ends[i]] = data[starts[i] : ends[i]]
+    starts, ends = np.sort(np.concatenate([starts, split[inside]])), np.sort(np.concatenate([ends, split[inside]]))
+    letters = np.concatenate([[0], np.cumsum(kind == 1)])
+    return low, starts, ends, np.searchsorted(starts, offsets), letters[ends] - letters[starts] == ends - starts
+
 
 class WordIds:
     """Token ids of words, from a cache of bounded size."""
@@ -40,15 +72,36 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.places: dict[bytes, int] = {}
         self.starts, self.sizes, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
-    def _add(self, new: list[bytes]) -> None:
+    def _encoded(self, new: list[bytes], plain: np.ndarray) -> list[np.ndarray]:
+        """Ids of words; plain ones, of letters only, make one run of tokens each, whose last token ends a word."""
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        found = [np.asarray(x.ids, np.uint32) for x in encode([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+        found: list = [None] * len(new)
+        at = np.flatnonzero(plain)
+        for i in range(0, len(at), 1024):
+            mine = at[i : i + 1024].tolist()
+            ids = np.asarray(encode([b" ".join([new[k] for k in mine]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(mine):
+                plain[mine] = False
+                continue
+            for k, a, b in zip(mine, [0, *ends[:-1].tolist()], ends.tolist()):
+                found[k] = ids[a:b]
+        rest = np.flatnonzero(~plain).tolist()
+        for k, x in zip(rest, encode([new[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False)):
+            found[k] = np.asarray(x.ids, np.uint32)
+        return found
+
+    def _add(self, new: list[bytes], plain: np.ndarray) -> None:
+        found = self._encoded(new, plain)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         at = len(self.places)
         for name, need in (("starts", at + len(new)), ("sizes", at + len(new)), ("pool", self.used + int(sizes.sum()))):
@@ -63,15 +116,18 @@ class WordIds:
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows end to end, each row's with END_ID after them, and the rows' offsets."""
-        hashes, starts, ends, first = words(data, offsets, lower=False)
-        _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        data, starts, ends, first, plain = word_parts(data, offsets)
+        _, at, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
         distinct = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         if len(self.places) > CACHED_WORDS:
             self.clear()
-        if new := [w for w in distinct if w not in self.places]:
-            self._add(list(dict.fromkeys(new)))
-        place = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))[which]
+        place = np.fromiter(map(self.places.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = len(self.places) + np.arange(len(new))
+            self._add([distinct[k] for k in new.tolist()], plain[at][new])
+        place = place[which]
         sizes, rows = self.sizes[place], len(offsets) - 1
         before = np.concatenate([[0], np.cumsum(sizes)])
         bounds = before[first] + np.arange(rows + 1)
