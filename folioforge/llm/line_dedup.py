@@ -7,10 +7,10 @@ earlier in the same text. Shorter lines always stay. The earlier line counts eve
 How: words are counted over all documents in a hashed table of fixed size; each line's words are ordered by rarity.
 Lines of equal sets become one class with its first place. Each class is posted under the words of its prefix, the
 rarest n - ceil(0.8 n) + 1. Classes that meet under a word pass the length filter, the positional filter and a bitmap
-filter (each of which drops only pairs that cannot reach 0.8). Of the pairs that remain, each posting hands on its most
-promising and its earliest one; these are verified on the full sets. Later classes still without a match that had more
-pairs than handed on go through a second round with all of them, so nothing is lost, and a large group of alike lines
-makes a number of pairs in proportion to its size.
+filter (each of which drops only pairs that cannot reach 0.8). Of the pairs that remain, each later class hands on its
+most promising one, which is verified on the full sets. Later classes still without a match that had more pairs go
+through a second round with all of them, so nothing is lost, and a large group of alike lines makes a number of pairs
+in proportion to its size.
 
 Defined results: a null text stays null, an empty one empty; rows of one doc_id (and rows without one, which come last)
 are taken as one document, where a line stays if it stays at that place in any of them; a document left without a line
@@ -52,9 +52,12 @@ def line_words(data: np.ndarray, offsets: np.ndarray):
     return row[new[keep]], line[new[keep]], new[keep], size[keep], starts, ends
 
 
-def line_sets(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray):
-    """(rows, line numbers, sizes, bounds, words): the distinct words' hashes of each line, rarest first."""
+def line_sets(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, ask=None):
+    """(rows, line numbers, sizes, bounds, words): the distinct words' hashes of each line, rarest first; of the lines that ``ask`` picks by row and number, if given."""
     row, line, first, many, starts, ends = line_words(data, offsets)
+    if ask is not None:
+        picked = ask(row, line)
+        row, line, first, many = row[picked], line[picked], first[picked], many[picked]
     at = np.arange(int(many.sum())) + np.repeat(first - (np.cumsum(many) - many), many)
     hashes = span_hashes(lowered(data), starts[at], ends[at])
     own = np.repeat(np.arange(len(row)), many)
@@ -228,14 +231,21 @@ def _meetings(post: np.ndarray):
         step += 1
 
 
-_PAIR = ["later", "earlier", "more"]
+_ENDS = ("key", "doc", "line")
+_PAIR = [f"{end}_{name}" for end in ("later", "earlier") for name in _ENDS]
+_PAIR_DDL = ", ".join(f"{x} {'int' if x.endswith('line') else 'long'}" for x in _PAIR)
 
 
-def candidates(posted: DataFrame, wanted=None) -> DataFrame:
-    """(later, earlier, more): of each posting the most promising and the earliest pair; all pairs of those whose key is marked in ``wanted``, if given."""
+def _places(docs: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    return mix(docs.astype(np.int64).view(np.uint64)) + lines.astype(np.uint64)
 
-    def rows(post, later, earlier, more):
-        return pa.RecordBatch.from_arrays([pa.array(post["key"][later].view(np.int64)), pa.array(post["key"][earlier].view(np.int64)), pa.array(more, pa.bool_())], names=_PAIR)
+
+def _ends(post: np.ndarray, later: np.ndarray, earlier: np.ndarray) -> list:
+    return [pa.array(post[name][at].view(np.int64) if name == "key" else post[name][at]) for at in (later, earlier) for name in _ENDS]
+
+
+def candidates(posted: DataFrame) -> DataFrame:
+    """The most promising pair of each later class in a block (how far apart, the two ends), and whether there are more."""
 
     def run(batches):
         for blocks in _by_block(batches).values():
@@ -243,48 +253,63 @@ def candidates(posted: DataFrame, wanted=None) -> DataFrame:
             post = post[np.lexsort((post["size"], post["word"]))]
             place = np.empty(len(post), np.int64)
             place[np.lexsort((post["key"], post["line"], post["doc"]))] = np.arange(len(post))
-            best, partner, first, count = np.full(len(post), np.inf), np.full(len(post), -1), np.full(len(post), -1), np.zeros(len(post), np.int64)
+            best, partner, count = np.full(len(post), np.inf), np.full(len(post), -1), np.zeros(len(post), np.int64)
             for left, right, apart in _meetings(post):
                 ordered = place[left] < place[right]
                 for mine, other, d in ((right[ordered], left[ordered], apart[ordered]), (left[~ordered], right[~ordered], apart[~ordered])):
-                    if wanted is not None:
-                        ask = wanted.value[marks(post["key"][mine], len(wanted.value))]
-                        if ask.any():
-                            yield rows(post, mine[ask], other[ask], np.zeros(int(ask.sum()), bool))
-                        continue
                     count[mine] += 1
                     better = d < best[mine]
                     best[mine[better]], partner[mine[better]] = d[better], other[better]
-                    sooner = (first[mine] < 0) | (place[other] < place[first[mine]])
-                    first[mine[sooner]] = other[sooner]
-            if wanted is None:
-                got = np.flatnonzero(count)
-                more = count[got] > 1 + (first[got] != partner[got])
-                yield rows(post, got, partner[got], more)
-                also = first[got] != partner[got]
-                yield rows(post, got[also], first[got[also]], more[also])
+            got = np.flatnonzero(count)
+            got = got[np.lexsort((best[got], post["key"][got]))]
+            fresh = np.ones(len(got), bool)
+            fresh[1:] = post["key"][got[1:]] != post["key"][got[:-1]]
+            begin = np.flatnonzero(fresh)
+            more = np.logical_or.reduceat((count[got] > 1) | (post["key"][partner[got]] != post["key"][partner[got[begin]]][np.cumsum(fresh) - 1]), begin) if len(got) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(best[got[begin]]), *_ends(post, got[begin], partner[got[begin]]), pa.array(more, pa.bool_())], names=["apart", *_PAIR, "more"])
+
+    found = posted.mapInArrow(run, f"apart double, {_PAIR_DDL}, more boolean")
+    ends = F.struct("apart", *_PAIR)
+    one = found.groupBy("later_key").agg(F.min(ends).alias("best"), (F.max("more") | (F.min("earlier_key") != F.max("earlier_key"))).alias("more"))
+    return one.select(*[F.col(f"best.{x}").alias(x) for x in _PAIR], "more")
+
+
+def all_candidates(posted: DataFrame, wanted) -> DataFrame:
+    """All pairs of the later classes whose key is marked in ``wanted``."""
+
+    def run(batches):
+        for blocks in _by_block(batches).values():
+            post = np.concatenate([np.frombuffer(x, _POST) for x in blocks])
+            post = post[np.lexsort((post["size"], post["word"]))]
+            place = np.empty(len(post), np.int64)
+            place[np.lexsort((post["key"], post["line"], post["doc"]))] = np.arange(len(post))
+            asked = wanted.value[marks(post["key"], len(wanted.value))]
+            for left, right, _ in _meetings(post):
+                later = np.where(place[left] < place[right], right, left)
+                ask = asked[later]
+                if ask.any():
+                    yield pa.RecordBatch.from_arrays(_ends(post, later[ask], (left + right - later)[ask]), names=_PAIR)
 
-    return posted.mapInArrow(run, "later long, earlier long, more boolean")
+    return posted.mapInArrow(run, _PAIR_DDL).distinct()
 
 
 def sets_of(df: DataFrame, counts, wanted) -> DataFrame:
-    """(key, words): the sets of the classes whose key is marked, as sorted 64-bit hashes; one row for each class and task at least."""
+    """(key, words): the sets of the lines whose place is marked, as sorted 64-bit hashes; one row for each class."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                row, _, sizes, bounds, words = line_sets(*flat(part.column(1)), counts.value)
+                docs = np.asarray(part.column(0))
+                _, _, sizes, bounds, words = line_sets(*flat(part.column(1)), counts.value, lambda row, line: wanted.value[marks(_places(docs[row], line), len(wanted.value))])
                 key, _ = _keys(sizes, bounds, words)
-                ask = np.flatnonzero(wanted.value[marks(key, len(wanted.value))])
-                _, once = np.unique(key[ask], return_index=True)
-                ask = ask[once]
-                yield pa.RecordBatch.from_arrays([pa.array(key[ask].view(np.int64)), pa.array([np.sort(words[bounds[i] : bounds[i + 1]]).tobytes() for i in ask], pa.binary())], names=["key", "words"])
+                _, once = np.unique(key, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), pa.array([np.sort(words[bounds[i] : bounds[i + 1]]).tobytes() for i in once], pa.binary())], names=["key", "words"])
 
     return df.mapInArrow(run, "key long, words binary").groupBy("key").agg(F.first("words").alias("words"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (later, earlier) whose sets are similar."""
+    """The pairs (later, earlier) of keys whose sets are similar."""
 
     def run(batches):
         for batch in batches:
@@ -292,47 +317,46 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             fit = []
             for x, y in zip(a.to_pylist(), b.to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 fit.append(DOWN * both >= UP * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([later, earlier], names=["later", "earlier"]).filter(pa.array(fit, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("key").alias("later"), F.col("words").alias("a")), "later")
+    one = pairs.select(F.col("later_key").alias("later"), F.col("earlier_key").alias("earlier")).join(sets.select(F.col("key").alias("later"), F.col("words").alias("a")), "later")
     two = one.join(sets.select(F.col("key").alias("earlier"), F.col("words").alias("b")), "earlier")
     return two.select("later", "earlier", "a", "b").mapInArrow(run, "later long, earlier long")
 
 
-def _round(df, counts, pairs: DataFrame) -> DataFrame:
-    ends = pairs.select(F.col("later").alias("key")).unionAll(pairs.select("earlier"))
-    wanted = df.sparkSession.sparkContext.broadcast(marked(ends, "key"))
-    return verified(pairs.select("later", "earlier"), sets_of(df, counts, wanted))
+def _round(df: DataFrame, counts, pairs: DataFrame) -> DataFrame:
+    place = lambda end: F.struct(F.col(f"{end}_doc").alias("doc"), F.col(f"{end}_line").alias("line"))
+    ends = pairs.select(F.explode(F.array(place("later"), place("earlier"))).alias("at")).select("at.doc", "at.line")
+    size = 1 << 22
+    wanted = summed(ends.select(F.lit("").alias("none"), "doc", "line"), lambda part: np.bincount(marks(_places(np.asarray(part.column(1)), np.asarray(part.column(2))), size), minlength=size), size) > 0
+    sets = cut(sets_of(df, counts, df.sparkSession.sparkContext.broadcast(wanted)))
+    return verified(pairs, sets)
 
 
 def kept_places(df: DataFrame) -> DataFrame:
-    """(doc, line) of the lines with enough words that stay, and (later, earlier) links between classes."""
+    """(doc, line) of the lines with enough words that stay."""
     spark = df.sparkSession
     bounded_batches(spark)
     counts = spark.sparkContext.broadcast(count_words(df))
     dealt = classes(df, counts)
     posted = postings(dealt)
-    pairs = cut(candidates(posted).groupBy("later", "earlier").agg(F.max("more").alias("more")))
-    links = cut(_round(df, counts, pairs))
-    removed = links.groupBy("later").agg(F.min("earlier").alias("earlier"))
-    open_ends = pairs.where("more").select("later").distinct().join(removed, "later", "left_anti")
+    pairs = cut(candidates(posted))
+    gone = cut(_round(df, counts, pairs).select("later"))
+    open_ends = cut(pairs.where("more").select(F.col("later_key").alias("later")).join(gone, "later", "left_anti"))
     wanted = marked(open_ends, "later")
     if wanted.any():
-        rest = candidates(posted, spark.sparkContext.broadcast(wanted)).select("later", "earlier").distinct()
-        rest = cut(rest.join(open_ends, "later", "left_semi").join(pairs, ["later", "earlier"], "left_anti"))
-        links = links.unionAll(cut(_round(df, counts, rest)))
-    gone = links.select("later").distinct()
-    places = first_places(dealt).join(gone, F.col("key") == F.col("later"), "left_anti")
-    return places.select("doc", "line"), links
+        rest = all_candidates(posted, spark.sparkContext.broadcast(wanted))
+        rest = rest.join(open_ends.withColumnRenamed("later", "later_key"), "later_key", "left_semi").join(pairs, ["later_key", "earlier_key"], "left_anti")
+        gone = gone.unionAll(cut(_round(df, counts, cut(rest)).select("later").distinct()))
+    return first_places(dealt).join(gone, F.col("key") == F.col("later"), "left_anti").select("doc", "line")
 
 
 def dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, text, n_lines, n_removed): the texts without later matches."""
     own = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).cast("string").alias("text"))
-    places, _ = kept_places(own)
-    lines = places.groupBy("doc").agg(F.collect_list("line").alias("lines"))
+    lines = kept_places(own).groupBy("doc").agg(F.collect_list("line").alias("lines"))
     joined = own.withColumnRenamed("doc", "own_doc").join(lines, F.col("own_doc") == F.col("doc"), "left").select("own_doc", "text", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
 
     def step(part: pa.RecordBatch) -> dict:
