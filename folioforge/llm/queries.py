@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, license_scan, line_dedup, media_columns, minhash_dedup, packing, toxicity, url_filter
+from . import bpe, edit_fingerprint, language_id, license_scan, line_dedup, media_columns, minhash_dedup, packing, toxicity, url_filter
 from .frames import table
 
 
@@ -23,6 +23,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.with_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
