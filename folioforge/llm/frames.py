@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -44,6 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are over: Spark's cleaner removes them once the JVM has collected what points to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def in_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str, text: str = "text", whole: bool = False) -> DataFrame:
     """Apply ``step`` to slices of ``df`` of at most STEP_BYTES of ``text``; it gives a dict of columns for each slice."""
     bounded_batches(df.sparkSession)
@@ -161,7 +167,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, breaks: np.
     return span_hashes(lowered(data) if lower else data, starts, ends), starts, ends, first
 
 
-def summed(df: DataFrame, counts: Callable[[pa.RecordBatch], np.ndarray], size: int, chunk: int = 1 << 14) -> np.ndarray:
+def summed(df: DataFrame, counts: Callable[[pa.RecordBatch], np.ndarray], size: int, chunk: int = 1 << 14, by: str | None = None) -> np.ndarray:
     """The sum over all rows of arrays of a fixed ``size`` that ``counts`` makes from batches.
 
     Each task adds up its own; the tasks' sums meet chunk by chunk in other tasks, and the driver gets one array.
@@ -177,7 +183,7 @@ def summed(df: DataFrame, counts: Callable[[pa.RecordBatch], np.ndarray], size:
     def first(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for part in slices(batch, batch.schema.names[0]):
+            for part in slices(batch, by or batch.schema.names[0]):
                 total += counts(part)
         found = list(rows(total))
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], schema=schema)

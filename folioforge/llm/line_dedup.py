@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, cut, flat, in_arrow, lowered, marked, marks, mix, partitions, slices, span_hashes, summed, word_spans
+from .frames import bounded_batches, cut, flat, in_arrow, lowered, marked, marks, mix, partitions, release, slices, span_hashes, summed, word_spans
 
 MIN_WORDS, COUNTED = 5, 1 << 20
 #: Similarity as a fraction.
@@ -188,8 +188,8 @@ def first_places(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, doc long, line int")
 
 
-def postings(dealt: DataFrame) -> DataFrame:
-    """(block, packed): the classes' postings, dealt by word."""
+def postings(dealt: DataFrame, words=None) -> DataFrame:
+    """(block, packed): the classes' postings, dealt by word; only under words marked in ``words``, if given."""
     many = 4 * partitions(dealt.sparkSession)
 
     def run(batches):
@@ -197,11 +197,14 @@ def postings(dealt: DataFrame) -> DataFrame:
             heads, tokens = _unpacked(blocks)
             sizes = heads["prefix"].astype(np.int64)
             own = np.repeat(np.arange(len(heads)), sizes)
+            at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            if words is not None:
+                ask = words.value[marks(tokens.astype(np.uint64), len(words.value))]
+                own, at, tokens = own[ask], at[ask], tokens[ask]
             post = np.zeros(len(tokens), _POST)
-            post["word"] = tokens
+            post["word"], post["at"] = tokens, at
             for name in ("key", "doc", "line", "size", "bits"):
                 post[name] = heads[name][own]
-            post["at"] = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             groups = post["word"] % many
             order = np.argsort(groups, kind="stable")
             cuts = [0, *(np.flatnonzero(np.diff(groups[order])) + 1).tolist(), len(order)]
@@ -210,6 +213,20 @@ def postings(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "block int, packed binary").repartition(partitions(dealt.sparkSession), "block")
 
 
+def prefix_words(dealt: DataFrame, wanted, size: int = 1 << 22) -> np.ndarray:
+    """Marks of the prefix words of the classes whose key is marked in ``wanted``."""
+
+    def count(part: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros(size, np.int64)
+        for raw in part.column(1).to_pylist():
+            heads, tokens = _unpacked([raw])
+            ask = wanted.value[marks(heads["key"], len(wanted.value))]
+            out[marks(tokens[np.repeat(ask, heads["prefix"])].astype(np.uint64), size)] = 1
+        return out
+
+    return summed(dealt.select("block", "packed"), count, size, by="packed") > 0
+
+
 def _meetings(post: np.ndarray):
     """Pairs (i, j) of postings of one word that pass the filters, each step's as arrays; ``post`` is sorted by word and size."""
     left = np.arange(len(post))
@@ -340,16 +357,22 @@ def kept_places(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     bounded_batches(spark)
     counts = spark.sparkContext.broadcast(count_words(df))
-    dealt = classes(df, counts)
-    posted = postings(dealt)
-    pairs = cut(candidates(posted))
+    dealt = cut(classes(df, counts))
+    release(spark)
+    pairs = cut(candidates(postings(dealt)))
+    release(spark)
     gone = cut(_round(df, counts, pairs).select("later"))
     open_ends = cut(pairs.where("more").select(F.col("later_key").alias("later")).join(gone, "later", "left_anti"))
+    release(spark)
     wanted = marked(open_ends, "later")
     if wanted.any():
-        rest = all_candidates(posted, spark.sparkContext.broadcast(wanted))
-        rest = rest.join(open_ends.withColumnRenamed("later", "later_key"), "later_key", "left_semi").join(pairs, ["later_key", "earlier_key"], "left_anti")
-        gone = gone.unionAll(cut(_round(df, counts, cut(rest)).select("later").distinct()))
+        wanted = spark.sparkContext.broadcast(wanted)
+        words = spark.sparkContext.broadcast(prefix_words(dealt, wanted))
+        rest = all_candidates(postings(dealt, words), wanted)
+        rest = cut(rest.join(open_ends.withColumnRenamed("later", "later_key"), "later_key", "left_semi").join(pairs, ["later_key", "earlier_key"], "left_anti"))
+        release(spark)
+        gone = gone.unionAll(cut(_round(df, counts, rest).select("later").distinct()))
+        release(spark)
     return first_places(dealt).join(gone, F.col("key") == F.col("later"), "left_anti").select("doc", "line")
 
 
