@@ -29,6 +29,14 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {x.lower() for x in df.columns}
+    while wish in taken:
+        wish += "_"
+    return wish
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

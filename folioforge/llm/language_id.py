@@ -13,11 +13,12 @@ not learned from; only the named columns are read; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, flat, in_arrow, slices
+from .frames import bounded_batches, flat, free_name, in_arrow, slices
 
 #: Gram buckets, grams of a segment, languages of a set at most, EM steps; a gram's share of independent evidence, and the cost of a language.
 BUCKETS, SEGMENT, MOST, STEPS, SHARE, PENALTY = 1 << 16, 64, 3, 12, 0.25, 4.0
@@ -120,17 +121,52 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
     shared = df.sparkSession.sparkContext.broadcast(table)
 
     def step(part: pa.RecordBatch) -> dict:
-        known = has_letter(part.column(1)) & bool(names)
-        pred, score, mix = [UNDEFINED] * len(known), np.zeros(len(known)), [""] * len(known)
-        if known.any():
-            chosen, alone = mixtures(*grams(*flat(part.column(1).filter(pa.array(known)))), shared.value)
-            for i, w, p in zip(np.flatnonzero(known).tolist(), chosen, alone):
+        pred, score, mix = _predicted(part.column(1), names, shared.value)
+        return {key: part.column(0), "lang_pred": pred, "score": score, "languages": mix}
+
+    return in_arrow(df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")), step, f"{key} long, lang_pred string, score double, languages string")
+
+
+def _predicted(texts: pa.Array, names: list[str], table: np.ndarray) -> tuple[list[str], np.ndarray, list[str]]:
+    """The language, its score, and the chosen languages with their proportions, of each text."""
+    known = has_letter(texts) & bool(names)
+    pred, score, mix = [UNDEFINED] * len(known), np.zeros(len(known)), [""] * len(known)
+    at = 0
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        mine = known[at : at + part.num_rows]
+        if mine.any():
+            chosen, alone = mixtures(*grams(*flat(part.column(0).filter(pa.array(mine)))), table)
+            for i, w, p in zip((np.flatnonzero(mine) + at).tolist(), chosen, alone):
                 k = int(w.argmax())
                 pred[i], score[i] = names[k], float(min(1.0, w[k] * max(p[k], w[k])))
                 mix[i] = ",".join(f"{names[j]}:{w[j]:.2f}" for j in np.argsort(-w, kind="stable") if w[j] >= 0.005)
-        return {key: part.column(0), "lang_pred": pred, "score": score, "languages": mix}
+        at += part.num_rows
+    return pred, score, mix
 
-    return in_arrow(df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")), step, f"{key} long, lang_pred string, score double, languages string")
+
+def attached(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+    """``docs`` with a struct column of the prediction for each row's text, named so that it clashes with none."""
+    names, table = model
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("struct<lang_pred:string,score:double>")
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        pred, score, _ = _predicted(pa.array(texts, pa.string(), from_pandas=True), names, shared.value)
+        return pd.DataFrame({"lang_pred": pred, "score": score})
+
+    bounded_batches(docs.sparkSession)
+    return docs.withColumn(free_name(docs, "judged"), judged(F.col(text).cast("string")))
+
+
+def keep_identified(docs: DataFrame, least: float, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+    """The rows whose text has a letter and of which some learned language makes up ``least``; all with a letter if none was learned."""
+    held = fold(F.col(key), 3, 1)
+    model = learn(docs.where(F.col(key).isNotNull() & ~held), text, lang)
+    if not model[0]:
+        return docs.where(F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)))
+    out = attached(docs, model, text)
+    name = (set(out.columns) - set(docs.columns)).pop()
+    return out.where((F.col(f"{name}.lang_pred") != UNDEFINED) & (F.col(f"{name}.score") >= least)).drop(name)
 
 
 def fold(key: Column, folds: int, held: int) -> Column:

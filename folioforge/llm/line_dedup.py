@@ -20,11 +20,12 @@ has an empty text; only the named columns are read; an empty table gives no rows
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, cut, flat, in_arrow, lowered, marked, marks, mix, partitions, release, slices, span_hashes, summed, word_spans
+from .frames import bounded_batches, cut, flat, free_name, lowered, marked, marks, mix, partitions, release, slices, span_hashes, summed, word_spans
 
 MIN_WORDS, COUNTED = 5, 1 << 20
 #: Similarity as a fraction.
@@ -376,23 +377,45 @@ def kept_places(df: DataFrame) -> DataFrame:
     return first_places(dealt).join(gone, F.col("key") == F.col("later"), "left_anti").select("doc", "line")
 
 
-def dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, text, n_lines, n_removed): the texts without later matches."""
+def _cut_down(texts: pa.Array, kept: list) -> tuple[list, list[int], list[int]]:
+    """Texts without the lines that aren't kept, and their numbers of lines and of removed lines."""
+    row, line, *_ = line_words(*flat(texts))
+    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+    out, sizes, gone = [], [], []
+    for i, (value, stay) in enumerate(zip(texts.to_pylist(), kept)):
+        lines = (value or "").split("\n")
+        drop = set(line[bounds[i] : bounds[i + 1]].tolist()).difference(() if stay is None else stay.tolist())
+        out.append(value if value is None or not drop else "\n".join(x for k, x in enumerate(lines) if k not in drop))
+        sizes.append(len(lines) if value else 0)
+        gone.append(len(drop))
+    return out, sizes, gone
+
+
+def _with_kept(df: DataFrame, text: str, key: str) -> tuple[DataFrame, str]:
+    """``df`` with a column, named so that it clashes with none, of the text without later matches and its numbers of lines."""
     own = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).cast("string").alias("text"))
-    lines = kept_places(own).groupBy("doc").agg(F.collect_list("line").alias("lines"))
-    joined = own.withColumnRenamed("doc", "own_doc").join(lines, F.col("own_doc") == F.col("doc"), "left").select("own_doc", "text", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
-
-    def step(part: pa.RecordBatch) -> dict:
-        row, line, *_ = line_words(*flat(part.column(1)))
-        bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
-        texts, sizes, gone = [], [], []
-        for i, (value, kept) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
-            lines = (value or "").split("\n")
-            drop = set(line[bounds[i] : bounds[i + 1]].tolist()).difference(map(int, kept.split(","))) if kept else set(line[bounds[i] : bounds[i + 1]].tolist())
-            texts.append(value if value is None or not drop else "\n".join(x for k, x in enumerate(lines) if k not in drop))
-            sizes.append(len(lines) if value else 0)
-            gone.append(len(drop))
-        return {"own_doc": part.column(0), "text": texts, "n_lines": sizes, "n_removed": gone}
-
-    out = in_arrow(joined, step, "own_doc long, text string, n_lines long, n_removed long")
-    return out.select(F.when(F.col("own_doc") != NO_ID, F.col("own_doc")).alias(key), F.col("text").alias(text), "n_lines", "n_removed")
+    places = kept_places(own)
+    name = free_name(df, "line_dedup_result")
+    of_doc, stay = free_name(df, "line_dedup_doc"), free_name(df, "line_dedup_lines")
+    lines = places.groupBy(F.col("doc").alias(of_doc)).agg(F.collect_list("line").alias(stay))
+
+    @F.pandas_udf("struct<text:string,n_lines:long,n_removed:long>")
+    def cut_down(texts: pd.Series, kept: pd.Series) -> pd.DataFrame:
+        out, sizes, gone = _cut_down(pa.array(texts, pa.string(), from_pandas=True), kept.tolist())
+        return pd.DataFrame({"text": pd.Series(out, dtype=object), "n_lines": sizes, "n_removed": gone})
+
+    joined = df.join(lines, F.coalesce(df[key].cast("long"), F.lit(NO_ID)) == F.col(of_doc), "left")
+    return joined.withColumn(name, cut_down(F.col(text).cast("string"), F.col(stay))).drop(of_doc, stay), name
+
+
+def dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, text, n_lines, n_removed): the texts without later matches; each removed line is a link to an earlier one."""
+    out, name = _with_kept(df.select(key, text), text, key)
+    return out.select(key, F.col(f"{name}.text").alias(text), F.col(f"{name}.n_lines").alias("n_lines"), F.col(f"{name}.n_removed").alias("n_removed"))
+
+
+def without_repeated_lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``df`` with the texts without later matches, less the rows of which no line with a word is left."""
+    out, name = _with_kept(df, text, key)
+    left = F.coalesce(F.trim(F.regexp_replace(F.col(f"{name}.text"), "\\s+", " ")) != "", F.lit(False))
+    return out.where((F.col(f"{name}.n_removed") == 0) | left).select(*[F.col(f"{name}.text").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])

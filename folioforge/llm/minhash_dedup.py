@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, cut, flat, lowered, marked, marks, mix, partitions, slices, span_hashes, word_spans
+from .frames import bounded_batches, cut, flat, free_name, lowered, marked, marks, mix, partitions, release, slices, span_hashes, word_spans
 from .graph import components
 
 WIDTH, ROWS, BANDS, BITS = 5, 5, 24, 4
@@ -288,27 +288,48 @@ def full_sets(df: DataFrame, wanted) -> DataFrame:
     return df.mapInArrow(run, "key long, check long, words binary").groupBy("key", "check").agg(F.first("words").alias("words"))
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
-    spark = df.sparkSession
-    own = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def class_roots(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows' (doc_id, n, key, check), and of each class (own_key, own_check, first_id, root)."""
+    spark = own.sparkSession
     rows = cut(signatures(own))
+    release(spark)
     full = rows.where("n > 0")
     named = full.groupBy("key", "check").agg(F.min("doc_id").alias("doc_id"), F.first("packed").alias("packed"), F.first("buckets").alias("buckets"))
-    classes = cut(named.select("key", "check", node_of(F.col("doc_id"), F.col("key")).alias("node"), "packed", "buckets"))
+    classes = cut(named.select("key", "check", F.col("doc_id").alias("first_id"), node_of(F.col("doc_id"), F.col("key")).alias("node"), "packed", "buckets"))
+    release(spark)
     entries = classes.select("node", F.explode("buckets").alias("bucket"))
     crowded = cut(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    release(spark)
     members = tiled(entries, "bucket", "node", crowded, TILE)
     with_sig = members.join(classes.select(F.col("node").alias("own_node"), "packed"), F.col("node") == F.col("own_node"))
     tied = components(_in_groups(with_sig, ["bucket", "pair"], ["node", "packed"], _alike))
+    release(spark)
     groups = cut(classes.select("key", "check", "node").join(tied.withColumnRenamed("node", "own_node"), F.col("node") == F.col("own_node")).select("key", "check", "node", F.col("root").alias("group")))
     sizes = cut(groups.groupBy("group").agg(F.count("*").alias("size")))
-    wanted = spark.sparkContext.broadcast(marked(groups, "key"))
-    sets = full_sets(own, wanted)
+    sets = full_sets(own, spark.sparkContext.broadcast(marked(groups, "key")))
     placed = tiled(groups.join(sets, ["key", "check"]), "group", "node", sizes, TILE)
     linked = components(_in_groups(placed, ["group", "pair"], ["node", "words"], _linked))
-    answer = cut(classes.select("key", "check", "node").join(linked.withColumnRenamed("node", "own_node"), F.col("node") == F.col("own_node"), "left").select(F.col("key").alias("own_key"), F.col("check").alias("own_check"), F.coalesce("root", "node").alias("root")))
-    joined = rows.select("doc_id", "n", "key", "check").join(answer, (F.col("key") == F.col("own_key")) & (F.col("check") == F.col("own_check")) & (F.col("n") > 0), "left")
+    release(spark)
+    answer = classes.select("key", "check", "node", "first_id").join(linked.withColumnRenamed("node", "own_node"), F.col("node") == F.col("own_node"), "left")
+    return rows.select("doc_id", "n", "key", "check"), cut(answer.select(F.col("key").alias("own_key"), F.col("check").alias("own_check"), "first_id", F.coalesce("root", "node").alias("root")))
+
+
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    rows, answer = class_roots(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    joined = rows.join(answer, (F.col("key") == F.col("own_key")) & (F.col("check") == F.col("own_check")) & (F.col("n") > 0), "left")
     root = F.coalesce(F.col("root"), F.col("doc_id"))
     component = F.when(root < NAMELESS, root)
     return joined.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (component.isNull() | F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"))
+
+
+def keep_one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each component the row with its smallest doc_id.
+
+    Rows go by their doc_id, so repeated rows of the smallest one stay together, and rows without a doc_id stay.
+    """
+    rows, answer = class_roots(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    joined = rows.where("n > 0 AND doc_id IS NOT NULL").join(answer.where(f"root < {NAMELESS}"), (F.col("key") == F.col("own_key")) & (F.col("check") == F.col("own_check")))
+    name = free_name(df, "gone_doc")
+    gone = joined.where("doc_id != root").select(F.col("doc_id").alias(name)).distinct()
+    return df.join(gone, df[key].cast("long") == F.col(name), "left_anti")

@@ -19,11 +19,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import flat, in_arrow, lowered, span_hashes, word_spans
+from .frames import bounded_batches, flat, free_name, in_arrow, lowered, slices, span_hashes, word_spans
 from .language_id import fold
 
 #: Labelled rows to learn from: of label 1 and of label 0 at most; words of one of them at most.
@@ -245,3 +246,27 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     """(key, held_out, score, predicted, threshold, toxic), learned from the labelled rows that are not held out."""
     found = score(docs, learn(docs, labels, text=text, key=key), text, key)
     return found.select(F.col(key), fold(F.col(key), 4, 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "threshold", "toxic")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows whose score stays below the threshold of their language; all rows if nothing could be learned."""
+    model = learn(docs, labels, text=text, key=key)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast((model, model.table()))
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        own, table = shared.value
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
+        found = [own.score(logits(own, table, *features(part.column(0)))) for part in slices(batch, "text")]
+        return pd.Series(np.concatenate([np.zeros(0), *found]))
+
+    bounded_batches(docs.sparkSession)
+    name = free_name(docs, "scored")
+    limit = F.lit(CUT)
+    if "lang" in docs.columns:
+        for lang, value in model.thresholds.items():
+            limit = F.when(F.col("lang") == lang, F.lit(value)).otherwise(limit)
+    has_text = F.coalesce(F.trim(F.col(text)) != "", F.lit(False))
+    return docs.withColumn(name, scored(F.col(text).cast("string"))).where(~has_text | (F.col(name) < limit)).drop(name)
