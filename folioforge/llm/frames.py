@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -54,8 +55,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps that are over: Spark's cleaner removes them once the JVM has collected what points to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of in the first round, the JVM finds in the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def in_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str, text: str = "text", whole: bool = False) -> DataFrame:

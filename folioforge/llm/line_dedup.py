@@ -312,45 +312,55 @@ def all_candidates(posted: DataFrame, wanted) -> DataFrame:
 
 
 def sets_of(df: DataFrame, counts, wanted) -> DataFrame:
-    """(key, words): the sets of the lines whose place is marked, as sorted 64-bit hashes; one row for each class."""
+    """(own_key, own_doc, own_line, words): the sets of the lines whose place is marked, as sorted 64-bit hashes."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 docs = np.asarray(part.column(0))
-                _, _, sizes, bounds, words = line_sets(*flat(part.column(1)), counts.value, lambda row, line: wanted.value[marks(_places(docs[row], line), len(wanted.value))])
+                row, line, sizes, bounds, words = line_sets(*flat(part.column(1)), counts.value, lambda row, line: wanted.value[marks(_places(docs[row], line), len(wanted.value))])
                 key, _ = _keys(sizes, bounds, words)
-                _, once = np.unique(key, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), pa.array([np.sort(words[bounds[i] : bounds[i + 1]]).tobytes() for i in once], pa.binary())], names=["key", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(docs[row]), pa.array(line.astype(np.int32)), pa.array([np.sort(words[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], names=["own_key", "own_doc", "own_line", "words"])
 
-    return df.mapInArrow(run, "key long, words binary").groupBy("key").agg(F.first("words").alias("words"))
+    return df.mapInArrow(run, "own_key long, own_doc long, own_line int, words binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (later, earlier) of keys whose sets are similar."""
+#: Parts that the later lines of one earlier line are dealt in.
+PARTS = 8
+
+
+def verified(df: DataFrame, counts, pairs: DataFrame) -> DataFrame:
+    """(later): the keys of later classes whose set is similar to that of a partner in ``pairs``.
+
+    Each line that is in a pair sends its set to its earlier line's group, once for each; a group of many later lines is
+    dealt in parts, each with the earlier line's set.
+    """
+    spark = df.sparkSession
+    place = lambda end: F.struct(*[F.col(f"{end}_{x}").alias(x) for x in _ENDS])
+    part = F.pmod(F.xxhash64("later_key"), PARTS)
+    target = lambda end, role: F.struct(place(end).alias("at"), F.col("earlier_key").alias("group"), part.alias("part"), F.lit(role).alias("role"))
+    sent = pairs.select(F.explode(F.array(target("earlier", 0), target("later", 1))).alias("x")).select("x.at.key", "x.at.doc", "x.at.line", "x.group", "x.part", "x.role").distinct()
+    size = 1 << 22
+    wanted = spark.sparkContext.broadcast(summed(sent.select(F.lit("").alias("none"), "doc", "line"), lambda part: np.bincount(marks(_places(np.asarray(part.column(1)), np.asarray(part.column(2))), size), minlength=size), size) > 0)
+    sets = sets_of(df, counts, wanted)
+    joined = sets.join(sent, (F.col("own_key") == F.col("key")) & (F.col("own_doc") == F.col("doc")) & (F.col("own_line") == F.col("line")))
+    dealt = joined.select("group", "part", "role", "key", "words").repartition(partitions(spark), "group", "part").sortWithinPartitions("group", "part", "role")
 
     def run(batches):
+        last, base = None, np.zeros(0, np.uint64)
         for batch in batches:
-            later, earlier, a, b = (batch.column(i) for i in range(4))
-            fit = []
-            for x, y in zip(a.to_pylist(), b.to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                fit.append(DOWN * both >= UP * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([later, earlier], names=["later", "earlier"]).filter(pa.array(fit, pa.bool_()))
-
-    one = pairs.select(F.col("later_key").alias("later"), F.col("earlier_key").alias("earlier")).join(sets.select(F.col("key").alias("later"), F.col("words").alias("a")), "later")
-    two = one.join(sets.select(F.col("key").alias("earlier"), F.col("words").alias("b")), "earlier")
-    return two.select("later", "earlier", "a", "b").mapInArrow(run, "later long, earlier long")
-
-
-def _round(df: DataFrame, counts, pairs: DataFrame) -> DataFrame:
-    place = lambda end: F.struct(F.col(f"{end}_doc").alias("doc"), F.col(f"{end}_line").alias("line"))
-    ends = pairs.select(F.explode(F.array(place("later"), place("earlier"))).alias("at")).select("at.doc", "at.line")
-    size = 1 << 22
-    wanted = summed(ends.select(F.lit("").alias("none"), "doc", "line"), lambda part: np.bincount(marks(_places(np.asarray(part.column(1)), np.asarray(part.column(2))), size), minlength=size), size) > 0
-    sets = cut(sets_of(df, counts, df.sparkSession.sparkContext.broadcast(wanted)))
-    return verified(pairs, sets)
+            found = []
+            for group, piece, role, key, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                own = np.frombuffer(raw, np.uint64)
+                if not role:
+                    last, base = (group, piece), own
+                elif last == (group, piece):
+                    both = len(own) + len(base) - len(np.unique(np.concatenate([own, base])))
+                    if DOWN * both >= UP * (len(own) + len(base) - both):
+                        found.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["later"])
+
+    return dealt.mapInArrow(run, "later long").distinct()
 
 
 def kept_places(df: DataFrame) -> DataFrame:
@@ -362,7 +372,7 @@ def kept_places(df: DataFrame) -> DataFrame:
     release(spark)
     pairs = cut(candidates(postings(dealt)))
     release(spark)
-    gone = cut(_round(df, counts, pairs).select("later"))
+    gone = cut(verified(df, counts, pairs))
     open_ends = cut(pairs.where("more").select(F.col("later_key").alias("later")).join(gone, "later", "left_anti"))
     release(spark)
     wanted = marked(open_ends, "later")
@@ -372,7 +382,7 @@ def kept_places(df: DataFrame) -> DataFrame:
         rest = all_candidates(postings(dealt, words), wanted)
         rest = cut(rest.join(open_ends.withColumnRenamed("later", "later_key"), "later_key", "left_semi").join(pairs, ["later_key", "earlier_key"], "left_anti"))
         release(spark)
-        gone = gone.unionAll(cut(_round(df, counts, rest).select("later").distinct()))
+        gone = gone.unionAll(cut(verified(df, counts, rest)))
         release(spark)
     return first_places(dealt).join(gone, F.col("key") == F.col("later"), "left_anti").select("doc", "line")
 

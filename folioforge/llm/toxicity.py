@@ -116,7 +116,7 @@ def _evidence(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
 
 def _gather(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([np.zeros((0, 3), np.int64), *rows]), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    return np.concatenate([np.zeros((0, 3), np.int64), *rows], dtype=np.int64), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, langs: list[str | None], seed: int = 7) -> Model | None:
@@ -175,7 +175,10 @@ def train(rows: list[np.ndarray], labels: np.ndarray, langs: list[str | None], s
                 sums[name] = sums[name] + grads[name] ** 2
                 setattr(m, name, getattr(m, name) - rate * grads[name] / np.sqrt(sums[name]))
     m.offset = float(m.offset)
-    _calibrate(m, logits(m, m.table(), *_gather([rows[i] for i in judge])), labels[judge], [langs[i] for i in judge])
+    table, judged = m.table(), []
+    for batch in np.array_split(judge, max(1, len(judge) // BATCH)):
+        judged.append(logits(m, table, *_gather([rows[i] for i in batch])))
+    _calibrate(m, np.concatenate(judged), labels[judge], [langs[i] for i in judge])
     return m
 
 
@@ -213,7 +216,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE, t
 
     rows = in_arrow(chosen.select("own_key", "text", "lang", "own_label"), step, "own_key long, own_label int, lang string, words binary").toPandas()
     rows = rows[rows["words"].notna()].sort_values(["own_key", "words"]).drop_duplicates("own_key")
-    return [np.frombuffer(x, np.uint16).reshape(-1, 3).astype(np.int64) for x in rows["words"]], rows["own_label"].to_numpy(), [None if x is None else str(x) for x in rows["lang"]]
+    return [np.frombuffer(x, np.uint16).reshape(-1, 3) for x in rows["words"]], rows["own_label"].to_numpy(), [None if x is None else str(x) for x in rows["lang"]]
 
 
 def learn(docs: DataFrame, labels: DataFrame, **names) -> Model | None:
