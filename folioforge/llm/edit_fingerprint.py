@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import STEP_BYTES, bounded_batches, cut, mix, partitions
+from .frames import STEP_BYTES, bounded_batches, cut, mapped, mix, partitions
 
 #: Steps after which the random bits repeat, classes of characters, the first octave (steps below go whole) and samples of each further one.
 PERIOD, CLASSES, FIRST, SAMPLES = 4096, 256, 5, 32
@@ -181,7 +181,7 @@ def with_fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", ru
         if len(held) > 1:
             yield rows(held)
 
-    return sorted_runs.mapInArrow(run, ddl)
+    return mapped(sorted_runs, run, ddl)
 
 
 def near_pairs(prints: DataFrame, key: str = "doc_id", fingerprint: str = "fingerprint", least: float = NEAR) -> DataFrame:

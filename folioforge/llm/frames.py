@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -61,6 +63,25 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def tidy() -> None:
+    """Give memory that a task no longer uses back to the system, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, run: Callable, ddl: str) -> DataFrame:
+    """``mapInArrow``, after which each task tidies up."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(tidied, ddl)
+
+
 def in_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str, text: str = "text", whole: bool = False) -> DataFrame:
     """Apply ``step`` to slices of ``df`` of at most STEP_BYTES of ``text``; it gives a dict of columns for each slice."""
     bounded_batches(df.sparkSession)
@@ -74,7 +95,7 @@ def in_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict] | di
                 columns = step(part)
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
@@ -208,7 +229,7 @@ def summed(df: DataFrame, counts: Callable[[pa.RecordBatch], np.ndarray], size:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], schema=schema)
 
     ddl = "chunk int, part binary"
-    merged = df.mapInArrow(first, ddl).repartition(partitions(df.sparkSession), "chunk").mapInArrow(second, ddl)
+    merged = mapped(mapped(df, first, ddl).repartition(partitions(df.sparkSession), "chunk"), second, ddl)
     out = np.zeros(size, np.int64)
     for r in merged.collect():
         got = np.frombuffer(zlib.decompress(r["part"]), np.int64)

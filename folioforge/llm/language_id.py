@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, flat, free_name, in_arrow, slices
+from .frames import bounded_batches, flat, free_name, in_arrow, mapped, slices, tidy
 
 #: Gram buckets, grams of a segment, languages of a set at most, EM steps; a gram's share of independent evidence, and the cost of a language.
 BUCKETS, SEGMENT, MOST, STEPS, SHARE, PENALTY = 1 << 16, 64, 3, 12, 0.25, 4.0
@@ -65,7 +65,7 @@ def count_grams(df: DataFrame, text: str, lang: str) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    partial = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, bucket int, n long")
+    partial = mapped(df.select(F.col(lang).alias("lang"), F.col(text).alias("text")), run, "lang string, bucket int, n long")
     return partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -152,6 +152,7 @@ def attached(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def judged(texts: pd.Series) -> pd.DataFrame:
         pred, score, _ = _predicted(pa.array(texts, pa.string(), from_pandas=True), names, shared.value)
+        tidy()
         return pd.DataFrame({"lang_pred": pred, "score": score})
 
     bounded_batches(docs.sparkSession)

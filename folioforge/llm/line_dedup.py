@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, cut, flat, free_name, lowered, marked, marks, mix, partitions, release, slices, span_hashes, summed, word_spans
+from .frames import bounded_batches, cut, flat, free_name, lowered, mapped, marked, marks, mix, partitions, release, slices, span_hashes, summed, tidy, word_spans
 
 MIN_WORDS, COUNTED = 5, 1 << 20
 #: Similarity as a fraction.
@@ -167,7 +167,7 @@ def classes(df: DataFrame, counts) -> DataFrame:
         if heads:
             yield flush()
 
-    return df.mapInArrow(run, "block int, packed binary").repartition(partitions(df.sparkSession), "block")
+    return mapped(df, run, "block int, packed binary").repartition(partitions(df.sparkSession), "block")
 
 
 def _by_block(batches) -> dict[int, list[bytes]]:
@@ -186,7 +186,7 @@ def first_places(dealt: DataFrame) -> DataFrame:
             heads, _ = _unpacked(blocks)
             yield pa.RecordBatch.from_arrays([pa.array(heads["key"].view(np.int64)), pa.array(heads["doc"]), pa.array(heads["line"])], names=["key", "doc", "line"])
 
-    return dealt.mapInArrow(run, "key long, doc long, line int")
+    return mapped(dealt, run, "key long, doc long, line int")
 
 
 def postings(dealt: DataFrame, words=None) -> DataFrame:
@@ -211,7 +211,7 @@ def postings(dealt: DataFrame, words=None) -> DataFrame:
             cuts = [0, *(np.flatnonzero(np.diff(groups[order])) + 1).tolist(), len(order)]
             yield _blocks((int(groups[order[a]]), post[order[a:b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:]) if b > a)
 
-    return dealt.mapInArrow(run, "block int, packed binary").repartition(partitions(dealt.sparkSession), "block")
+    return mapped(dealt, run, "block int, packed binary").repartition(partitions(dealt.sparkSession), "block")
 
 
 def prefix_words(dealt: DataFrame, wanted, size: int = 1 << 22) -> np.ndarray:
@@ -286,7 +286,7 @@ def candidates(posted: DataFrame) -> DataFrame:
             more = np.logical_or.reduceat((count[got] > 1) | (post["key"][partner[got]] != post["key"][partner[got[begin]]][np.cumsum(fresh) - 1]), begin) if len(got) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([pa.array(best[got[begin]]), *_ends(post, got[begin], partner[got[begin]]), pa.array(more, pa.bool_())], names=["apart", *_PAIR, "more"])
 
-    found = posted.mapInArrow(run, f"apart double, {_PAIR_DDL}, more boolean")
+    found = mapped(posted, run, f"apart double, {_PAIR_DDL}, more boolean")
     ends = F.struct("apart", *_PAIR)
     one = found.groupBy("later_key").agg(F.min(ends).alias("best"), (F.max("more") | (F.min("earlier_key") != F.max("earlier_key"))).alias("more"))
     return one.select(*[F.col(f"best.{x}").alias(x) for x in _PAIR], "more")
@@ -308,7 +308,7 @@ def all_candidates(posted: DataFrame, wanted) -> DataFrame:
                 if ask.any():
                     yield pa.RecordBatch.from_arrays(_ends(post, later[ask], (left + right - later)[ask]), names=_PAIR)
 
-    return posted.mapInArrow(run, _PAIR_DDL).distinct()
+    return mapped(posted, run, _PAIR_DDL).distinct()
 
 
 def sets_of(df: DataFrame, counts, wanted) -> DataFrame:
@@ -322,7 +322,7 @@ def sets_of(df: DataFrame, counts, wanted) -> DataFrame:
                 key, _ = _keys(sizes, bounds, words)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(docs[row]), pa.array(line.astype(np.int32)), pa.array([np.sort(words[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], names=["own_key", "own_doc", "own_line", "words"])
 
-    return df.mapInArrow(run, "own_key long, own_doc long, own_line int, words binary")
+    return mapped(df, run, "own_key long, own_doc long, own_line int, words binary")
 
 
 #: Parts that the later lines of one earlier line are dealt in.
@@ -360,7 +360,7 @@ def verified(df: DataFrame, counts, pairs: DataFrame) -> DataFrame:
                         found.append(key)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["later"])
 
-    return dealt.mapInArrow(run, "later long").distinct()
+    return mapped(dealt, run, "later long").distinct()
 
 
 def kept_places(df: DataFrame) -> DataFrame:
@@ -412,6 +412,7 @@ def _with_kept(df: DataFrame, text: str, key: str) -> tuple[DataFrame, str]:
     @F.pandas_udf("struct<text:string,n_lines:long,n_removed:long>")
     def cut_down(texts: pd.Series, kept: pd.Series) -> pd.DataFrame:
         out, sizes, gone = _cut_down(pa.array(texts, pa.string(), from_pandas=True), kept.tolist())
+        tidy()
         return pd.DataFrame({"text": pd.Series(out, dtype=object), "n_lines": sizes, "n_removed": gone})
 
     joined = df.join(lines, F.coalesce(df[key].cast("long"), F.lit(NO_ID)) == F.col(of_doc), "left")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, cut, flat, free_name, lowered, marked, marks, mix, partitions, release, slices, span_hashes, word_spans
+from .frames import bounded_batches, cut, flat, free_name, lowered, mapped, marked, marks, mix, partitions, release, slices, span_hashes, word_spans
 from .graph import components
 
 WIDTH, ROWS, BANDS, BITS = 5, 5, 24, 4
@@ -133,7 +133,7 @@ def signatures(df: DataFrame) -> DataFrame:
                         sig[i], where[i] = s.tobytes(), w
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), pa.array(sig, pa.binary()), pa.array(where, schema.field("buckets").type)], schema=schema)
 
-    return df.mapInArrow(run, "doc_id long, n long, key long, check long, packed binary, buckets array<long>")
+    return mapped(df, run, "doc_id long, n long, key long, check long, packed binary, buckets array<long>")
 
 
 def node_of(doc_id: Column, key: Column) -> Column:
@@ -215,7 +215,7 @@ def _in_groups(df: DataFrame, keys: list[str], values: list[str], links) -> Data
                 left, right = [], []
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return mapped(dealt, run, "a long, b long")
 
 
 def _alike(columns: list) -> list[tuple[int, int]]:
@@ -285,7 +285,7 @@ def full_sets(df: DataFrame, wanted) -> DataFrame:
                 ask = np.flatnonzero((np.diff(bounds) > 0) & wanted.value[marks(key, len(wanted.value))])
                 yield pa.RecordBatch.from_arrays([pa.array(key[ask].view(np.int64)), pa.array(check[ask].view(np.int64)), pa.array([hashes[bounds[i] : bounds[i + 1]].tobytes() for i in ask.tolist()], pa.binary())], names=["key", "check", "words"])
 
-    return df.mapInArrow(run, "key long, check long, words binary").groupBy("key", "check").agg(F.first("words").alias("words"))
+    return mapped(df, run, "key long, check long, words binary").groupBy("key", "check").agg(F.first("words").alias("words"))
 
 
 def class_roots(own: DataFrame) -> tuple[DataFrame, DataFrame]:

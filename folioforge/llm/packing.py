@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, cut, flat, lowered, slices, span_hashes, word_spans
+from .frames import bounded_batches, cut, flat, lowered, mapped, slices, span_hashes, word_spans
 
 CAPACITY, END_ID, CACHED_WORDS = 2048, 0, 400_000
 
@@ -170,8 +170,9 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text
                 place[order] = np.arange(len(row)) - np.repeat(firsts, many) + np.repeat(seen[sizes], many)
                 seen[sizes] += many
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *(pa.array(x, kind) for x, (_, kind) in zip([piece, start, length, sums, np.full(len(row), task), place], kinds[1:]))], schema=schema)
+        word_ids(path).clear()
 
-    return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{key} long, piece int, start long, length long, ids_crc32 long, part int, place long")
+    return mapped(df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")), run, f"{key} long, piece int, start long, length long, ids_crc32 long, part int, place long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -239,4 +240,4 @@ def pack(df: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text",
             nth = rank - run[:, 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(run[:, 3] + nth // run[:, 4], pa.int64()), pa.array(run[:, 5] + nth % run[:, 4] * length, pa.int64())], names=names)
 
-    return ranked.mapInArrow(take, f"{key} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return mapped(ranked, take, f"{key} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, flat, free_name, in_arrow, lowered, slices, span_hashes, word_spans
+from .frames import bounded_batches, flat, free_name, in_arrow, lowered, slices, span_hashes, tidy, word_spans
 from .language_id import fold
 
 #: Labelled rows to learn from: of label 1 and of label 0 at most; words of one of them at most.
@@ -263,6 +263,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
         own, table = shared.value
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
         found = [own.score(logits(own, table, *features(part.column(0)))) for part in slices(batch, "text")]
+        tidy()
         return pd.Series(np.concatenate([np.zeros(0), *found]))
 
     bounded_batches(docs.sparkSession)
