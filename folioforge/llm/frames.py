@@ -60,7 +60,7 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):  # what Python lets go of in the first round, the JVM finds in the second
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+        time.sleep(0.5)
 
 
 def tidy() -> None:

@@ -128,6 +128,16 @@ def _unpacked(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return heads, _take_runs(tokens, begin[order], heads["prefix"].astype(np.int64))
 
 
+def _by_bytes(rows: np.ndarray) -> bytes:
+    """Fixed-size rows with their first bytes together, then their second bytes, and so on: leading zeros compress well."""
+    return np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), rows.itemsize).T).tobytes()
+
+
+def _postings_of(raw: bytes) -> np.ndarray:
+    n = len(raw) // _POST.itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(_POST.itemsize, n).T).view(_POST)[:, 0] if n else np.zeros(0, _POST)
+
+
 def _blocks(rows) -> pa.RecordBatch:
     rows = list(rows)
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "packed"])
@@ -209,7 +219,7 @@ def postings(dealt: DataFrame, words=None) -> DataFrame:
             groups = post["word"] % many
             order = np.argsort(groups, kind="stable")
             cuts = [0, *(np.flatnonzero(np.diff(groups[order])) + 1).tolist(), len(order)]
-            yield _blocks((int(groups[order[a]]), post[order[a:b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:]) if b > a)
+            yield _blocks((int(groups[order[a]]), _by_bytes(post[order[a:b]])) for a, b in zip(cuts[:-1], cuts[1:]) if b > a)
 
     return mapped(dealt, run, "block int, packed binary").repartition(partitions(dealt.sparkSession), "block")
 
@@ -267,7 +277,7 @@ def candidates(posted: DataFrame) -> DataFrame:
 
     def run(batches):
         for blocks in _by_block(batches).values():
-            post = np.concatenate([np.frombuffer(x, _POST) for x in blocks])
+            post = np.concatenate([_postings_of(x) for x in blocks])
             post = post[np.lexsort((post["size"], post["word"]))]
             place = np.empty(len(post), np.int64)
             place[np.lexsort((post["key"], post["line"], post["doc"]))] = np.arange(len(post))
@@ -297,7 +307,7 @@ def all_candidates(posted: DataFrame, wanted) -> DataFrame:
 
     def run(batches):
         for blocks in _by_block(batches).values():
-            post = np.concatenate([np.frombuffer(x, _POST) for x in blocks])
+            post = np.concatenate([_postings_of(x) for x in blocks])
             post = post[np.lexsort((post["size"], post["word"]))]
             place = np.empty(len(post), np.int64)
             place[np.lexsort((post["key"], post["line"], post["doc"]))] = np.arange(len(post))
@@ -311,8 +321,19 @@ def all_candidates(posted: DataFrame, wanted) -> DataFrame:
     return mapped(posted, run, _PAIR_DDL).distinct()
 
 
+def _short(words: np.ndarray) -> bytes:
+    """Word hashes in 48 bits each."""
+    return words.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0]
+
+
 def sets_of(df: DataFrame, counts, wanted) -> DataFrame:
-    """(own_key, own_doc, own_line, words): the sets of the lines whose place is marked, as sorted 64-bit hashes."""
+    """(own_key, own_doc, own_line, words): the sets of the lines whose place is marked, as 48-bit hashes."""
 
     def run(batches):
         for batch in batches:
@@ -320,7 +341,7 @@ def sets_of(df: DataFrame, counts, wanted) -> DataFrame:
                 docs = np.asarray(part.column(0))
                 row, line, sizes, bounds, words = line_sets(*flat(part.column(1)), counts.value, lambda row, line: wanted.value[marks(_places(docs[row], line), len(wanted.value))])
                 key, _ = _keys(sizes, bounds, words)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(docs[row]), pa.array(line.astype(np.int32)), pa.array([np.sort(words[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], names=["own_key", "own_doc", "own_line", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(docs[row]), pa.array(line.astype(np.int32)), pa.array([_short(words[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], names=["own_key", "own_doc", "own_line", "words"])
 
     return mapped(df, run, "own_key long, own_doc long, own_line int, words binary")
 
@@ -351,7 +372,7 @@ def verified(df: DataFrame, counts, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for group, piece, role, key, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                own = np.frombuffer(raw, np.uint64)
+                own = _long(raw)
                 if not role:
                     last, base = (group, piece), own
                 elif last == (group, piece):
