@@ -61,26 +61,25 @@ def fingerprints(texts: list[np.ndarray]) -> list[str]:
     classes = (np.concatenate([texts[i] for i in live]) * np.uint32(2654435761) >> np.uint32(24)).astype(np.int64)
     at = np.cumsum(sizes[live]) - sizes[live]
     stop = at + sizes[live]
+    classes = np.concatenate([classes, np.zeros(16, np.int64)])  # ended walks go on into what follows until they are put aside
     found: list[np.ndarray] = []
     owners: list[np.ndarray] = []
-    step, k, longest = 0, 0, int(_STEPS[0])
+    step, k, sampled = 0, 0, int(_STEPS[0])
     who = live
     while len(who):
+        if step == sampled or step & 15 == 0 or len(who) < 64:
+            on = at < stop
+            if not on.all():
+                at, stop, who = at[on], stop[on], who[on]
         here = classes[at]
         row = step % PERIOD
-        if step == longest:
+        if step == sampled:
             found.append(_HEX[_SYMBOLS[row][here]])
             owners.append(who)
             k += 1
-            longest = int(_STEPS[k])
+            sampled = int(_STEPS[k])
         at = at + _MOVES[row][here]
         step += 1
-        if step & 15 == 0 or len(who) < 64:
-            on = at < stop
-            if not on.all():
-                at, stop, who = at[on], stop[on], who[on]
-        else:
-            np.minimum(at, stop - 1, out=at)
     symbols, owner = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     symbols, owner = symbols[order].tobytes().decode(), owner[order]
