@@ -32,8 +32,8 @@ MIN_WORDS, COUNTED = 5, 1 << 20
 UP, DOWN = 4, 5
 #: Places of rows without a doc_id.
 NO_ID = (1 << 63) - 1
-_HEAD = np.dtype([("key", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("bits", "<u8"), ("prefix", "<i4")])
-_POST = np.dtype([("word", "<u4"), ("key", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("at", "<i4"), ("bits", "<u8")])
+_HEAD = np.dtype([("key", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("low", "<u8"), ("high", "<u8"), ("prefix", "<i4")])
+_POST = np.dtype([("word", "<u4"), ("key", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("at", "<i4"), ("low", "<u8"), ("high", "<u8")])
 
 
 def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -162,12 +162,13 @@ def classes(df: DataFrame, counts) -> DataFrame:
                 row, line, sizes, bounds, words = line_sets(*flat(part.column(1)), counts.value)
                 key, check = _keys(sizes, bounds, words)
                 own = np.repeat(np.arange(len(row)), sizes)
-                bits = np.zeros(len(row), np.uint64)
+                low = high = np.zeros(len(row), np.uint64)
                 if len(row):
-                    bits = np.bitwise_xor.reduceat(np.uint64(1) << ((words >> np.uint64(8)) & np.uint64(63)), bounds[:-1])
+                    bit, upper = np.uint64(1) << ((words >> np.uint64(8)) & np.uint64(63)), (words >> np.uint64(14)) & np.uint64(1)
+                    low, high = (np.bitwise_xor.reduceat(bit * half, bounds[:-1]) for half in (upper, np.uint64(1) - upper))
                 prefix = sizes - -(-UP * sizes // DOWN) + 1
                 h = np.zeros(len(row), _HEAD)
-                h["key"], h["check"], h["doc"], h["line"], h["size"], h["bits"], h["prefix"] = key, check, docs[row], line, sizes, bits, prefix
+                h["key"], h["check"], h["doc"], h["line"], h["size"], h["low"], h["high"], h["prefix"] = key, check, docs[row], line, sizes, low, high, prefix
                 heads.append(h)
                 tokens.append((words[np.arange(len(words)) - bounds[own] < prefix[own]] >> np.uint64(16)).astype(np.uint32))
                 held += h.nbytes + tokens[-1].nbytes
@@ -214,7 +215,7 @@ def postings(dealt: DataFrame, words=None) -> DataFrame:
                 own, at, tokens = own[ask], at[ask], tokens[ask]
             post = np.zeros(len(tokens), _POST)
             post["word"], post["at"] = tokens, at
-            for name in ("key", "doc", "line", "size", "bits"):
+            for name in ("key", "doc", "line", "size", "low", "high"):
                 post[name] = heads[name][own]
             groups = post["word"] % many
             order = np.argsort(groups, kind="stable")
@@ -238,25 +239,35 @@ def prefix_words(dealt: DataFrame, wanted, size: int = 1 << 22) -> np.ndarray:
     return summed(dealt.select("block", "packed"), count, size, by="packed") > 0
 
 
+#: Pairs that are tested at once.
+AT_ONCE = 1 << 18
+
+
 def _meetings(post: np.ndarray):
-    """Pairs (i, j) of postings of one word that pass the filters, each step's as arrays; ``post`` is sorted by word and size."""
-    left = np.arange(len(post))
-    step = 1
-    while True:
-        left = left[left + step < len(post)]
-        right = left + step
-        same = (post["word"][left] == post["word"][right]) & (UP * post["size"][right].astype(np.int64) <= DOWN * post["size"][left].astype(np.int64))
-        left, right = left[same], right[same]
-        if not len(left):
-            return
-        a, b = post["size"][left].astype(np.int64), post["size"][right].astype(np.int64)
-        i, j = post["at"][left], post["at"][right]
-        need = needed(a, b)
-        most = np.minimum(i, j) + 1 + np.minimum(a - 1 - i, b - 1 - j)
-        apart = np.bitwise_count(post["bits"][left] ^ post["bits"][right])
-        fit = (most >= need) & (apart <= a + b - 2 * need) & (post["key"][left] != post["key"][right])
-        yield left[fit], right[fit], apart[fit] / (a + b)[fit]
-        step += 1
+    """Pairs (i, j) of postings of one word that pass the filters, with how far apart they are, some at a time; ``post`` is sorted by word and size."""
+    if not len(post):
+        return
+    size = post["size"].astype(np.int64)
+    group = np.cumsum(np.concatenate([[0], post["word"][1:] != post["word"][:-1]])).astype(np.int64) << 32
+    stop = np.searchsorted(group + size, group + DOWN * size // UP, side="right")
+    many = stop - np.arange(len(post)) - 1
+    done = np.cumsum(many)
+    start = 0
+    while start < len(post):
+        end = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + AT_ONCE, side="right")))
+        own = many[start:end]
+        left = np.repeat(np.arange(start, end), own)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(own) - own, own)
+        both = size[left] + size[right]
+        room = both - 2 * needed(size[left], size[right])
+        apart = np.bitwise_count(post["low"][left] ^ post["low"][right]).astype(np.int64) + np.bitwise_count(post["high"][left] ^ post["high"][right])
+        fit = np.flatnonzero(apart <= room)
+        left, right, both, apart = left[fit], right[fit], both[fit], apart[fit]
+        i, j = post["at"][left].astype(np.int64), post["at"][right].astype(np.int64)
+        most = np.minimum(i, j) + 1 + np.minimum(size[left] - 1 - i, size[right] - 1 - j)
+        fit = (most >= needed(size[left], size[right])) & (post["key"][left] != post["key"][right])
+        yield left[fit], right[fit], apart[fit] / both[fit]
+        start = end
 
 
 _ENDS = ("key", "doc", "line")
@@ -283,11 +294,16 @@ def candidates(posted: DataFrame) -> DataFrame:
             place[np.lexsort((post["key"], post["line"], post["doc"]))] = np.arange(len(post))
             best, partner, count = np.full(len(post), np.inf), np.full(len(post), -1), np.zeros(len(post), np.int64)
             for left, right, apart in _meetings(post):
-                ordered = place[left] < place[right]
-                for mine, other, d in ((right[ordered], left[ordered], apart[ordered]), (left[~ordered], right[~ordered], apart[~ordered])):
-                    count[mine] += 1
-                    better = d < best[mine]
-                    best[mine[better]], partner[mine[better]] = d[better], other[better]
+                swap = place[left] > place[right]
+                later, earlier = np.where(swap, left, right), np.where(swap, right, left)
+                count += np.bincount(later, minlength=len(post))
+                order = np.lexsort((apart, later))
+                later, earlier, apart = later[order], earlier[order], apart[order]
+                first = np.ones(len(later), bool)
+                first[1:] = later[1:] != later[:-1]
+                later, earlier, apart = later[first], earlier[first], apart[first]
+                better = apart < best[later]
+                best[later[better]], partner[later[better]] = apart[better], earlier[better]
             got = np.flatnonzero(count)
             got = got[np.lexsort((best[got], post["key"][got]))]
             fresh = np.ones(len(got), bool)
@@ -315,8 +331,10 @@ def all_candidates(posted: DataFrame, wanted) -> DataFrame:
             for left, right, _ in _meetings(post):
                 later = np.where(place[left] < place[right], right, left)
                 ask = asked[later]
-                if ask.any():
-                    yield pa.RecordBatch.from_arrays(_ends(post, later[ask], (left + right - later)[ask]), names=_PAIR)
+                later, earlier = later[ask], (left + right - later)[ask]
+                if len(later):
+                    _, once = np.unique(post["key"][later] * np.uint64(3) + post["key"][earlier], return_index=True)
+                    yield pa.RecordBatch.from_arrays(_ends(post, later[once], earlier[once]), names=_PAIR)
 
     return mapped(posted, run, _PAIR_DDL).distinct()
 
