@@ -20,12 +20,11 @@ has an empty text; only the named columns are read; an empty table gives no rows
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, cut, flat, free_name, lowered, mapped, marked, marks, mix, partitions, release, slices, span_hashes, summed, tidy, word_spans
+from .frames import bounded_batches, cut, flat, free_name, lowered, mapped, marked, marks, mix, partitions, release, slices, span_hashes, summed, word_spans
 
 MIN_WORDS, COUNTED = 5, 1 << 20
 #: Similarity as a fraction.
@@ -133,9 +132,32 @@ def _by_bytes(rows: np.ndarray) -> bytes:
     return np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), rows.itemsize).T).tobytes()
 
 
-def _postings_of(raw: bytes) -> np.ndarray:
-    n = len(raw) // _POST.itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(_POST.itemsize, n).T).view(_POST)[:, 0] if n else np.zeros(0, _POST)
+def _postings_of(blocks: list[bytes], kind: np.dtype) -> np.ndarray:
+    """The postings of a block, by word and size."""
+    parts = [np.zeros(0, kind)]
+    for raw in blocks:
+        n = len(raw) // kind.itemsize
+        parts.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind)[:, 0])
+    post = np.concatenate(parts)
+    return post[np.argsort((post["word"].astype(np.uint64) << np.uint64(32)) | post["size"].astype(np.uint64))]
+
+
+def _swapped(post: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether the left one of a pair is the later."""
+    a, b = post[["doc", "line", "key"]][left], post[["doc", "line", "key"]][right]
+    return (a["doc"] > b["doc"]) | ((a["doc"] == b["doc"]) & ((a["line"] > b["line"]) | ((a["line"] == b["line"]) & (a["key"] > b["key"]))))
+
+
+def _first_common(post: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether no earlier word is known to be in both prefixes."""
+    out = np.ones(len(left), bool)
+    known = np.arange(BEFORE)
+    for i in range(0, len(left), 1 << 14):
+        a, b = post[left[i : i + (1 << 14)]], post[right[i : i + (1 << 14)]]
+        same = a["before"][:, :, None] == b["before"][:, None, :]
+        same &= (known < a["at"][:, None])[:, :, None] & (known < b["at"][:, None])[:, None, :]
+        out[i : i + (1 << 14)] = ~same.any(axis=(1, 2))
+    return out
 
 
 def _blocks(rows) -> pa.RecordBatch:
@@ -160,6 +182,8 @@ def classes(df: DataFrame, counts) -> DataFrame:
             for part in slices(batch, "text"):
                 docs = np.asarray(part.column(0))
                 row, line, sizes, bounds, words = line_sets(*flat(part.column(1)), counts.value)
+                if len(row):
+                    yield _blocks([(PLACES, np.stack([docs[row], line.astype(np.int64)]).tobytes())])
                 key, check = _keys(sizes, bounds, words)
                 own = np.repeat(np.arange(len(row)), sizes)
                 low = high = np.zeros(len(row), np.uint64)
@@ -178,17 +202,36 @@ def classes(df: DataFrame, counts) -> DataFrame:
         if heads:
             yield flush()
 
-    return mapped(df, run, "block int, packed binary").repartition(partitions(df.sparkSession), "block")
+    return mapped(df, run, "block int, packed binary").repartition(partitions(df.sparkSession), "block", F.when(F.col("block") == PLACES, F.xxhash64("packed")))
+
+
+#: The block that holds the places of all lines with enough words.
+PLACES = -1
 
 
 def _by_block(batches) -> dict[int, list[bytes]]:
     held: dict[int, list[bytes]] = {}
     for batch in batches:
         for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held.setdefault(block, []).append(raw)
+            if block != PLACES:
+                held.setdefault(block, []).append(raw)
     return held
 
 
+def all_places(dealt: DataFrame) -> DataFrame:
+    """(long_doc, long_lines): for each document and slice the numbers of the lines with enough words."""
+
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column(1).to_pylist():
+                docs, lines = np.frombuffer(raw, np.int64).reshape(2, -1)
+                first = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+                offsets = pa.array(np.append(first, len(docs)), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(docs[first]), pa.ListArray.from_arrays(offsets, pa.array(lines, pa.int64()))], names=["long_doc", "long_lines"])
+
+    return mapped(dealt.where(f"block = {PLACES}"), run, "long_doc long, long_lines array<long>")
+
+
 def first_places(dealt: DataFrame) -> DataFrame:
     """(key, doc, line) of each class."""
 
@@ -197,7 +240,7 @@ def first_places(dealt: DataFrame) -> DataFrame:
             heads, _ = _unpacked(blocks)
             yield pa.RecordBatch.from_arrays([pa.array(heads["key"].view(np.int64)), pa.array(heads["doc"]), pa.array(heads["line"])], names=["key", "doc", "line"])
 
-    return mapped(dealt, run, "key long, doc long, line int")
+    return mapped(dealt.where(f"block != {PLACES}"), run, "key long, doc long, line int")
 
 
 def postings(dealt: DataFrame, words=None) -> DataFrame:
@@ -209,12 +252,17 @@ def postings(dealt: DataFrame, words=None) -> DataFrame:
             heads, tokens = _unpacked(blocks)
             sizes = heads["prefix"].astype(np.int64)
             own = np.repeat(np.arange(len(heads)), sizes)
-            at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            begin = np.cumsum(sizes) - sizes
+            at = np.arange(len(tokens)) - begin[own]
             if words is not None:
+                spread = begin[:, None] + np.arange(BEFORE)
+                before = np.where(np.arange(BEFORE) < sizes[:, None], tokens[np.minimum(spread, max(0, len(tokens) - 1))], 0) if len(tokens) else np.zeros((0, BEFORE), "<u4")
                 ask = words.value[marks(tokens.astype(np.uint64), len(words.value))]
                 own, at, tokens = own[ask], at[ask], tokens[ask]
-            post = np.zeros(len(tokens), _POST)
+            post = np.zeros(len(tokens), _POST if words is None else _POST_2)
             post["word"], post["at"] = tokens, at
+            if words is not None:
+                post["before"] = before[own]
             for name in ("key", "doc", "line", "size", "low", "high"):
                 post[name] = heads[name][own]
             groups = post["word"] % many
@@ -222,7 +270,7 @@ def postings(dealt: DataFrame, words=None) -> DataFrame:
             cuts = [0, *(np.flatnonzero(np.diff(groups[order])) + 1).tolist(), len(order)]
             yield _blocks((int(groups[order[a]]), _by_bytes(post[order[a:b]])) for a, b in zip(cuts[:-1], cuts[1:]) if b > a)
 
-    return mapped(dealt, run, "block int, packed binary").repartition(partitions(dealt.sparkSession), "block")
+    return mapped(dealt.where(f"block != {PLACES}"), run, "block int, packed binary").repartition(partitions(dealt.sparkSession), "block")
 
 
 def prefix_words(dealt: DataFrame, wanted, size: int = 1 << 22) -> np.ndarray:
@@ -230,7 +278,9 @@ def prefix_words(dealt: DataFrame, wanted, size: int = 1 << 22) -> np.ndarray:
 
     def count(part: pa.RecordBatch) -> np.ndarray:
         out = np.zeros(size, np.int64)
-        for raw in part.column(1).to_pylist():
+        for block, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            if block == PLACES:
+                continue
             heads, tokens = _unpacked([raw])
             ask = wanted.value[marks(heads["key"], len(wanted.value))]
             out[marks(tokens[np.repeat(ask, heads["prefix"])].astype(np.uint64), size)] = 1
@@ -239,6 +289,10 @@ def prefix_words(dealt: DataFrame, wanted, size: int = 1 << 22) -> np.ndarray:
     return summed(dealt.select("block", "packed"), count, size, by="packed") > 0
 
 
+#: In the second round a posting also holds the first words of its prefix, so that a pair is handed on under its first common word.
+BEFORE = 16
+_POST_2 = np.dtype([*_POST.descr, ("before", "<u4", (BEFORE,))])
+
 #: Pairs that are tested at once.
 AT_ONCE = 1 << 18
 
@@ -288,13 +342,10 @@ def candidates(posted: DataFrame) -> DataFrame:
 
     def run(batches):
         for blocks in _by_block(batches).values():
-            post = np.concatenate([_postings_of(x) for x in blocks])
-            post = post[np.lexsort((post["size"], post["word"]))]
-            place = np.empty(len(post), np.int64)
-            place[np.lexsort((post["key"], post["line"], post["doc"]))] = np.arange(len(post))
+            post = _postings_of(blocks, _POST)
             best, partner, count = np.full(len(post), np.inf), np.full(len(post), -1), np.zeros(len(post), np.int64)
             for left, right, apart in _meetings(post):
-                swap = place[left] > place[right]
+                swap = _swapped(post, left, right)
                 later, earlier = np.where(swap, left, right), np.where(swap, right, left)
                 count += np.bincount(later, minlength=len(post))
                 order = np.lexsort((apart, later))
@@ -323,14 +374,12 @@ def all_candidates(posted: DataFrame, wanted) -> DataFrame:
 
     def run(batches):
         for blocks in _by_block(batches).values():
-            post = np.concatenate([_postings_of(x) for x in blocks])
-            post = post[np.lexsort((post["size"], post["word"]))]
-            place = np.empty(len(post), np.int64)
-            place[np.lexsort((post["key"], post["line"], post["doc"]))] = np.arange(len(post))
+            post = _postings_of(blocks, _POST_2)
             asked = wanted.value[marks(post["key"], len(wanted.value))]
             for left, right, _ in _meetings(post):
-                later = np.where(place[left] < place[right], right, left)
-                ask = asked[later]
+                later = np.where(_swapped(post, left, right), left, right)
+                ask = np.flatnonzero(asked[later])
+                ask = ask[_first_common(post, left[ask], right[ask])]
                 later, earlier = later[ask], (left + right - later)[ask]
                 if len(later):
                     _, once = np.unique(post["key"][later] * np.uint64(3) + post["key"][earlier], return_index=True)
@@ -350,12 +399,13 @@ def _long(raw: bytes) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
-def sets_of(df: DataFrame, counts, wanted) -> DataFrame:
-    """(own_key, own_doc, own_line, words): the sets of the lines whose place is marked, as 48-bit hashes."""
+def sets_of(df: DataFrame, counts, wanted, wanted_docs) -> DataFrame:
+    """(own_key, own_doc, own_line, words): the sets of the lines whose place is marked, as 48-bit hashes. Texts of documents without a mark are passed over."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            asked = wanted_docs.value[marks(np.asarray(batch.column(0)).astype(np.uint64), len(wanted_docs.value))]
+            for part in slices(batch.filter(pa.array(asked)), "text"):
                 docs = np.asarray(part.column(0))
                 row, line, sizes, bounds, words = line_sets(*flat(part.column(1)), counts.value, lambda row, line: wanted.value[marks(_places(docs[row], line), len(wanted.value))])
                 key, _ = _keys(sizes, bounds, words)
@@ -381,7 +431,7 @@ def verified(df: DataFrame, counts, pairs: DataFrame) -> DataFrame:
     sent = pairs.select(F.explode(F.array(target("earlier", 0), target("later", 1))).alias("x")).select("x.at.key", "x.at.doc", "x.at.line", "x.group", "x.part", "x.role").distinct()
     size = 1 << 22
     wanted = spark.sparkContext.broadcast(summed(sent.select(F.lit("").alias("none"), "doc", "line"), lambda part: np.bincount(marks(_places(np.asarray(part.column(1)), np.asarray(part.column(2))), size), minlength=size), size) > 0)
-    sets = sets_of(df, counts, wanted)
+    sets = sets_of(df, counts, wanted, spark.sparkContext.broadcast(marked(sent, "doc")))
     joined = sets.join(sent, (F.col("own_key") == F.col("key")) & (F.col("own_doc") == F.col("doc")) & (F.col("own_line") == F.col("line")))
     dealt = joined.select("group", "part", "role", "key", "words").repartition(partitions(spark), "group", "part").sortWithinPartitions("group", "part", "role")
 
@@ -402,8 +452,8 @@ def verified(df: DataFrame, counts, pairs: DataFrame) -> DataFrame:
     return mapped(dealt, run, "later long").distinct()
 
 
-def kept_places(df: DataFrame) -> DataFrame:
-    """(doc, line) of the lines with enough words that stay."""
+def removed_lines(df: DataFrame) -> DataFrame:
+    """(gone_doc, gone_lines): of each document with lines that go, their numbers."""
     spark = df.sparkSession
     bounded_batches(spark)
     counts = spark.sparkContext.broadcast(count_words(df))
@@ -423,39 +473,24 @@ def kept_places(df: DataFrame) -> DataFrame:
         release(spark)
         gone = gone.unionAll(cut(verified(df, counts, rest)))
         release(spark)
-    return first_places(dealt).join(gone, F.col("key") == F.col("later"), "left_anti").select("doc", "line")
-
-
-def _cut_down(texts: pa.Array, kept: list) -> tuple[list, list[int], list[int]]:
-    """Texts without the lines that aren't kept, and their numbers of lines and of removed lines."""
-    row, line, *_ = line_words(*flat(texts))
-    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-    out, sizes, gone = [], [], []
-    for i, (value, stay) in enumerate(zip(texts.to_pylist(), kept)):
-        lines = (value or "").split("\n")
-        drop = set(line[bounds[i] : bounds[i + 1]].tolist()).difference(() if stay is None else stay.tolist())
-        out.append(value if value is None or not drop else "\n".join(x for k, x in enumerate(lines) if k not in drop))
-        sizes.append(len(lines) if value else 0)
-        gone.append(len(drop))
-    return out, sizes, gone
+    kept = first_places(dealt).join(gone, F.col("key") == F.col("later"), "left_anti").groupBy("doc").agg(F.collect_list(F.col("line").cast("long")).alias("kept"))
+    known = all_places(dealt).groupBy("long_doc").agg(F.array_distinct(F.flatten(F.collect_list("long_lines"))).alias("long_lines"))
+    left = known.join(kept, F.col("long_doc") == F.col("doc"), "left").select("long_doc", F.array_except("long_lines", F.coalesce("kept", F.array().cast("array<long>"))).alias("gone_lines"))
+    return left.where("size(gone_lines) > 0").withColumnRenamed("long_doc", "gone_doc")
 
 
 def _with_kept(df: DataFrame, text: str, key: str) -> tuple[DataFrame, str]:
-    """``df`` with a column, named so that it clashes with none, of the text without later matches and its numbers of lines."""
-    own = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).cast("string").alias("text"))
-    places = kept_places(own)
-    name = free_name(df, "line_dedup_result")
-    of_doc, stay = free_name(df, "line_dedup_doc"), free_name(df, "line_dedup_lines")
-    lines = places.groupBy(F.col("doc").alias(of_doc)).agg(F.collect_list("line").alias(stay))
-
-    @F.pandas_udf("struct<text:string,n_lines:long,n_removed:long>")
-    def cut_down(texts: pd.Series, kept: pd.Series) -> pd.DataFrame:
-        out, sizes, gone = _cut_down(pa.array(texts, pa.string(), from_pandas=True), kept.tolist())
-        tidy()
-        return pd.DataFrame({"text": pd.Series(out, dtype=object), "n_lines": sizes, "n_removed": gone})
-
-    joined = df.join(lines, F.coalesce(df[key].cast("long"), F.lit(NO_ID)) == F.col(of_doc), "left")
-    return joined.withColumn(name, cut_down(F.col(text).cast("string"), F.col(stay))).drop(of_doc, stay), name
+    """``df`` with a struct, named so that it clashes with no column, of the text without later matches and its numbers of lines."""
+    gone = removed_lines(df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).cast("string").alias("text")))
+    name, of_doc, lines = free_name(df, "line_dedup_result"), free_name(df, "line_dedup_doc"), free_name(df, "line_dedup_lines")
+    joined = df.join(gone.select(F.col("gone_doc").alias(of_doc), F.col("gone_lines").alias(lines)), F.coalesce(df[key].cast("long"), F.lit(NO_ID)) == F.col(of_doc), "left")
+    whole = F.col(text).cast("string")
+    count = F.when(F.coalesce(whole, F.lit("")) == "", 0).otherwise(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    left = F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains(F.col(lines), i.cast("long")))
+    parts = F.when(F.col(lines).isNull() | whole.isNull(), F.struct(whole.alias("text"), count.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))).otherwise(
+        F.struct(F.array_join(left, "\n").alias("text"), count.alias("n_lines"), (count - F.when(count > 0, F.size(left)).otherwise(0)).cast("long").alias("n_removed"))
+    )
+    return joined.withColumn(name, parts).drop(of_doc, lines), name
 
 
 def dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
