@@ -51,3 +51,8 @@ def hashes(spark: SparkSession, path: str) -> DataFrame:
 def error_row(message: Column) -> dict[str, Column]:
     """What a document that failed is registered as."""
     return {"processing_status": F.lit("error"), "processed_ok": F.lit("no"), "needs_review": F.lit("yes"), "review_reason": F.lit(fixed.ERROR_REASON), "error_message": F.left(text(message), F.lit(1000)), "confidence": F.lit("low")}
+
+
+def export_csv(spark: SparkSession, path: str, to: str, wide: bool = True) -> None:
+    """The register as CSV with a header, for spreadsheets."""
+    read(spark, path, wide).write.mode("overwrite").option("header", True).option("escape", '"').csv(to)

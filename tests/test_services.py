@@ -1,0 +1,89 @@
+"""The chat client against a local server, file actions, OCR's reasons, and the command line."""
+
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
+from pathlib import Path
+
+import pytest
+
+from folioforge import __main__ as command
+from folioforge.operators.model import ModelFailure, ModelTimeout, ModelUnreachable
+from folioforge.sources import staging
+from folioforge.sources.chat import ChatModel
+
+
+@pytest.fixture
+def service():
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(body)
+            said = body["messages"][0]["content"]
+            if "wait" in said:
+                threading.Event().wait(1.5)
+            if "status" in said:
+                self.send_error(500, "broken")
+                return
+            reply = {"message": {"content": '{"a": 1}'}, "done_reason": "length" if "cut" in said else "stop", "total_duration": 10**9}
+            out = b"no json" if "garbage" in said else json.dumps(reply).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(out)))
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", seen
+    server.shutdown()
+
+
+def test_chat(service):
+    url, seen = service
+    asked = ChatModel(url, "m", 1)
+    assert asked.classify("x") == '{"a": 1}'
+    assert asked.extract("Category: c\nFields: lessor, lessee\nText: y") == '{"a": 1}'
+    assert seen[0]["options"] == {"temperature": 0, "num_predict": 500} and not seen[0]["stream"]
+    assert seen[1]["format"]["required"] == ["lessor", "lessee"] and seen[1]["options"]["num_predict"] == 750
+    for words in ("cut", "status", "garbage"):
+        with pytest.raises(ModelFailure):
+            asked.classify(words)
+    with pytest.raises(ModelTimeout):
+        asked.classify("wait")
+    with pytest.raises(ModelUnreachable):
+        ChatModel("http://127.0.0.1:9", "m", 1).classify("x")
+
+
+def test_file_actions(tmp_path):
+    source = tmp_path / "a b.pdf"
+    source.write_text("x")
+    staged = staging.stage(f"file://{tmp_path}/a%20b.pdf", str(tmp_path / "work" / "s.pdf"))
+    assert staged.read_text() == "x" and staging.archive(str(staged), str(tmp_path / "done")).exists() and not staged.exists()
+    staging.set_aside(str(source), str(tmp_path / "bad"))
+    assert (tmp_path / "bad" / "a b.pdf").exists() and source.exists()
+    staging.set_aside(str(tmp_path / "missing"), str(tmp_path / "bad"))
+
+
+def test_ocr_reasons(tmp_path, monkeypatch):
+    assert "OCR indisponivel" in staging.run_ocr("a.pdf", str(tmp_path / "o.pdf"), "por", 1)
+    monkeypatch.setattr(staging, "ocr_command", lambda *a: ["sleep", "5"])
+    (tmp_path / "o.pdf").write_text("partial")
+    assert "excedeu 1 segundos" in staging.run_ocr("a.pdf", str(tmp_path / "o.pdf"), "por", 1) and not (tmp_path / "o.pdf").exists()
+    monkeypatch.setattr(staging, "ocr_command", lambda *a: ["true"])
+    assert staging.run_ocr("a.pdf", str(tmp_path / "o.pdf"), "por", 5) == ""
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_text("contrato de arrendamento")
+    config = tmp_path / "c.json"
+    config.write_text(json.dumps({"input_dir": "in", "register_path": "register", "processing_dir": "work", "archive_dir": "done", "error_dir": "bad", "log_dir": "logs", "minimum_file_age_seconds": 0}))
+    assert command.main(["scan", "--config", str(config)]) == 0
+    assert command.main(["export", "--config", str(config), "--to", str(tmp_path / "csv")]) == 0
+    text = "".join(p.read_text() for p in Path(tmp_path / "csv").glob("*.csv"))
+    assert text.startswith("processed_at,source_file_name") and "a.pdf" in text and (tmp_path / "logs" / "intake.log").exists()
