@@ -8,7 +8,7 @@ How: words are counted over all documents in a hashed table of fixed size; each
 Lines of equal sets become one class with its first place. Each class is posted under the words of its prefix, the
 rarest n - ceil(0.8 n) + 1. Classes that meet under a word pass the length filter, the positional filter and a bitmap
 filter (each of which drops only pairs that cannot reach 0.8). Of the pairs that remain, each later class hands on its
-most promising one, which is verified on the full sets. Later classes still without a match that had more pairs go
+two most promising ones, which are verified on the full sets. Later classes still without a match that had more pairs go
 through a second round with all of them, so nothing is lost, and a large group of alike lines makes a number of pairs
 in proportion to its size.
 
@@ -136,8 +136,11 @@ def _postings_of(blocks: list[bytes], kind: np.dtype) -> np.ndarray:
     """The postings of a block, by word and size."""
     parts = [np.zeros(0, kind)]
     for raw in blocks:
-        n = len(raw) // kind.itemsize
-        parts.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind)[:, 0])
+        many = int.from_bytes(raw[:4], "little")
+        at = 4 + 8 * many
+        for size in np.frombuffer(raw, "<i8", many, 4).tolist():
+            parts.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, -1).T).view(kind)[:, 0])
+            at += size
     post = np.concatenate(parts)
     return post[np.argsort((post["word"].astype(np.uint64) << np.uint64(32)) | post["size"].astype(np.uint64))]
 
@@ -167,7 +170,7 @@ def _blocks(rows) -> pa.RecordBatch:
 
 def classes(df: DataFrame, counts) -> DataFrame:
     """(block, packed): the classes of a task's lines, dealt by their key."""
-    many = 4 * partitions(df.sparkSession)
+    many = partitions(df.sparkSession)
 
     def run(batches):
         heads, tokens, held = [], [], 0
@@ -245,9 +248,10 @@ def first_places(dealt: DataFrame) -> DataFrame:
 
 def postings(dealt: DataFrame, words=None) -> DataFrame:
     """(block, packed): the classes' postings, dealt by word; only under words marked in ``words``, if given."""
-    many = 4 * partitions(dealt.sparkSession)
+    many = partitions(dealt.sparkSession)
 
     def run(batches):
+        made: dict[int, list[bytes]] = {}
         for blocks in _by_block(batches).values():
             heads, tokens = _unpacked(blocks)
             sizes = heads["prefix"].astype(np.int64)
@@ -268,7 +272,10 @@ def postings(dealt: DataFrame, words=None) -> DataFrame:
             groups = post["word"] % many
             order = np.argsort(groups, kind="stable")
             cuts = [0, *(np.flatnonzero(np.diff(groups[order])) + 1).tolist(), len(order)]
-            yield _blocks((int(groups[order[a]]), _by_bytes(post[order[a:b]])) for a, b in zip(cuts[:-1], cuts[1:]) if b > a)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b > a:
+                    made.setdefault(int(groups[order[a]]), []).append(_by_bytes(post[order[a:b]]))
+        yield _blocks((k, len(x).to_bytes(4, "little") + b"".join(len(y).to_bytes(8, "little") for y in x) + b"".join(x)) for k, x in made.items())
 
     return mapped(dealt.where(f"block != {PLACES}"), run, "block int, packed binary").repartition(partitions(dealt.sparkSession), "block")
 
@@ -337,36 +344,44 @@ def _ends(post: np.ndarray, later: np.ndarray, earlier: np.ndarray) -> list:
     return [pa.array(post[name][at].view(np.int64) if name == "key" else post[name][at]) for at in (later, earlier) for name in _ENDS]
 
 
+#: Candidates of a later class that are verified in the first round.
+FIRST = 2
+
+
+def _nearest(post: np.ndarray, later: np.ndarray, earlier: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each later class the FIRST nearest earlier ones, and whether it has more."""
+    a, b = post["key"][later], post["key"][earlier]
+    order = np.lexsort((b, apart, a))
+    a, b, later, earlier, apart = a[order], b[order], later[order], earlier[order], apart[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, later, earlier, apart = a[fresh], later[fresh], earlier[fresh], apart[fresh]
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+    size = np.diff([*first, len(a)])
+    rank = np.arange(len(a)) - np.repeat(first, size)
+    return later[rank < FIRST], earlier[rank < FIRST], apart[rank < FIRST], np.repeat(size > FIRST, size)[rank < FIRST]
+
+
 def candidates(posted: DataFrame) -> DataFrame:
-    """The most promising pair of each later class in a block (how far apart, the two ends), and whether there are more."""
+    """The nearest pairs of each later class, and whether there are more (``more``, the same for all pairs of a class)."""
 
     def run(batches):
         for blocks in _by_block(batches).values():
             post = _postings_of(blocks, _POST)
-            best, partner, count = np.full(len(post), np.inf), np.full(len(post), -1), np.zeros(len(post), np.int64)
+            kept, crowded = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], [np.zeros(0, np.uint64)]
             for left, right, apart in _meetings(post):
                 swap = _swapped(post, left, right)
-                later, earlier = np.where(swap, left, right), np.where(swap, right, left)
-                count += np.bincount(later, minlength=len(post))
-                order = np.lexsort((apart, later))
-                later, earlier, apart = later[order], earlier[order], apart[order]
-                first = np.ones(len(later), bool)
-                first[1:] = later[1:] != later[:-1]
-                later, earlier, apart = later[first], earlier[first], apart[first]
-                better = apart < best[later]
-                best[later[better]], partner[later[better]] = apart[better], earlier[better]
-            got = np.flatnonzero(count)
-            got = got[np.lexsort((best[got], post["key"][got]))]
-            fresh = np.ones(len(got), bool)
-            fresh[1:] = post["key"][got[1:]] != post["key"][got[:-1]]
-            begin = np.flatnonzero(fresh)
-            more = np.logical_or.reduceat((count[got] > 1) | (post["key"][partner[got]] != post["key"][partner[got[begin]]][np.cumsum(fresh) - 1]), begin) if len(got) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(best[got[begin]]), *_ends(post, got[begin], partner[got[begin]]), pa.array(more, pa.bool_())], names=["apart", *_PAIR, "more"])
+                later, earlier, apart, more = _nearest(post, np.where(swap, left, right), np.where(swap, right, left), apart)
+                kept.append((later, earlier, apart))
+                crowded.append(np.unique(post["key"][later[more]]))
+            later, earlier, apart, more = _nearest(post, *(np.concatenate(x) for x in zip(*kept)))
+            more |= np.isin(post["key"][later], np.concatenate(crowded))
+            yield pa.RecordBatch.from_arrays([pa.array(apart), *_ends(post, later, earlier), pa.array(more, pa.bool_())], names=["apart", *_PAIR, "more"])
 
     found = mapped(posted, run, f"apart double, {_PAIR_DDL}, more boolean")
-    ends = F.struct("apart", *_PAIR)
-    one = found.groupBy("later_key").agg(F.min(ends).alias("best"), (F.max("more") | (F.min("earlier_key") != F.max("earlier_key"))).alias("more"))
-    return one.select(*[F.col(f"best.{x}").alias(x) for x in _PAIR], "more")
+    of_one = found.groupBy("later_key").agg(F.array_sort(F.collect_set(F.struct("apart", *_PAIR))).alias("all"), F.max("more").alias("more"))
+    pairs = of_one.select(F.explode(F.slice("all", 1, FIRST)).alias("x"), (F.col("more") | (F.size("all") > FIRST)).alias("more"))
+    return pairs.select(*[F.col(f"x.{x}").alias(x) for x in _PAIR], "more")
 
 
 def all_candidates(posted: DataFrame, wanted) -> DataFrame:
@@ -462,7 +477,7 @@ def removed_lines(df: DataFrame) -> DataFrame:
     pairs = cut(candidates(postings(dealt)))
     release(spark)
     gone = cut(verified(df, counts, pairs))
-    open_ends = cut(pairs.where("more").select(F.col("later_key").alias("later")).join(gone, "later", "left_anti"))
+    open_ends = cut(pairs.where("more").select(F.col("later_key").alias("later")).distinct().join(gone, "later", "left_anti"))
     release(spark)
     wanted = marked(open_ends, "later")
     if wanted.any():
@@ -486,10 +501,10 @@ def _with_kept(df: DataFrame, text: str, key: str) -> tuple[DataFrame, str]:
     joined = df.join(gone.select(F.col("gone_doc").alias(of_doc), F.col("gone_lines").alias(lines)), F.coalesce(df[key].cast("long"), F.lit(NO_ID)) == F.col(of_doc), "left")
     whole = F.col(text).cast("string")
     count = F.when(F.coalesce(whole, F.lit("")) == "", 0).otherwise(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    left = F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains(F.col(lines), i.cast("long")))
-    parts = F.when(F.col(lines).isNull() | whole.isNull(), F.struct(whole.alias("text"), count.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))).otherwise(
-        F.struct(F.array_join(left, "\n").alias("text"), count.alias("n_lines"), (count - F.when(count > 0, F.size(left)).otherwise(0)).cast("long").alias("n_removed"))
-    )
+    left = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains(F.col(lines), i.cast("long"))), "\n")
+    touched = F.col(lines).isNotNull() & (count > 0)
+    removed = F.when(touched, F.size(F.filter(F.col(lines), lambda i: i < count))).otherwise(0).cast("long")
+    parts = F.struct(F.when(touched, left).otherwise(whole).alias("text"), count.alias("n_lines"), removed.alias("n_removed"))
     return joined.withColumn(name, parts).drop(of_doc, lines), name
 
 
