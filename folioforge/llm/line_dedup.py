@@ -8,7 +8,7 @@ How: words are counted over all documents in a hashed table of fixed size; each
 Lines of equal sets become one class with its first place. Each class is posted under the words of its prefix, the
 rarest n - ceil(0.8 n) + 1. Classes that meet under a word pass the length filter, the positional filter and a bitmap
 filter (each of which drops only pairs that cannot reach 0.8). Of the pairs that remain, each later class hands on its
-two most promising ones, which are verified on the full sets. Later classes still without a match that had more pairs go
+four most promising ones, which are verified on the full sets. Later classes still without a match that had more pairs go
 through a second round with all of them, so nothing is lost, and a large group of alike lines makes a number of pairs
 in proportion to its size.
 
@@ -345,7 +345,7 @@ def _ends(post: np.ndarray, later: np.ndarray, earlier: np.ndarray) -> list:
 
 
 #: Candidates of a later class that are verified in the first round.
-FIRST = 2
+FIRST = 4
 
 
 def _nearest(post: np.ndarray, later: np.ndarray, earlier: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -501,11 +501,13 @@ def _with_kept(df: DataFrame, text: str, key: str) -> tuple[DataFrame, str]:
     joined = df.join(gone.select(F.col("gone_doc").alias(of_doc), F.col("gone_lines").alias(lines)), F.coalesce(df[key].cast("long"), F.lit(NO_ID)) == F.col(of_doc), "left")
     whole = F.col(text).cast("string")
     count = F.when(F.coalesce(whole, F.lit("")) == "", 0).otherwise(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    own = free_name(df, "line_dedup_count")
+    joined, n = joined.withColumn(own, count), F.col(own)
     left = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains(F.col(lines), i.cast("long"))), "\n")
-    touched = F.col(lines).isNotNull() & (count > 0)
-    removed = F.when(touched, F.size(F.filter(F.col(lines), lambda i: i < count))).otherwise(0).cast("long")
-    parts = F.struct(F.when(touched, left).otherwise(whole).alias("text"), count.alias("n_lines"), removed.alias("n_removed"))
-    return joined.withColumn(name, parts).drop(of_doc, lines), name
+    touched = F.col(lines).isNotNull() & (n > 0)
+    removed = F.when(touched, F.size(F.filter(F.col(lines), lambda i: i < n))).otherwise(0).cast("long")
+    parts = F.struct(F.when(touched, left).otherwise(whole).alias("text"), n.alias("n_lines"), removed.alias("n_removed"))
+    return joined.withColumn(name, parts).drop(of_doc, lines, own), name
 
 
 def dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
