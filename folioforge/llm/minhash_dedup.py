@@ -2,11 +2,14 @@
 
 A document is the set of its runs of five words (A-Z lower-cased, parted by ASCII white space); one with fewer words is
 its whole sequence. Documents of equal sets are one class. A class has 120 minima of independent hash functions; the
-low 4 bits of each make its packed signature, and hashes of 5 minima each make 24 bands. Two classes that agree in a
-band are candidates: at a similarity of 0.85 all but one pair in a million are. Within a band's bucket, similarity is
-estimated from the count of equal 4-bit cells, corrected for chance agreement; pairs estimated at least 0.70 (4.5
-standard errors below 0.85) are tied together. Each group tied so is then compared exactly, on full sets, wherever an
-estimate or a band had brought its members together, and the confirmed links make the components.
+low 4 bits of each make its packed signature, and hashes of a few minima each make bands. Two classes that agree in a
+band are candidates. Within a band's bucket, similarity is estimated from the count of equal 4-bit cells, corrected for
+chance agreement; pairs estimated high enough are tied together. Each group tied so is then compared exactly, on full
+sets, wherever an estimate or a band had brought its members together, and the confirmed links make the components.
+
+A ``Link`` says from which similarity documents are linked, and how such pairs are searched. A pair right at it meets in
+no band, or is estimated too low, with a chance of 8.5e-7 for QUERY (0.85) and 1.9e-7 for STAGE (0.8); a pair above it
+with less.
 
 Buckets and groups are dealt in tiles of bounded size, every pair of tiles to a task of its own; tasks hand on no pairs
 but a spanning forest of what they tied or confirmed.
@@ -19,6 +22,8 @@ joined through their id; only the named columns are read; an empty table gives n
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,10 +32,22 @@ from pyspark.sql import functions as F
 from .frames import bounded_batches, cut, flat, free_name, lowered, mapped, marked, marks, mix, partitions, release, slices, span_hashes, word_spans
 from .graph import components
 
-WIDTH, ROWS, BANDS, BITS = 5, 5, 24, 4
-HASHES = ROWS * BANDS
-#: The similarity of a link as a fraction, and the least estimate that is looked at.
-UP, DOWN, ESTIMATE = 85, 100, 0.70
+WIDTH, HASHES, BITS = 5, 120, 4
+
+
+class Link(NamedTuple):
+    """The similarity of a link as a fraction, the minima of a band and the bands, and the least estimate that is looked at."""
+
+    up: int
+    down: int
+    rows: int
+    bands: int
+    estimate: float
+
+
+#: The links of the query, and those of the pipeline's stage.
+QUERY = Link(85, 100, 5, 24, 0.65)
+STAGE = Link(80, 100, 4, 30, 0.58)
 TILE = 1024
 _CELLS = 16  # 4-bit cells of a word of the packed signature
 _ODD = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -103,18 +120,18 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((1 - differ / HASHES) - chance) / (1 - chance)
 
 
-def bands(mins: np.ndarray) -> np.ndarray:
-    """The names of each row's buckets (rows x BANDS)."""
-    out = np.zeros((len(mins), BANDS), np.uint64)
-    for i in range(BANDS):
+def bands(mins: np.ndarray, link: Link = QUERY) -> np.ndarray:
+    """The names of each row's buckets (rows x bands)."""
+    out = np.zeros((len(mins), link.bands), np.uint64)
+    for i in range(link.bands):
         value = np.full(len(mins), i + 1, np.uint64)
-        for j in range(ROWS):
-            value = mix(value * np.uint64(0x9E3779B97F4A7C15) + mins[:, i * ROWS + j].astype(np.uint64))
+        for j in range(link.rows):
+            value = mix(value * np.uint64(0x9E3779B97F4A7C15) + mins[:, i * link.rows + j].astype(np.uint64))
         out[:, i] = value
     return out
 
 
-def signatures(df: DataFrame) -> DataFrame:
+def signatures(df: DataFrame, link: Link = QUERY) -> DataFrame:
     """(doc_id, n, key, check, node, packed, buckets) of each row; packed and buckets are empty where the set is."""
     bounded_batches(df.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("packed", pa.binary()), ("buckets", pa.list_(pa.int64()))])
@@ -129,7 +146,7 @@ def signatures(df: DataFrame) -> DataFrame:
                 sig, where = [b""] * len(sizes), [[]] * len(sizes)
                 if len(full):
                     mins = minima(hashes, np.append(bounds[:-1][full], bounds[-1]))
-                    for i, s, w in zip(full.tolist(), packed(mins), bands(mins).view(np.int64).tolist()):
+                    for i, s, w in zip(full.tolist(), packed(mins), bands(mins, link).view(np.int64).tolist()):
                         sig[i], where[i] = s.tobytes(), w
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), pa.array(sig, pa.binary()), pa.array(where, schema.field("buckets").type)], schema=schema)
 
@@ -218,15 +235,15 @@ def _in_groups(df: DataFrame, keys: list[str], values: list[str], links) -> Data
     return mapped(dealt, run, "a long, b long")
 
 
-def _alike(columns: list) -> list[tuple[int, int]]:
+def _alike(columns: list, link: Link) -> list[tuple[int, int]]:
     """Members of a bucket whose signatures are estimated alike, as a forest."""
     sig = np.frombuffer(b"".join(columns[1].to_pylist()), np.uint64).reshape(len(columns[1]), -1)
     n = len(sig)
     if n == 2:
-        return [(0, 1)] if estimates(sig[0], sig[1]) >= ESTIMATE else []
+        return [(0, 1)] if estimates(sig[0], sig[1]) >= link.estimate else []
     a, b = [], []
     for i in range(0, n, 128):
-        near = estimates(sig[i : i + 128, None, :], sig[None, :, :]) >= ESTIMATE
+        near = estimates(sig[i : i + 128, None, :], sig[None, :, :]) >= link.estimate
         x, y = np.nonzero(near)
         keep = x + i < y
         a.append(x[keep] + i)
@@ -261,15 +278,15 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _linked(columns: list) -> list[tuple[int, int]]:
+def _linked(columns: list, link: Link) -> list[tuple[int, int]]:
     """Members of a group whose full sets are similar, as a forest."""
     sets = [np.frombuffer(x, np.uint64) for x in columns[1].to_pylist()]
     if len(sets) == 2:
         both = len(sets[0]) + len(sets[1]) - len(np.unique(np.concatenate(sets)))
-        return [(0, 1)] if DOWN * both >= UP * (len(sets[0]) + len(sets[1]) - both) else []
+        return [(0, 1)] if link.down * both >= link.up * (len(sets[0]) + len(sets[1]) - both) else []
     both = overlaps(sets).astype(np.int64)
     sizes = np.array([len(x) for x in sets])
-    a, b = np.nonzero(DOWN * both >= UP * (sizes[:, None] + sizes[None, :] - both))
+    a, b = np.nonzero(link.down * both >= link.up * (sizes[:, None] + sizes[None, :] - both))
     keep = a < b
     return forest(len(sets), a[keep], b[keep])
 
@@ -288,10 +305,10 @@ def full_sets(df: DataFrame, wanted) -> DataFrame:
     return mapped(df, run, "key long, check long, words binary").groupBy("key", "check").agg(F.first("words").alias("words"))
 
 
-def class_roots(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+def class_roots(own: DataFrame, link: Link) -> tuple[DataFrame, DataFrame]:
     """The rows' (doc_id, n, key, check), and of each class (own_key, own_check, first_id, root)."""
     spark = own.sparkSession
-    rows = cut(signatures(own))
+    rows = cut(signatures(own, link))
     release(spark)
     full = rows.where("n > 0")
     named = full.groupBy("key", "check").agg(F.min("doc_id").alias("doc_id"), F.first("packed").alias("packed"), F.first("buckets").alias("buckets"))
@@ -302,13 +319,13 @@ def class_roots(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     release(spark)
     members = tiled(entries, "bucket", "node", crowded, TILE)
     with_sig = members.join(classes.select(F.col("node").alias("own_node"), "packed"), F.col("node") == F.col("own_node"))
-    tied = components(_in_groups(with_sig, ["bucket", "pair"], ["node", "packed"], _alike))
+    tied = components(_in_groups(with_sig, ["bucket", "pair"], ["node", "packed"], lambda columns: _alike(columns, link)))
     release(spark)
     groups = cut(classes.select("key", "check", "node").join(tied.withColumnRenamed("node", "own_node"), F.col("node") == F.col("own_node")).select("key", "check", "node", F.col("root").alias("group")))
     sizes = cut(groups.groupBy("group").agg(F.count("*").alias("size")))
     sets = full_sets(own, spark.sparkContext.broadcast(marked(groups, "key")))
     placed = tiled(groups.join(sets, ["key", "check"]), "group", "node", sizes, TILE)
-    linked = components(_in_groups(placed, ["group", "pair"], ["node", "words"], _linked))
+    linked = components(_in_groups(placed, ["group", "pair"], ["node", "words"], lambda columns: _linked(columns, link)))
     release(spark)
     answer = classes.select("key", "check", "node", "first_id").join(linked.withColumnRenamed("node", "own_node"), F.col("node") == F.col("own_node"), "left")
     return rows.select("doc_id", "n", "key", "check"), cut(answer.select(F.col("key").alias("own_key"), F.col("check").alias("own_check"), "first_id", F.coalesce("root", "node").alias("root")))
@@ -316,19 +333,19 @@ def class_roots(own: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    rows, answer = class_roots(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    rows, answer = class_roots(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), QUERY)
     joined = rows.join(answer, (F.col("key") == F.col("own_key")) & (F.col("check") == F.col("own_check")) & (F.col("n") > 0), "left")
     root = F.coalesce(F.col("root"), F.col("doc_id"))
     component = F.when(root < NAMELESS, root)
     return joined.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (component.isNull() | F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"))
 
 
-def keep_one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def keep_one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", link: Link = STAGE) -> DataFrame:
     """The rows of ``df`` without near duplicates: of each component the row with its smallest doc_id.
 
     Rows go by their doc_id, so repeated rows of the smallest one stay together, and rows without a doc_id stay.
     """
-    rows, answer = class_roots(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    rows, answer = class_roots(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), link)
     joined = rows.where("n > 0 AND doc_id IS NOT NULL").join(answer.where(f"root < {NAMELESS}"), (F.col("key") == F.col("own_key")) & (F.col("check") == F.col("own_check")))
     name = free_name(df, "gone_doc")
     gone = joined.where("doc_id != root").select(F.col("doc_id").alias(name)).distinct()

@@ -130,6 +130,33 @@ def test_near_duplicates_edges(spark):
     assert kept.columns == frame(spark, texts).columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 5]
 
 
+def test_stage_links_from_four_fifths(spark):
+    """The pipeline's stage keeps one of two texts at a Jaccard similarity of 0.80 to 0.85, the query both; at under 0.80 both stay."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    texts, near = [], set()
+    for i in range(60):
+        base = [word() for _ in range(104)]  # 100 shingles, of which the other text shares all but k
+        k = 9 + i % 4  # Jaccard (100 - k) / (100 + k): 0.835, 0.818, 0.802, 0.786
+        texts += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:-k] + [word() for _ in range(k)]))]
+        near |= {2 * i + 1} if k < 12 else set()
+    stay = {r["doc_id"] for r in minhash_dedup.keep_one_of_each(frame(spark, texts)).collect()}
+    assert {i for i, _ in texts} - stay == near
+    assert all(r["kept"] for r in minhash_dedup.near_duplicates(frame(spark, texts)).collect())
+
+
+def test_chance_of_a_missed_link():
+    """Bands and estimate together miss less than one link in a million, by the binomial tail at the least similarity."""
+    from math import comb
+
+    for link in (minhash_dedup.QUERY, minhash_dedup.STAGE):
+        assert link.rows * link.bands == minhash_dedup.HASHES
+        s, n, chance = link.up / link.down, minhash_dedup.HASHES, 1 / 16
+        p = s + (1 - s) * chance
+        low = sum(comb(n, m) * p**m * (1 - p) ** (n - m) for m in range(n + 1) if (m / n - chance) / (1 - chance) < link.estimate)
+        assert (1 - s**link.rows) ** link.bands + low < 1e-6
+
+
 def test_estimates():
     import numpy as np
 
