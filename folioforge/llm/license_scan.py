@@ -33,8 +33,9 @@ class Signature(NamedTuple):
 
 
 def over_words(pattern: str) -> str:
-    """A pattern in which a space stands for whatever parts two words, tied to word limits."""
-    return f"(?<!{_IN})(?:{pattern.replace(' ', _GAP)})(?!{_IN})"
+    """A pattern in which a space stands for whatever parts two words, one before ``?`` for that or nothing, tied to word limits; ``[^ ]`` stays."""
+    parts = [x.replace(" ?", f"(?:{_GAP})?").replace(" ", _GAP) for x in pattern.split("[^ ]")]
+    return f"(?<!{_IN})(?:{'[^ ]'.join(parts)})(?!{_IN})"
 
 
 #: Phrases and labels of the base, in the order given.
@@ -227,7 +228,7 @@ sspl-1.0 80 server side public | server side public licen[cs]e(?: (?:v|version )
 busl-1.1 80 business source | business source licen[cs]e(?: (?:v|version )?1 1)?
 elastic-2.0 80 elastic licen | elastic licen[cs]e(?: (?:v|version )?2 0)?
 commons-clause 80 commons clause | commons clause(?: licen[cs]e)?(?: condition)?
-rail-m 70 rail | (?:big ?science|creativeml)? ?open ?rail(?: m)?(?: licen[cs]e)
+rail-m 70 rail | (?:(?:big ?science|creativeml) ?)?open ?rail(?: m)?(?: licen[cs]e)
 llama-community 70 community licen | llama [0-9]+(?: [0-9]+)? community licen[cs]e
 odbl-1.0 80 open database | open (?:data commons )?open database licen[cs]e(?: (?:v|version )?1 0)?
 odbl-1.0 80 open database | open database licen[cs]e

@@ -206,6 +206,63 @@ def test_license_stems_cover_the_rules():
                 assert r.keyword in low and any(s in low for s in license_scan.STEMS), (text, r.label)
 
 
+def matches_of(pattern, limit=400):
+    """Texts that a pattern of this package matches: every alternative, repetitions at their least and (up to one more) their most, a class's first characters."""
+    from itertools import islice, product
+    from re import _parser
+
+    def texts(tokens):
+        return ["".join(x) for x in islice(product(*[choices(op, arg) for op, arg in tokens]), limit)]
+
+    def choices(op, arg):
+        kind = str(op)
+        if kind == "LITERAL":
+            return [chr(arg)]
+        if kind in ("ANY", "NOT_LITERAL"):
+            return ["x"]
+        if kind == "AT":
+            return [""]
+        if kind == "IN":
+            if str(arg[0][0]) == "NEGATE":
+                return ["."]
+            return [chr(v if str(o) == "LITERAL" else v[0]) for o, v in arg][:2]
+        if kind == "BRANCH":
+            return [x for branch in arg[1] for x in texts(branch)]
+        if kind == "SUBPATTERN":
+            return texts(arg[3])
+        assert kind in ("MAX_REPEAT", "MIN_REPEAT"), kind
+        least, most, inner = arg
+        own = texts(inner)
+        return [x * least for x in own[: len(own) if least else 1]] + [x * (least + 1) for x in own if most > least]
+
+    return texts(_parser.parse(pattern))
+
+
+def test_each_signature_matches_its_texts(spark):
+    """Every alternative spelling of every signature fires it: optional parts and optional spaces there or not; the scan agrees."""
+    lines = license_scan._TEXT.strip().splitlines()
+    assert len(lines) == len(license_scan.SIGNATURES)
+    positive = []
+    for line, rule in zip(lines, license_scan.SIGNATURES):
+        texts = matches_of(line.split(" | ", 1)[1])
+        assert texts
+        for text in texts:
+            assert (m := re.search(rule.regex, text)) and m.start() == 0, (rule.label, text)
+            assert rule.keyword in text and any(s in text for s in license_scan.STEMS), (rule.label, text)
+        positive += [*texts[:3], *texts[-3:]]
+    ordinary = {
+        "Creative Commons Attribution NonCommercial": "cc-by-nc", "Creative Commons Attribution-ShareAlike": "cc-by-sa", "Creative Commons Attribution NoDerivs": "cc-by-nd", "beerware license": "beerware", "multilicensed": "multi-license",
+        "openrail license": "rail-m", "CreativeML OpenRAIL-M License": "rail-m", "Copyright 2020": "copyright-notice", "copyright (c) 2020": "copyright-notice", "x:  open rail license": "rail-m",
+    }
+    texts = list(enumerate([*ordinary, *sorted(set(positive))]))
+    got = {r["doc_id"]: r for r in license_scan.scan(frame(spark, texts)).collect()}
+    for i, (text, label) in enumerate(ordinary.items()):
+        assert got[i]["labels"].split(",").count(label) == 1 and "cc-by" not in got[i]["labels"].split(","), text
+    for i, text in texts:
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"]) == plain_scan(text), text
+
+
 # --- URL filter ----------------------------------------------------------------------------------------------------------
 
 URLS = [
