@@ -1,12 +1,12 @@
 """Line dedup: an exact set-similarity join of lines, which removes every later match.
 
-A line of at least MIN_WORDS words is the set of its words (A-Z lower-cased, parted by ASCII white space). A line is
-removed if the same set, or one with a Jaccard similarity of 0.8 or more, stands earlier: at a smaller doc_id, or
-earlier in the same text. Shorter lines always stay. The earlier line counts even if it is itself removed.
+A line is the set of its words (A-Z lower-cased, parted by ASCII white space). A line is removed if the same set, or one
+with a Jaccard similarity of 0.8 or more, stands earlier: at a smaller doc_id, or earlier in the same text. Lines without
+a word always stay. The earlier line counts even if it is itself removed.
 
 How: words are counted over all documents in a hashed table of fixed size; each line's words are ordered by rarity.
 Lines of equal sets become one class with its first place. Each class is posted under the words of its prefix, the
-rarest n - ceil(0.8 n) + 1. Classes that meet under a word pass the length filter, the positional filter and a bitmap
+rarest n - ceil(0.8 n) + 1; sets of less than four words are not posted, as only equal sets are similar to them. Classes that meet under a word pass the length filter, the positional filter and a bitmap
 filter (each of which drops only pairs that cannot reach 0.8). Of the pairs that remain, each later class hands on its
 four most promising ones, which are verified on the full sets. Later classes still without a match that had more pairs go
 through a second round with all of them, so nothing is lost, and a large group of alike lines makes a number of pairs
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .frames import bounded_batches, cut, flat, free_name, lowered, mapped, marked, marks, mix, partitions, release, slices, span_hashes, summed, word_spans
 
-MIN_WORDS, COUNTED = 5, 1 << 20
+MIN_WORDS, COUNTED = 1, 1 << 20
 #: Similarity as a fraction.
 UP, DOWN = 4, 5
 #: Places of rows without a doc_id.
@@ -193,7 +193,7 @@ def classes(df: DataFrame, counts) -> DataFrame:
                 if len(row):
                     bit, upper = np.uint64(1) << ((words >> np.uint64(8)) & np.uint64(63)), (words >> np.uint64(14)) & np.uint64(1)
                     low, high = (np.bitwise_xor.reduceat(bit * half, bounds[:-1]) for half in (upper, np.uint64(1) - upper))
-                prefix = sizes - -(-UP * sizes // DOWN) + 1
+                prefix = np.where(DOWN * sizes >= UP * (sizes + 1), sizes - -(-UP * sizes // DOWN) + 1, 0)
                 h = np.zeros(len(row), _HEAD)
                 h["key"], h["check"], h["doc"], h["line"], h["size"], h["low"], h["high"], h["prefix"] = key, check, docs[row], line, sizes, low, high, prefix
                 heads.append(h)

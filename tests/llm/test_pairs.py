@@ -88,6 +88,31 @@ def test_line_dedup_second_round(spark, monkeypatch):
     assert got == plain_lines(texts)
 
 
+def test_line_dedup_short_lines(spark):
+    """Repeated lines of few words go, also paragraphs in scripts without spaces; four words match five that hold them."""
+    paragraph = "\u8fd9\u662f\u4e00\u4e2a\u91cd\u590d\u7684\u6bb5\u843d\u3002" * 20
+    texts = [(1, f"Read more\n{paragraph}\na b c d\n\n\nother"), (2, f"read  MORE\n{paragraph}\na b c d e\n\n\nb a c"), (3, "more read read\na b c\na b c f\nother two\n \n")]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup(frame(spark, texts)).collect()}
+    assert got == {1: (texts[0][1], 0), 2: ("\n\nb a c", 3), 3: ("a b c f\nother two\n \n", 2)}
+
+
+def test_line_dedup_short_lines_at_random(spark):
+    """Lines of one to six words out of a few, against every pair of lines compared."""
+    draw = random.Random(12)
+    texts = [(i, "\n".join(" ".join(draw.choice("abcdefghijklmnopq") for _ in range(draw.randint(0, 6))) for _ in range(6))) for i in range(150)]
+    got = sorted(((order(r["doc_id"]), r["text"]) for r in line_dedup.dedup(frame(spark, texts)).collect()), key=repr)
+    own, seen = [], []
+    for i, text in texts:
+        kept = []
+        for line in text.split("\n"):
+            words = frozenset(line.split())
+            if not words or not any(5 * len(words & x) >= 4 * len(words | x) for x in seen):
+                kept.append(line)
+            seen.append(words) if words else None
+        own.append(((False, i), "\n".join(kept)))
+    assert got == sorted(own, key=repr)
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.dedup(empty(spark)).count() == 0
     assert line_dedup.without_repeated_lines(empty(spark)).count() == 0
