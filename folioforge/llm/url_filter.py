@@ -59,7 +59,7 @@ PATTERN_RULES = _rules(
     "block",
     r"""
     spam-farm       spam,farm          spam[-_.]farm
-    link-farm       link,farm          links?[-_.]farm
+    link-farm       farm               links?[-_.]farm
     cheap-pills     cheap,pills        cheap[-_.](?:[a-z0-9]+[-_.])?pills
     buy-pills       buy,pills          buy[-_.](?:[a-z0-9]+[-_.])?pills
     pharmacy-online online,pharmacy    (?:online[-_.]pharmacy|pharmacy[-_.]online)
@@ -71,7 +71,7 @@ PATTERN_RULES = _rules(
     free-slots      free,slots         free[-_.]slots
     poker-bonus     poker,bonus        poker[-_.](?:[a-z0-9]+[-_.])?bonus
     bet-now         bet,now            bet[-_.]now
-    sports-betting  betting,sports     sports?[-_.]betting
+    sports-betting  betting            sports?[-_.]betting
     payday-loan     payday             payday[-_.]loans?
     quick-loan      loan,quick         quick[-_.]loan
     debt-relief     debt,relief        debt[-_.]relief

@@ -293,6 +293,26 @@ def test_url_rules_name_what_they_need():
                 assert set(r.literals) <= set(re.split("[^a-z0-9]+", url.lower())), (r.label, url)
 
 
+def test_url_rules_under_every_filing(spark):
+    """Each rule is fetched for all its alternatives, whichever of its literals is the rarest; a verdict doesn't hang on the rest of the table."""
+    rules = url_filter.PATTERN_RULES
+    urls = {r.label: matches_of(r.regex) for r in rules}
+    for r in rules:
+        for url in urls[r.label]:
+            assert re.search(r.regex, url), (r.label, url)
+            tokens = set(re.split("[^a-z0-9]+", url))
+            for rarest in r.literals:
+                index = url_filter.rule_index(rules, {x: int(x != rarest) for s in rules for x in s.literals})
+                assert any(r in index.get(t, []) for t in tokens), (r.label, url, rarest)
+    for extra in ([], ["http://a.net/farm"] * 5, ["http://a.net/link"] * 5, ["http://a.net/sports", "http://a.net/betting/betting"]):
+        texts = ["http://a.net/links-farm", "http://a.net/link_farm", "http://a.net/sport-betting", "http://a.net/sports.betting", *extra]
+        got = {r["page_id"]: (r["labels"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(list(enumerate(texts)), "page_id long, url string")).collect()}
+        assert [got[i] for i in range(4)] == [("link-farm", "block")] * 2 + [("sports-betting", "block")] * 2
+    texts = sorted({u for found in urls.values() for u in found})
+    got = {texts[r["page_id"]]: set(r["labels"].split(",")) for r in url_filter.judge(spark.createDataFrame(list(enumerate(texts)), "page_id long, url string")).collect()}
+    assert all(got[u] == {r.label for r in rules if re.search(r.regex, u)} for u in texts)
+
+
 # --- edit fingerprints -----------------------------------------------------------------------------------------------------
 
 
