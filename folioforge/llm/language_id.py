@@ -3,7 +3,8 @@
 Training counts hashed 4-byte grams of every labelled row, by language, in the executors; the driver gets one count for
 each gram bucket and language. A document's grams are cut into segments of 64; each segment has a likelihood under each
 language, and expectation-maximisation gives the languages' proportions. Sets of the 1, 2, ... most likely languages
-are compared by their likelihood less a penalty for each language; the best set's largest proportion is the answer.
+are compared by their likelihood less a penalty for each language, up to all languages or until the penalty alone is
+more than the best set's loss; the best set's largest proportion is the answer.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or if nothing could be learned; ties go to
 the language that sorts first; repeated rows stay repeated; a null key passes through, counts as not held out and is
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .frames import bounded_batches, flat, free_name, in_arrow, mapped, slices, tidy
 
-#: Gram buckets, grams of a segment, languages of a set at most, EM steps; a gram's share of independent evidence, and the cost of a language.
-BUCKETS, SEGMENT, MOST, STEPS, SHARE, PENALTY = 1 << 16, 64, 3, 12, 0.25, 4.0
+#: Gram buckets, grams of a segment, EM steps; a gram's share of independent evidence, and the cost of a language.
+BUCKETS, SEGMENT, STEPS, SHARE, PENALTY = 1 << 16, 64, 12, 0.25, 4.0
 UNDEFINED = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -103,13 +104,18 @@ def mixtures(codes: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple[
     weights, _ = _em(like, first, sizes, np.ones((len(sizes), table.shape[1])))
     order = np.argsort(-weights, axis=1, kind="stable")
     best, chosen = np.full(len(sizes), -np.inf), weights
-    for k in range(1, min(MOST, table.shape[1]) + 1):
-        allowed = np.zeros_like(weights)
-        np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-        mine, fit = _em(like, first, sizes, allowed)
-        fit = fit - PENALTY * k - 0.5 * k * np.log(np.maximum(sizes, 1))
-        chosen = np.where((fit > best)[:, None], mine, chosen)
-        best = np.maximum(best, fit)
+    for k in range(1, table.shape[1] + 1):
+        cost = PENALTY * k + 0.5 * k * np.log(np.maximum(sizes, 1))
+        still = best < -cost  # a set's log-likelihood is at most 0, and the cost grows with it
+        if not still.any():
+            break
+        allowed = np.zeros((int(still.sum()), table.shape[1]))
+        np.put_along_axis(allowed, order[still, :k], 1.0, axis=1)
+        mine, fit = _em(like[still[row]], np.cumsum(sizes[still]) - sizes[still], sizes[still], allowed)
+        fit = fit - cost[still]
+        better = fit > best[still]
+        at = np.flatnonzero(still)[better]
+        chosen[at], best[at] = mine[better], fit[better]
     whole = np.add.reduceat(logs, first, axis=0)
     whole = np.exp(whole - whole.max(axis=1, keepdims=True))
     return chosen, whole / whole.sum(axis=1, keepdims=True)
@@ -121,16 +127,16 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
     shared = df.sparkSession.sparkContext.broadcast(table)
 
     def step(part: pa.RecordBatch) -> dict:
-        pred, score, mix = _predicted(part.column(1), names, shared.value)
+        pred, score, mix, _ = _predicted(part.column(1), names, shared.value)
         return {key: part.column(0), "lang_pred": pred, "score": score, "languages": mix}
 
     return in_arrow(df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")), step, f"{key} long, lang_pred string, score double, languages string")
 
 
-def _predicted(texts: pa.Array, names: list[str], table: np.ndarray) -> tuple[list[str], np.ndarray, list[str]]:
-    """The language, its score, and the chosen languages with their proportions, of each text."""
+def _predicted(texts: pa.Array, names: list[str], table: np.ndarray) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
+    """The language, its score, the chosen languages with their proportions, and the language's own proportion, of each text."""
     known = has_letter(texts) & bool(names)
-    pred, score, mix = [UNDEFINED] * len(known), np.zeros(len(known)), [""] * len(known)
+    pred, score, mix, share = [UNDEFINED] * len(known), np.zeros(len(known)), [""] * len(known), np.zeros(len(known))
     at = 0
     for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
         mine = known[at : at + part.num_rows]
@@ -138,22 +144,22 @@ def _predicted(texts: pa.Array, names: list[str], table: np.ndarray) -> tuple[li
             chosen, alone = mixtures(*grams(*flat(part.column(0).filter(pa.array(mine)))), table)
             for i, w, p in zip((np.flatnonzero(mine) + at).tolist(), chosen, alone):
                 k = int(w.argmax())
-                pred[i], score[i] = names[k], float(min(1.0, w[k] * max(p[k], w[k])))
+                pred[i], score[i], share[i] = names[k], float(min(1.0, w[k] * max(p[k], w[k]))), w[k]
                 mix[i] = ",".join(f"{names[j]}:{w[j]:.2f}" for j in np.argsort(-w, kind="stable") if w[j] >= 0.005)
         at += part.num_rows
-    return pred, score, mix
+    return pred, score, mix, share
 
 
 def attached(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """``docs`` with a struct column of the prediction for each row's text, named so that it clashes with none."""
+    """``docs`` with a struct column of the language and its share for each row's text, named so that it clashes with none."""
     names, table = model
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
+    @F.pandas_udf("struct<lang_pred:string,share:double>")
     def judged(texts: pd.Series) -> pd.DataFrame:
-        pred, score, _ = _predicted(pa.array(texts, pa.string(), from_pandas=True), names, shared.value)
+        pred, _, _, share = _predicted(pa.array(texts, pa.string(), from_pandas=True), names, shared.value)
         tidy()
-        return pd.DataFrame({"lang_pred": pred, "score": score})
+        return pd.DataFrame({"lang_pred": pred, "share": share})
 
     bounded_batches(docs.sparkSession)
     return docs.withColumn(free_name(docs, "judged"), judged(F.col(text).cast("string")))
@@ -167,7 +173,7 @@ def keep_identified(docs: DataFrame, least: float, text: str = "text", lang: str
         return docs.where(F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)))
     out = attached(docs, model, text)
     name = (set(out.columns) - set(docs.columns)).pop()
-    return out.where((F.col(f"{name}.lang_pred") != UNDEFINED) & (F.col(f"{name}.score") >= least)).drop(name)
+    return out.where((F.col(f"{name}.lang_pred") != UNDEFINED) & (F.col(f"{name}.share") >= least)).drop(name)
 
 
 def fold(key: Column, folds: int, held: int) -> Column:

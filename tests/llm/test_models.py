@@ -61,6 +61,26 @@ def test_mixture_proportions(spark):
     assert [got[k]["lang_pred"] for k in (3, 4, 5)] == ["und"] * 3 and got[4]["score"] == 0
 
 
+def test_documents_of_many_languages(spark):
+    """A text of five languages lists them all, and is kept by its largest share even where that language isn't the likeliest of the whole text."""
+    draw = random.Random(7)
+    letters = {"aa": "bcdf", "bb": "ghjk", "cc": "lmnp", "dd": "qrst", "ee": "vwxz"}
+    prose = lambda lang, k: " ".join("".join(draw.choice(letters[lang]) + draw.choice("aeiou") for _ in range(draw.randint(1, 4))) for _ in range(k))
+    blend = lambda: " ".join(prose(draw.choice(list(letters)), 1) for _ in range(150))
+    rows = [(prose(lang, 150), lang) for lang in letters for _ in range(60)] + [(blend(), "zz") for _ in range(60)]
+    train = spark.createDataFrame([(1000 + i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language_id.learn(train)
+    mixed = [(i, " ".join(prose(lang, 150 + 60 * (lang == "cc")) for lang in letters)) for i in range(12)]
+    got = language_id.predict(spark.createDataFrame(mixed, "doc_id long, text string"), model).collect()
+    for r in got:
+        shares = {x.split(":")[0]: float(x.split(":")[1]) for x in r["languages"].split(",")}
+        assert all(0.1 < shares.get(x, 0) < 0.35 for x in letters), shares
+    assert any(r["score"] < 0.2 for r in got)
+    both = train.unionAll(spark.createDataFrame([(i, t, None) for i, t in mixed], train.schema))
+    kept = {r["doc_id"] for r in language_id.keep_identified(both, 0.2).where("lang IS NULL").collect()}
+    assert kept == {i for i, _ in mixed}
+
+
 def test_language_edges(spark):
     assert language_id.identify(empty(spark)).count() == 0
     unlabelled = frame(spark, [(1, "some text"), (2, None), (None, "x")], lang=None)
