@@ -348,14 +348,14 @@ def intake_records(spark: SparkSession, d: str) -> DataFrame:
 def ocr_choices(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string")
     cached = F.when(F.col("id") % 3 == 0, F.rpad(F.lit("x"), 900, "x")).when(F.col("id") % 3 == 1, "y")
-    out = made(spark, d, "NOISY").select("id", files.ocr_choice(F.left("text", F.lit(500)), cached, none, F.lit(""), False).alias("c"))
+    out = made(spark, d, "NOISY").select("id", files.ocr_choice(F.col("text"), cached, none, F.lit(""), False).alias("c"))
     return out.select("id", "c.source", "c.native_text_chars", "c.ocr_text_chars", "c.notes")
 
 
 @query()
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
     paged = files.with_pages(made(spark, d, "NOISY").select("id", F.regexp_replace("text", "\n", "\f").cast("binary").alias("content")))
-    return paged.select("id", files.page_text(F.col("pages"), 5, 2000).alias("text"))
+    return paged.select("id", files.page_text(F.col("pages")).alias("text"))
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
