@@ -5,7 +5,8 @@ stands on. A random bit of step and character, the same for all texts, says whet
 differ by few edits soon walk in step again, so the number of edits becomes a number of differing symbols. The
 fingerprint samples 4-bit symbols at steps that are the same for all texts: so many from each octave of steps, hence
 texts of any length compare. Likeness is the share of equal samples, each octave weighted by its steps, less what
-chance gives. Bands are runs of sampled symbols; near documents agree in one and are verified by likeness.
+chance gives. Bands are runs of sampled symbols; near documents agree in one and are verified by likeness, all members
+of a band's bucket with each other.
 
 All walks of a slice of a batch are made in lockstep, a step at a time over all texts that haven't ended.
 
@@ -25,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import STEP_BYTES, bounded_batches, cut, mapped, mix, partitions
+from .minhash_dedup import groups, tiled
 
 #: Steps after which the random bits repeat, classes of characters, the first octave (steps below go whole) and samples of each further one.
 PERIOD, CLASSES, FIRST, SAMPLES = 4096, 256, 5, 32
 #: Samples of a band, and the likeness from which texts count as near.
 BAND, NEAR = 16, 0.5
+#: Members of a bucket that are compared at once with as many others.
+TILE = 1024
 _MOVES = (mix(np.arange(PERIOD * CLASSES, dtype=np.uint64)) >> np.uint64(63)).astype(np.uint8).reshape(PERIOD, CLASSES)
 _SYMBOLS = (mix(np.arange(PERIOD * CLASSES, dtype=np.uint64) + np.uint64(1 << 40)) >> np.uint64(60)).astype(np.uint8).reshape(PERIOD, CLASSES)
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
@@ -98,7 +102,9 @@ def likeness(a: str, b: str) -> float:
 
 
 def bands(fingerprint: str, size: int = BAND) -> list[str]:
-    """Names of the whole bands of a fingerprint: place and symbols."""
+    """Names of the whole bands of a fingerprint: place and symbols; one with fewer symbols than a band is one band."""
+    if 0 < len(fingerprint) < size:
+        return [f"0:{fingerprint}"]
     return [f"{i}:{fingerprint[i : i + size]}" for i in range(0, len(fingerprint) - size + 1, size)]
 
 
@@ -183,22 +189,49 @@ def with_fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", ru
     return mapped(sorted_runs, run, ddl)
 
 
+def _near(prints: list[str], least: float) -> list[tuple[int, int, float]]:
+    """Pairs of fingerprints, as indexes, that are alike by ``least``, with their likeness."""
+    sizes = np.array([len(x) for x in prints])
+    symbols = np.zeros((len(prints), int(sizes.max())), np.uint8)
+    for i, x in enumerate(prints):
+        symbols[i, : len(x)] = np.frombuffer(x.encode(), np.uint8)
+    weights, total = _WEIGHTS[: symbols.shape[1]], np.cumsum(_WEIGHTS)
+    out = []
+    for i in range(len(prints) - 1):
+        same = (symbols[i + 1 :, : sizes[i]] == symbols[i, : sizes[i]]) @ weights[: sizes[i]]
+        share = same / total[np.maximum(sizes[i], sizes[i + 1 :]) - 1]
+        for j in (np.flatnonzero((share - 1 / 16) / (1 - 1 / 16) >= least - 1e-6) + i + 1).tolist():
+            like = likeness(prints[i], prints[j])
+            if like >= least:
+                out.append((i, j, like))
+    return out
+
+
 def near_pairs(prints: DataFrame, key: str = "doc_id", fingerprint: str = "fingerprint", least: float = NEAR) -> DataFrame:
-    """(a, b, likeness): rows alike to the first row of a band's bucket, b to a; a row may be tied to several first rows.
+    """(a, b, likeness): all pairs of rows, a before b by their key, that share a band and are alike by ``least``.
 
-    Of each bucket every row is compared with the one of the smallest key only, so a bucket gives no more pairs than it
-    has rows.
+    All members of a band's bucket are compared, a large bucket's in pairs of tiles of bounded size, each pair of tiles
+    by itself. Rows without a key or with an empty fingerprint are in no pair.
     """
+    spark = prints.sparkSession
+    bounded_batches(spark)
 
     @F.udf("array<string>")
     def names(x):
-        return sorted(bands(x or ""))
+        return bands(x or "")
 
-    @F.udf("double")
-    def alike(x, y):
-        return likeness(x, y)
+    rows = prints.select(F.col(key).cast("long").alias("node"), F.col(fingerprint).alias("print")).where("node IS NOT NULL AND print != ''").distinct()
+    held = cut(rows.withColumn("band", F.explode(names("print"))).withColumn("band", F.xxhash64("band")))
+    sizes = cut(held.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
+    dealt = tiled(held, "band", "node", sizes, TILE).repartition(partitions(spark), "band", "pair").sortWithinPartitions("band", "pair", "node").select("band", "pair", "node", "print")
+    kinds = [("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64())]
 
-    held = prints.where(F.col(fingerprint) != "").select(F.col(key).alias("b"), F.col(fingerprint).alias("of_b"), F.explode(names(fingerprint)).alias("band"))
-    first = cut(held.groupBy("band").agg(F.min(F.struct(F.col("b").alias("a"), F.col("of_b").alias("of_a"))).alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head.*"))
-    pairs = held.join(first, "band").where("a < b").select("a", "b", "of_a", "of_b").distinct()
-    return pairs.withColumn("likeness", alike("of_a", "of_b")).where(F.col("likeness") >= least).select("a", "b", "likeness")
+    def run(batches):
+        for parts in groups(batches, 2):
+            nodes = np.concatenate([np.asarray(p.column(2)) for p in parts])
+            found = _near([x for p in parts for x in p.column(3).to_pylist()], least)
+            rows = [(int(nodes[i]), int(nodes[j]), like) for i, j, like in found if nodes[i] < nodes[j]]
+            for k in range(0, len(rows), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(zip(*rows[k : k + 50_000]), kinds)], schema=pa.schema(kinds))
+
+    return mapped(dealt, run, "a long, b long, likeness double").distinct()

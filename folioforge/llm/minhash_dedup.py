@@ -192,7 +192,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _groups(batches, n_keys: int):
+def groups(batches, n_keys: int):
     """Rows that arrive sorted by their first ``n_keys`` columns, as lists of columns for each value of these."""
     held: list = []
     last = None
@@ -219,7 +219,7 @@ def _in_groups(df: DataFrame, keys: list[str], values: list[str], links) -> Data
 
     def run(batches):
         left, right = [], []
-        for parts in _groups(batches, len(keys)):
+        for parts in groups(batches, len(keys)):
             columns = [pa.chunked_array([p.column(len(keys) + i) for p in parts]).combine_chunks() for i in range(len(values))]
             if len(columns[0]) < 2:
                 continue

@@ -366,6 +366,23 @@ def test_near_pairs(spark):
     assert all(edit_fingerprint.likeness(prints[a], prints[b]) >= edit_fingerprint.NEAR for a, b in found)
 
 
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_near_pairs_are_all_pairs(spark, monkeypatch, tile):
+    """Every two rows that share a band and are alike, also where the bucket's first row is unlike both, and equal short texts."""
+    monkeypatch.setattr(edit_fingerprint, "TILE", tile)
+    draw = np.random.default_rng(3)
+    prose = lambda k: "".join(map(chr, draw.integers(97, 123, k)))
+    opening, body = prose(300), prose(3000)
+    texts = [(0, opening + prose(3000)), (1, opening + body), (2, opening + body[:2900] + prose(100)), (3, opening + prose(3000)), (4, "ab"), (5, "ab"), (6, "x"), (7, None), (None, opening + body)]
+    texts += [(10 + k, opening + body[: 1000 + 100 * k]) for k in range(20)]
+    prints = [(i, edit_fingerprint.fingerprints([edit_fingerprint.code_points(t or "")])[0]) for i, t in texts]
+    got = [(r["a"], r["b"], round(r["likeness"], 9)) for r in edit_fingerprint.near_pairs(spark.createDataFrame(prints, "doc_id long, fingerprint string")).collect()]
+    known = [(i, x) for i, x in prints if i is not None]
+    want = [(i, j, round(edit_fingerprint.likeness(x, y), 9)) for i, x in known for j, y in known if i < j and set(edit_fingerprint.bands(x)) & set(edit_fingerprint.bands(y)) and edit_fingerprint.likeness(x, y) >= edit_fingerprint.NEAR]
+    assert sorted(got) == sorted(want)
+    assert {(1, 2), (4, 5)} <= {x[:2] for x in got} and not any(x[0] == 0 for x in got)
+
+
 def test_text_columns_may_have_other_names(spark):
     df = frame(spark, [(1, "mit license")]).select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
     assert license_scan.scan(df, text="body", key="id").first()["n_base"] == 1
