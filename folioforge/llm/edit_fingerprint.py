@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import STEP_BYTES, bounded_batches, cut, mapped, mix, partitions
-from .minhash_dedup import groups, tiled
+from .frames import STEP_BYTES, bounded_batches, cut, groups, mapped, mix, partitions
+from .minhash_dedup import TILE, tiled
 
 #: Steps after which the random bits repeat, classes of characters, the first octave (steps below go whole) and samples of each further one.
 PERIOD, CLASSES, FIRST, SAMPLES = 4096, 256, 5, 32
@@ -222,8 +222,8 @@ def near_pairs(prints: DataFrame, key: str = "doc_id", fingerprint: str = "finge
 
     rows = prints.select(F.col(key).cast("long").alias("node"), F.col(fingerprint).alias("print")).where("node IS NOT NULL AND print != ''").distinct()
     held = cut(rows.withColumn("band", F.explode(names("print"))).withColumn("band", F.xxhash64("band")))
-    sizes = cut(held.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
-    dealt = tiled(held, "band", "node", sizes, TILE).repartition(partitions(spark), "band", "pair").sortWithinPartitions("band", "pair", "node").select("band", "pair", "node", "print")
+    sizes = cut(held.groupBy("band").agg(F.ceil(F.count("*") / TILE).alias("tiles"), F.count("*").alias("size")).where("size > 1").drop("size"))
+    dealt = tiled(held, "band", "node", sizes).repartition(partitions(spark), "band", "pair").sortWithinPartitions("band", "pair", "node").select("band", "pair", "node", "print")
     kinds = [("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64())]
 
     def run(batches):

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import tempfile
-import time
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -44,23 +43,57 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the session's ``spark.checkpoint.dir``; one is made only in local mode, where none is set."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(found)
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
+#: The setting under which Spark removes a query's shuffle files as soon as the query is over.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def freeing(spark: SparkSession):
+    """Frames made in here give their shuffle files back when their query is over; only for frames that are run once."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as it is now, written to the shared checkpoint folder, so that a lost executor costs no recomputation.
+    """``df`` as it is now, written to the shared folder, so that a lost executor costs no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; one is made only where none is set.
+    The shuffle files of the step are gone afterwards. ``drop`` removes the table when no one reads it any more.
     """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
+    with freeing(spark):
+        df.select("*").write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of steps that are over: Spark's cleaner removes them once the JVM has collected what points to them."""
-    for _ in range(2):  # what Python lets go of in the first round, the JVM finds in the second
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` has written."""
+    for df in tables:
+        remove(df.sparkSession, df.stored_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever store it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def tidy() -> None:
@@ -229,19 +262,100 @@ def summed(df: DataFrame, counts: Callable[[pa.RecordBatch], np.ndarray], size:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], schema=schema)
 
     ddl = "chunk int, part binary"
-    merged = mapped(mapped(df, first, ddl).repartition(partitions(df.sparkSession), "chunk"), second, ddl)
     out = np.zeros(size, np.int64)
-    for r in merged.collect():
+    with freeing(df.sparkSession):
+        merged = mapped(mapped(df, first, ddl).repartition(partitions(df.sparkSession), "chunk"), second, ddl).collect()
+    for r in merged:
         got = np.frombuffer(zlib.decompress(r["part"]), np.int64)
         out[r["chunk"] * chunk :][: len(got)] = got
     return out
 
 
-def marks(keys: np.ndarray, size: int) -> np.ndarray:
-    """Places of 64-bit keys in a table of ``size`` marks."""
-    return (mix(keys ^ np.uint64(0x5BF03635)) % np.uint64(size)).astype(np.int64)
+class Marks:
+    """A table of bits by the hash of 64-bit keys: ``has`` is true for every key that was marked, and by chance for some others."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = _slots(keys, len(self.bits) * 8)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+    def any(self) -> bool:
+        return bool(self.bits.any())
+
+
+def _slots(keys: np.ndarray, size: int) -> np.ndarray:
+    return (mix(keys.astype(np.uint64, copy=False) ^ np.uint64(0x5BF03635)) % np.uint64(size)).astype(np.int64)
 
 
-def marked(df: DataFrame, key: str, size: int = 1 << 22) -> np.ndarray:
-    """A table of fixed size that holds a mark for each value of the long column ``key`` (and, by chance, for some others)."""
-    return summed(df.select(F.lit("").alias("none"), F.col(key)), lambda part: np.bincount(marks(np.asarray(part.column(1)).astype(np.uint64), size), minlength=size), size) > 0
+#: Bits of marks: so many for each key, within bounds.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
+_CHUNK = 1 << 13
+
+
+def marked(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], many: int) -> Marks:
+    """Marks of the 64-bit keys that ``keys`` makes from the batches of ``df``; the table is sized for ``many`` of them, up to MOST_BITS."""
+    bounded_batches(df.sparkSession)
+    size = LEAST_BITS
+    while size < min(MOST_BITS, BITS_A_KEY * many):
+        size *= 2
+    schema = pa.schema([("chunk", pa.int32()), ("part", pa.binary())])
+
+    def batch_of(chunks: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in chunks.values()], pa.binary())], schema=schema)
+
+    def first(batches):
+        chunks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.unique(_slots(keys(batch), size))
+            part = at // (8 * _CHUNK)
+            for a, b in runs_of(part):
+                own = chunks.setdefault(int(part[a]), np.zeros(_CHUNK, np.uint8))
+                inner = at[a:b] % (8 * _CHUNK)
+                np.bitwise_or.at(own, inner >> 3, np.uint8(1) << (inner & 7).astype(np.uint8))
+        yield batch_of(chunks)
+
+    def second(batches):
+        chunks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got = np.frombuffer(zlib.decompress(raw), np.uint8)
+                chunks[i] = chunks[i] | got if i in chunks else got
+        yield batch_of(chunks)
+
+    ddl = "chunk int, part binary"
+    bits = np.zeros(size // 8, np.uint8)
+    with freeing(df.sparkSession):
+        merged = mapped(mapped(df, first, ddl).repartition(partitions(df.sparkSession), "chunk"), second, ddl).collect()
+    for r in merged:
+        bits[r["chunk"] * _CHUNK :][:_CHUNK] = np.frombuffer(zlib.decompress(r["part"]), np.uint8)
+    return Marks(bits)
+
+
+def runs_of(values: np.ndarray) -> list[tuple[int, int]]:
+    """The bounds of runs of equal values."""
+    if not len(values):
+        return []
+    cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+def groups(batches, n_keys: int):
+    """Rows that arrive sorted by their first ``n_keys`` columns, as lists of batches for each value of these."""
+    held: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(i)) for i in range(n_keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            key = tuple(keys[a].tolist())
+            if key != last and held:
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield held

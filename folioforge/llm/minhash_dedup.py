@@ -4,20 +4,23 @@ A document is the set of its runs of five words (A-Z lower-cased, parted by ASCI
 its whole sequence. Documents of equal sets are one class. A class has 120 minima of independent hash functions; the
 low 4 bits of each make its packed signature, and hashes of a few minima each make bands. Two classes that agree in a
 band are candidates. Within a band's bucket, similarity is estimated from the count of equal 4-bit cells, corrected for
-chance agreement; pairs estimated high enough are tied together. Each group tied so is then compared exactly, on full
-sets, wherever an estimate or a band had brought its members together, and the confirmed links make the components.
+chance agreement; pairs estimated high enough are tied together.
+
+Ties are confirmed on full sets in two steps. First each class is compared with the first one that it is tied to; most
+groups are whole after that. The groups of ties that are still in several parts are then compared exactly, all members
+of different parts. The confirmed links make the components.
 
 A ``Link`` says from which similarity documents are linked, and how such pairs are searched. A pair right at it meets in
 no band, or is estimated too low, with a chance of 8.5e-7 for QUERY (0.85) and 1.9e-7 for STAGE (0.8); a pair above it
 with less.
 
-Buckets and groups are dealt in tiles of bounded size, every pair of tiles to a task of its own; tasks hand on no pairs
-but a spanning forest of what they tied or confirmed.
+Buckets and groups are dealt in tiles of bounded size (members, and bytes of sets), every pair of tiles to a task of its
+own; tasks hand on no pairs but a spanning forest of what they tied or confirmed.
 
 Defined results: a null text, or one without words, has the empty set and is linked with nothing; repeated rows are
 copies of each other; rows without a doc_id take part, but name a component only if no row with one is in it, and then
-it is null and all its rows are kept; rows of one doc_id with different texts each have their own set, and may be
-joined through their id; only the named columns are read; an empty table gives no rows.
+it is null and all its rows are kept; rows of one doc_id with different texts each have their own set; any long is a
+doc_id; only the named columns are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, cut, flat, free_name, lowered, mapped, marked, marks, mix, partitions, release, slices, span_hashes, word_spans
+from .frames import bounded_batches, cut, drop, flat, free_name, groups, lowered, mapped, marked, mix, partitions, slices, span_hashes, word_spans
 from .graph import components
 
 WIDTH, HASHES, BITS = 5, 120, 4
@@ -48,7 +51,8 @@ class Link(NamedTuple):
 #: The links of the query, and those of the pipeline's stage.
 QUERY = Link(85, 100, 5, 24, 0.65)
 STAGE = Link(80, 100, 4, 30, 0.58)
-TILE = 1024
+#: Members and bytes of sets of a tile, and later members that one task compares with one first member.
+TILE, TILE_BYTES, PART = 1024, 32 << 20, 256
 _CELLS = 16  # 4-bit cells of a word of the packed signature
 _ODD = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(1001, HASHES + 1001, dtype=np.uint64))
@@ -153,25 +157,17 @@ def signatures(df: DataFrame, link: Link = QUERY) -> DataFrame:
     return mapped(df, run, "doc_id long, n long, key long, check long, packed binary, buckets array<long>")
 
 
-def node_of(doc_id: Column, key: Column) -> Column:
-    """The name of a class: its smallest doc_id; where it has none, a number beyond those in use made from its set."""
-    return F.coalesce(doc_id, F.shiftrightunsigned(key, 3) + F.lit(NAMELESS))
-
-
-NAMELESS = (1 << 63) - (1 << 61) - 1
-
-
-def tiled(members: DataFrame, group: str, node: str, sizes: DataFrame, tile: int) -> DataFrame:
-    """``members`` with a column ``pair`` that names the pairs of tiles of its group which it takes part in.
+def tiled(members: DataFrame, group: str, node: str, sizes: DataFrame) -> DataFrame:
+    """``members`` with a column ``pair`` that names the pairs of tiles of its group which it takes part in; ``sizes`` has the groups' ``tiles``.
 
-    A group of at most ``tile`` members is one tile; a larger one is cut into tiles by the hash of ``node``, and each of
-    its members goes to as many pairs of tiles as it has tiles.
+    Members of a group in several tiles are dealt by the hash of ``node``; each goes to as many pairs of tiles as its
+    group has tiles.
     """
     known = members.join(sizes.withColumnRenamed(group, "of_group"), F.col(group) == F.col("of_group")).drop("of_group")
-    tiles = F.ceil(F.col("size") / tile).cast("long")
+    tiles = F.col("tiles")
     mine = F.pmod(F.xxhash64(node, group), tiles)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), tiles - 1), lambda j: F.least(mine, j) * tiles + F.greatest(mine, j))
-    return known.withColumn("pair", F.explode(pairs)).drop("size")
+    return known.withColumn("pair", F.explode(pairs)).drop("tiles")
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -192,26 +188,6 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def groups(batches, n_keys: int):
-    """Rows that arrive sorted by their first ``n_keys`` columns, as lists of columns for each value of these."""
-    held: list = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([np.asarray(batch.column(i)) for i in range(n_keys)], axis=1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            key = tuple(keys[a].tolist())
-            if key != last and held:
-                yield held
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield held
-
-
 def _in_groups(df: DataFrame, keys: list[str], values: list[str], links) -> DataFrame:
     """(a, b): for each group of rows of equal ``keys``, the node pairs that ``links(values' columns)`` gives as indexes; the first value is the node."""
     bounded_batches(df.sparkSession)
@@ -278,65 +254,106 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def similar(a: np.ndarray, b: np.ndarray, link: Link) -> bool:
+    both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+    return link.down * both >= link.up * (len(a) + len(b) - both)
+
+
 def _linked(columns: list, link: Link) -> list[tuple[int, int]]:
-    """Members of a group whose full sets are similar, as a forest."""
-    sets = [np.frombuffer(x, np.uint64) for x in columns[1].to_pylist()]
+    """Members of a group, of different parts, whose full sets are similar, as a forest."""
+    sets, part = [np.frombuffer(x, np.uint64) for x in columns[1].to_pylist()], np.asarray(columns[2])
     if len(sets) == 2:
-        both = len(sets[0]) + len(sets[1]) - len(np.unique(np.concatenate(sets)))
-        return [(0, 1)] if link.down * both >= link.up * (len(sets[0]) + len(sets[1]) - both) else []
+        return [(0, 1)] if part[0] != part[1] and similar(*sets, link) else []
     both = overlaps(sets).astype(np.int64)
     sizes = np.array([len(x) for x in sets])
     a, b = np.nonzero(link.down * both >= link.up * (sizes[:, None] + sizes[None, :] - both))
-    keep = a < b
+    keep = (a < b) & (part[a] != part[b])
     return forest(len(sets), a[keep], b[keep])
 
 
 def full_sets(df: DataFrame, wanted) -> DataFrame:
-    """(key, check, words): the sets of rows whose key is marked, one for each class and batch at least."""
+    """(set_key, set_check, words): the sets of rows whose key is marked, one for each class."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, bounds = shingles(*flat(part.column(1)))
                 key, check = set_keys(hashes, bounds)
-                ask = np.flatnonzero((np.diff(bounds) > 0) & wanted.value[marks(key, len(wanted.value))])
-                yield pa.RecordBatch.from_arrays([pa.array(key[ask].view(np.int64)), pa.array(check[ask].view(np.int64)), pa.array([hashes[bounds[i] : bounds[i + 1]].tobytes() for i in ask.tolist()], pa.binary())], names=["key", "check", "words"])
+                ask = np.flatnonzero((np.diff(bounds) > 0) & wanted.value.has(key))
+                yield pa.RecordBatch.from_arrays([pa.array(key[ask].view(np.int64)), pa.array(check[ask].view(np.int64)), pa.array([hashes[bounds[i] : bounds[i + 1]].tobytes() for i in ask.tolist()], pa.binary())], names=["set_key", "set_check", "words"])
 
-    return mapped(df, run, "key long, check long, words binary").groupBy("key", "check").agg(F.first("words").alias("words"))
+    return mapped(df, run, "set_key long, set_check long, words binary").groupBy("set_key", "set_check").agg(F.first("words").alias("words"))
 
 
-def class_roots(own: DataFrame, link: Link) -> tuple[DataFrame, DataFrame]:
-    """The rows' (doc_id, n, key, check), and of each class (own_key, own_check, first_id, root)."""
+def with_sets(own: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` (key, check, ...) with the sets of their classes."""
+    wanted = own.sparkSession.sparkContext.broadcast(marked(members.select("key"), lambda part: np.asarray(part.column(0)), members.count()))
+    return members.join(full_sets(own, wanted), (F.col("key") == F.col("set_key")) & (F.col("check") == F.col("set_check"))).drop("set_key", "set_check")
+
+
+def first_links(own: DataFrame, classes: DataFrame, ties: DataFrame, link: Link) -> DataFrame:
+    """(a, b): of each class's first tie (a, b), those whose sets are similar. A class that many are tied to is sent once for PART of them."""
     spark = own.sparkSession
+    first = ties.groupBy("b").agg(F.min("a").alias("a"))
+    many = first.groupBy(F.col("a").alias("of")).agg(F.ceil(F.count("*") / PART).alias("parts"))
+    part = F.pmod(F.xxhash64("b"), F.col("parts"))
+    target = lambda end, role: F.struct(F.col(end).alias("end"), F.col("a").alias("group"), part.alias("part"), F.lit(role).alias("role"))
+    sent = first.join(many, F.col("a") == F.col("of")).select(F.explode(F.array(target("a", 0), target("b", 1))).alias("x")).select("x.*").distinct()
+    sent = cut(sent.join(classes.select("key", "check", "node"), F.col("end") == F.col("node")).select("group", "part", "role", "node", "key", "check"))
+    dealt = with_sets(own, sent).select("group", "part", "role", "node", "words").repartition(partitions(spark), "group", "part").sortWithinPartitions("group", "part", "role")
+
+    def run(batches):
+        last, base = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            left, right = [], []
+            for group, piece, role, node, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                words = np.frombuffer(raw, np.uint64)
+                if not role:
+                    last, base = (group, piece), words
+                elif last == (group, piece) and similar(base, words, link):
+                    left.append(group)
+                    right.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    out = cut(mapped(dealt, run, "a long, b long"))
+    drop(sent)
+    return out
+
+
+def class_roots(own: DataFrame, link: Link) -> tuple[DataFrame, DataFrame]:
+    """The rows' (doc_id, n, key, check), and of each class (own_key, own_check, root), the smallest doc_id of its component."""
     rows = cut(signatures(own, link))
-    release(spark)
-    full = rows.where("n > 0")
-    named = full.groupBy("key", "check").agg(F.min("doc_id").alias("doc_id"), F.first("packed").alias("packed"), F.first("buckets").alias("buckets"))
-    classes = cut(named.select("key", "check", F.col("doc_id").alias("first_id"), node_of(F.col("doc_id"), F.col("key")).alias("node"), "packed", "buckets"))
-    release(spark)
+    named = rows.where("n > 0").groupBy("key", "check").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("packed").alias("packed"), F.first("buckets").alias("buckets"))
+    classes = cut(named.withColumn("node", F.monotonically_increasing_id()))  # fixed once they are written
     entries = classes.select("node", F.explode("buckets").alias("bucket"))
-    crowded = cut(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    release(spark)
-    members = tiled(entries, "bucket", "node", crowded, TILE)
+    crowded = cut(entries.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).alias("tiles"), F.count("*").alias("size")).where("size > 1").drop("size"))
+    members = tiled(entries, "bucket", "node", crowded)
     with_sig = members.join(classes.select(F.col("node").alias("own_node"), "packed"), F.col("node") == F.col("own_node"))
-    tied = components(_in_groups(with_sig, ["bucket", "pair"], ["node", "packed"], lambda columns: _alike(columns, link)))
-    release(spark)
-    groups = cut(classes.select("key", "check", "node").join(tied.withColumnRenamed("node", "own_node"), F.col("node") == F.col("own_node")).select("key", "check", "node", F.col("root").alias("group")))
-    sizes = cut(groups.groupBy("group").agg(F.count("*").alias("size")))
-    sets = full_sets(own, spark.sparkContext.broadcast(marked(groups, "key")))
-    placed = tiled(groups.join(sets, ["key", "check"]), "group", "node", sizes, TILE)
-    linked = components(_in_groups(placed, ["group", "pair"], ["node", "words"], lambda columns: _linked(columns, link)))
-    release(spark)
-    answer = classes.select("key", "check", "node", "first_id").join(linked.withColumnRenamed("node", "own_node"), F.col("node") == F.col("own_node"), "left")
-    return rows.select("doc_id", "n", "key", "check"), cut(answer.select(F.col("key").alias("own_key"), F.col("check").alias("own_check"), "first_id", F.coalesce("root", "node").alias("root")))
+    ties = cut(_in_groups(with_sig, ["bucket", "pair"], ["node", "packed"], lambda columns: _alike(columns, link)).distinct())
+    links = first_links(own, classes, ties, link)
+    parts, groups_of = components(links), components(ties)
+    in_group = classes.select("key", "check", "node", "n").join(groups_of.select(F.col("node").alias("own_node"), F.col("root").alias("group")), F.col("node") == F.col("own_node")).drop("own_node")
+    placed = cut(in_group.join(parts.select(F.col("node").alias("own_node"), F.col("root").alias("part")), F.col("node") == F.col("own_node"), "left").drop("own_node").withColumn("part", F.coalesce("part", "node")))
+    sizes = placed.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.col("n") * 8) / TILE_BYTES)).alias("tiles"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("group", "tiles")
+    sizes = cut(sizes)
+    open_groups = cut(placed.join(sizes.select("group"), "group", "left_semi"))
+    if open_groups.take(1):
+        wide = tiled(with_sets(own, open_groups), "group", "node", sizes)
+        links = links.unionAll(_in_groups(wide, ["group", "pair"], ["node", "words", "part"], lambda columns: _linked(columns, link)))
+        parts = components(links)
+    known = classes.select("key", "check", "node", "first_id").join(parts.withColumnRenamed("node", "own_node"), F.col("node") == F.col("own_node"), "left").withColumn("group", F.coalesce("root", "node"))
+    known = cut(known.select("key", "check", "group", "first_id"))
+    least = known.groupBy(F.col("group").alias("own_group")).agg(F.min("first_id").alias("least"))
+    answer = cut(known.join(least, F.col("group") == F.col("own_group")).select(F.col("key").alias("own_key"), F.col("check").alias("own_check"), F.col("least").alias("root")))
+    drop(classes, crowded, ties, placed, sizes, open_groups, known)
+    return rows.select("doc_id", "n", "key", "check"), answer
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     rows, answer = class_roots(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), QUERY)
     joined = rows.join(answer, (F.col("key") == F.col("own_key")) & (F.col("check") == F.col("own_check")) & (F.col("n") > 0), "left")
-    root = F.coalesce(F.col("root"), F.col("doc_id"))
-    component = F.when(root < NAMELESS, root)
+    component = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
     return joined.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (component.isNull() | F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"))
 
 
@@ -346,7 +363,7 @@ def keep_one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", lin
     Rows go by their doc_id, so repeated rows of the smallest one stay together, and rows without a doc_id stay.
     """
     rows, answer = class_roots(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), link)
-    joined = rows.where("n > 0 AND doc_id IS NOT NULL").join(answer.where(f"root < {NAMELESS}"), (F.col("key") == F.col("own_key")) & (F.col("check") == F.col("own_check")))
+    joined = rows.where("n > 0 AND doc_id IS NOT NULL").join(answer.where("root IS NOT NULL"), (F.col("key") == F.col("own_key")) & (F.col("check") == F.col("own_check")))
     name = free_name(df, "gone_doc")
     gone = joined.where("doc_id != root").select(F.col("doc_id").alias(name)).distinct()
     return df.join(gone, df[key].cast("long") == F.col(name), "left_anti")

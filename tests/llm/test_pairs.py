@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import xxhash
 from cases import SPACE, corpus, empty, frame, lower, words
 
 from folioforge.llm import graph, line_dedup, minhash_dedup
@@ -13,27 +14,18 @@ def order(doc_id):
 
 
 def plain_lines(texts):
-    """The texts without later matches, every line compared with every earlier one. Rows of one id are one document."""
-    seen, places = [], []
-    for place in sorted({(order(i), k) for i, t in texts for k in range(len((t or "").split("\n")))}):
-        for text in sorted({t for i, t in texts if order(i) == place[0] and t is not None}):
-            lines = text.split("\n")
-            if place[1] >= len(lines):
-                continue
-            own = [w for w in SPACE.split(lower(lines[place[1]])) if w]
-            if len(own) < line_dedup.MIN_WORDS:
-                continue
-            own = frozenset(own)
-            places.append((place, own, any(5 * len(own & x) >= 4 * len(own | x) for p, x in seen if p < place)))
-            seen.append((place, own))
-    stay = {p for p, _, gone in places if not gone}
-    out = []
-    for i, t in texts:
-        kept = t
-        if t is not None:
-            lines = t.split("\n")
-            kept = "\n".join(x for k, x in enumerate(lines) if len([w for w in SPACE.split(lower(x)) if w]) < line_dedup.MIN_WORDS or (order(i), k) in stay)
-        out.append((order(i), kept or ("" if t is not None else None)))
+    """The texts without later matches, every line compared with every earlier one. Rows without an id, and those of one id, go by their texts' hashes."""
+    tie = lambda t: (n := xxhash.xxh64((t or "").encode(), seed=42).intdigest()) - (n >> 63 << 64)
+    out, seen = [], []
+    for i, t in sorted(texts, key=lambda x: (order(x[0]), tie(x[1]))):
+        kept = []
+        for line in (t or "").split("\n"):
+            own = frozenset(w for w in SPACE.split(lower(line)) if w)
+            if not own or not any(5 * len(own & x) >= 4 * len(own | x) for x in seen):
+                kept.append(line)
+            if own:
+                seen.append(own)
+        out.append((order(i), "\n".join(kept) if t is not None else None))
     return sorted(out, key=repr)
 
 
@@ -66,7 +58,7 @@ def plain_components(texts):
 
 @pytest.mark.parametrize("seed", [3, 4])
 def test_line_dedup(spark, seed):
-    texts = [x for x in corpus(seed=seed) if x[0] is not None]
+    texts = corpus(seed=seed)
     got = sorted(((order(r["doc_id"]), r["text"]) for r in line_dedup.dedup(frame(spark, texts)).collect()), key=repr)
     assert got == plain_lines(texts)
 
@@ -113,6 +105,50 @@ def test_line_dedup_short_lines_at_random(spark):
     assert got == sorted(own, key=repr)
 
 
+def test_line_dedup_rows_without_an_id(spark):
+    """Of equal lines in rows without a doc_id, or in repeated rows of one, the first stays and the others go."""
+    line = "these are five plain words"
+    for ids in ([None, None, None], [7, 7, 7]):
+        same = [r["text"] for r in line_dedup.dedup(frame(spark, [(i, line) for i in ids])).collect()]
+        assert sorted(same) == ["", "", line]
+        texts = [(i, f"{line}\n{x}") for i, x in zip(ids, ("one", "two", "three"))]
+        got = line_dedup.dedup(frame(spark, texts)).collect()
+        assert sum(line in r["text"] for r in got) == 1 and sorted(r["text"].split("\n")[-1] for r in got) == ["one", "three", "two"]
+        assert sorted(((order(r["doc_id"]), r["text"]) for r in got), key=repr) == plain_lines(texts)
+
+
+def test_line_dedup_crowds(spark, monkeypatch):
+    """Words with many lines: neighbours first, words in parts, and the second round give the same as every pair compared."""
+    monkeypatch.setattr(line_dedup, "CROWD", 8)
+    monkeypatch.setattr(line_dedup, "HOT", 16)
+    monkeypatch.setattr(line_dedup, "FIRST", 2)
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    common = [word() for _ in range(12)]
+    texts = [(k, " ".join([*common, word(), word()][draw.randint(0, 1) :])) for k in range(120)]
+    texts += [(k, " ".join([*draw.sample(common, 9), *[word() for _ in range(draw.randint(1, 4))]])) for k in range(120, 200)]
+    texts += [(k, " ".join([*draw.sample(common, 6), *[draw.choice(common) * 2 for _ in range(190)], *[word() for _ in range(draw.choice([2, 170]))]])) for k in range(200, 240)]
+    got = sorted(((order(r["doc_id"]), r["text"]) for r in line_dedup.dedup(frame(spark, texts)).collect()), key=repr)
+    assert got == plain_lines(texts)
+
+
+def test_line_dedup_long_lines(spark):
+    """Lines long enough for wide bitmaps, at similarities round 0.8."""
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for i in range(12):
+        base = [word() for _ in range(draw.randint(170, 700))]
+        texts.append((len(texts), " ".join(base)))
+        for share in (0.05, 0.1, 0.11, 0.12, 0.2):
+            own = list(base)
+            for j in draw.sample(range(len(own)), int(share * len(own))):
+                own[j] = word()
+            texts.append((len(texts), " ".join(own)))
+    got = sorted(((order(r["doc_id"]), r["text"]) for r in line_dedup.dedup(frame(spark, texts)).collect()), key=repr)
+    assert got == plain_lines(texts)
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.dedup(empty(spark)).count() == 0
     assert line_dedup.without_repeated_lines(empty(spark)).count() == 0
@@ -147,6 +183,15 @@ def test_near_duplicates_in_tiles(spark, monkeypatch):
     assert sorted(got, key=repr) == plain_components(texts)
 
 
+def test_near_duplicates_large_ids(spark):
+    """Any long names a component, the largest and smallest too."""
+    for a, b in ((7 * 10**18, 7 * 10**18 + 1), ((1 << 63) - 2, (1 << 63) - 1), (-(1 << 63), -1)):
+        texts = [(b, "a b c d e f g"), (a, "a b c d e f g"), (None, "x y z")]
+        got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(frame(spark, texts)).collect()}
+        assert got == {a: (a, True), b: (a, False), None: (None, True)}
+        assert {r["doc_id"] for r in minhash_dedup.keep_one_of_each(frame(spark, texts)).collect()} == {a, None}
+
+
 def test_near_duplicates_edges(spark):
     assert minhash_dedup.near_duplicates(empty(spark)).count() == 0
     assert minhash_dedup.keep_one_of_each(empty(spark)).count() == 0
