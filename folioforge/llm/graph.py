@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut
+from .frames import cut, drop
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,11 +23,11 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = state
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
         large = both.where("b > a").join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.least("a", "least").alias("b")).where("a != b").distinct()
-        large = cut(large)
-        least = cut(large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")))
+        least = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
         small = large.join(least, F.col("a") == F.col("node")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("least").alias("b")), F.struct(F.col("node").alias("a"), F.col("least").alias("b")))).alias("x")).select("x.a", "x.b")
-        now = cut(small.where("a != b").distinct())
+        last, now = now, cut(small.where("a != b").distinct())
+        drop(last)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)

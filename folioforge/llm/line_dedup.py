@@ -8,12 +8,12 @@ How: words are counted over all documents in a hashed table of fixed size; each
 Lines of equal sets become one class with its first place. Each class is posted under the words of its prefix, the
 rarest n - ceil(0.8 n) + 1; sets of less than four words are not posted, as only equal sets are similar to them. Classes
 that meet under a word pass the length filter, the positional filter and a bitmap filter, wider for long lines (each of
-which drops only pairs that cannot reach 0.8). Of the pairs that remain, each later class hands on its four most
+which drops only pairs that cannot reach 0.8). Of the pairs that remain, each later class hands on its two most
 promising ones, which are verified on the full sets. Later classes still without a match that may have more pairs go
 through a second round with all of them, so nothing is lost.
 
 Large groups of alike lines: under a word with many classes, those next to each other in the order of their bitmaps are
-tried first, and a class that finds four promising partners so tries no others in the first round. A word with more
+tried first, and a class that finds two promising partners so tries no others in the first round. A word with more
 than HOT classes is dealt in parts; the first round joins within a part, and in the second round the classes that are
 still without a match are tried against every part.
 
@@ -42,13 +42,15 @@ NO_ID = (1 << 63) - 1
 #: Words from which a line has a bitmap of WIDE more 64-bit words.
 WIDE_FROM, WIDE = 176, 8
 #: Candidates of a later class that are verified in the first round.
-FIRST = 4
+FIRST = 2
 #: Classes under a word from which neighbours are tried first, and from which the word is dealt in parts.
 CROWD, HOT = 1024, 1 << 14
-#: Blocks of a partition, which are taken one after the other.
-BLOCKS = 8
-#: Pairs that are tested at once, and bytes of classes that a task holds before it hands them on.
+#: Bytes of postings that a task takes at once; a partition with more is cut into blocks, which it takes one after the other.
+BLOCK = 64 << 20
+#: Pairs that are tested at once, and bytes of classes or postings that a task holds before it hands them on.
 AT_ONCE, HELD = 1 << 18, 16 << 20
+#: Lines up to which their documents are picked by a broadcast join.
+FEW = 1 << 14
 #: Later lines that one task verifies against one earlier line.
 PART = 1024
 
@@ -204,7 +206,7 @@ def bitmaps(sizes: np.ndarray, bounds: np.ndarray, words: np.ndarray) -> tuple[n
 
 def classes(df: DataFrame, counts, loose) -> DataFrame:
     """(packed, many): the classes of all lines, each once, some to a row. ``df`` has doc, tie and text."""
-    many = partitions(df.sparkSession) * BLOCKS
+    many = partitions(df.sparkSession)
 
     def run(batches):
         held: list[Classes] = []
@@ -262,13 +264,13 @@ def first_places(own: DataFrame) -> DataFrame:
     return mapped(own.select("packed"), run, "key long, doc long, tie long, line int")
 
 
-def parts_of_words(own: DataFrame) -> np.ndarray:
-    """In how many parts the words of a bucket are dealt."""
+def posted_words(own: DataFrame) -> np.ndarray:
+    """How many postings the words of a bucket have."""
 
     def counts(part: pa.RecordBatch) -> np.ndarray:
         return sum((np.bincount(_bucket(c.tokens), minlength=COUNTED) for c in _each([part])), np.zeros(COUNTED, np.int64))
 
-    return np.maximum(1, -(-summed(own.select("packed"), counts, COUNTED) // HOT)).astype(np.uint32)
+    return summed(own.select("packed"), counts, COUNTED)
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
@@ -280,39 +282,53 @@ def _in_part(tokens: np.ndarray, part: np.ndarray) -> np.ndarray:
     return np.where(part > 0, mix(tokens.astype(np.uint64) | (part.astype(np.uint64) << np.uint64(32))), tokens).astype(np.uint32)
 
 
-def postings(own: DataFrame, splits, asked=None, words=None) -> DataFrame:
+def postings(own: DataFrame, splits, blocks: int, asked=None, words=None) -> DataFrame:
     """(block, packed): the classes' postings, dealt by word and part. With ``asked`` and ``words``, only those under marked words; classes asked for go to every part."""
-    many = partitions(own.sparkSession) * BLOCKS
+
+    def posted(c: Classes) -> tuple[np.ndarray, np.ndarray]:
+        sizes = c.heads["prefix"].astype(np.int64)
+        head = np.repeat(np.arange(len(c.heads)), sizes)
+        at = np.arange(len(c.tokens)) - (np.cumsum(sizes) - sizes)[head]
+        tokens, ask = c.tokens, np.zeros(len(c.heads), bool)
+        if asked is not None:
+            ask = asked.value.has(c.heads["key"])
+            here = words.value.has(tokens)
+            head, at, tokens = head[here], at[here], tokens[here]
+        in_parts = splits.value[_bucket(tokens)].astype(np.int64)
+        mine = (mix(c.heads["key"][head]) % in_parts.astype(np.uint64)).astype(np.int64)
+        copies = np.where(ask[head], in_parts, 1)
+        first = np.cumsum(copies) - copies
+        source = np.repeat(np.arange(len(head)), copies)
+        part = (mine[source] + np.arange(len(source)) - first[source]) % in_parts[source]
+        head, at, tokens = head[source], at[source], tokens[source]
+        post = np.zeros(len(source), _POST)
+        post["word"], post["at"] = _in_part(tokens, part), at
+        for name in ("key", "doc", "line", "size", "low", "high"):
+            post[name] = c.heads[name][head]
+        post["tie"] = np.where(c.heads["loose"][head] > 0, c.heads["tie"][head], 0)
+        post["role"] = SPLIT * (in_parts[source] > 1) + ASKED * ask[head] + OWN * (part == mine[source])
+        return post, c.wide[_wide_at(c.heads)[head[post["size"] >= WIDE_FROM]]]
 
     def run(batches):
-        for c in _each(batches):
-            sizes = c.heads["prefix"].astype(np.int64)
-            head = np.repeat(np.arange(len(c.heads)), sizes)
-            at = np.arange(len(c.tokens)) - (np.cumsum(sizes) - sizes)[head]
-            tokens, ask = c.tokens, np.zeros(len(c.heads), bool)
-            if asked is not None:
-                ask = asked.value.has(c.heads["key"])
-                here = words.value.has(tokens)
-                head, at, tokens = head[here], at[here], tokens[here]
-            in_parts = splits.value[_bucket(tokens)].astype(np.int64)
-            mine = (mix(c.heads["key"][head]) % in_parts.astype(np.uint64)).astype(np.int64)
-            copies = np.where(ask[head], in_parts, 1)
-            first = np.cumsum(copies) - copies
-            source = np.repeat(np.arange(len(head)), copies)
-            part = (mine[source] + np.arange(len(source)) - first[source]) % in_parts[source]
-            head, at, tokens = head[source], at[source], tokens[source]
-            post = np.zeros(len(source), _POST)
-            post["word"], post["at"] = _in_part(tokens, part), at
-            for name in ("key", "doc", "line", "size", "low", "high"):
-                post[name] = c.heads[name][head]
-            post["tie"] = np.where(c.heads["loose"][head] > 0, c.heads["tie"][head], 0)
-            post["role"] = SPLIT * (in_parts[source] > 1) + ASKED * ask[head] + OWN * (part == mine[source])
-            block = (mix(post["word"].astype(np.uint64)) % np.uint64(many)).astype(np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            post, wide = (np.concatenate(x) for x in zip(*held))
+            block = (mix(post["word"].astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
-            post, head = post[order], head[order]
-            wide = c.wide[_wide_at(c.heads)[head[post["size"] >= WIDE_FROM]]]
+            post, wide = post[order], wide[_wide_at(post)[order[post["size"][order] >= WIDE_FROM]]]
             where = np.concatenate([[0], np.cumsum(post["size"] >= WIDE_FROM)])
-            yield _blocks((int(block[order[a]]), (b - a).to_bytes(8, "little") + int(where[b] - where[a]).to_bytes(8, "little") + _by_bytes(post[a:b]) + wide[where[a] : where[b]].tobytes()) for a, b in runs_of(block[order]))
+            return _blocks((int(block[order[a]]), (b - a).to_bytes(8, "little") + int(where[b] - where[a]).to_bytes(8, "little") + _by_bytes(post[a:b]) + wide[where[a] : where[b]].tobytes()) for a, b in runs_of(block[order]))
+
+        for c in _each(batches):
+            held.append(posted(c))
+            size += sum(x.nbytes for x in held[-1])
+            if size > HELD:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
     return _dealt(mapped(own.select("packed"), run, "block int, packed binary"))
 
@@ -537,6 +553,9 @@ def verified(df: DataFrame, counts, loose, pairs: DataFrame) -> DataFrame:
     columns = lambda part: [np.asarray(part.column(i)).astype(np.int64) for i in range(3)]
     wanted = spark.sparkContext.broadcast(marked(places, lambda part: _places(*columns(part)), n))
     wanted_texts = spark.sparkContext.broadcast(marked(places, lambda part: _texts(*columns(part)[:2]), n))
+    if n <= FEW:
+        of_line = places.select(F.col("doc").alias("of_doc")).distinct()
+        df = df.join(F.broadcast(of_line), F.col("doc") == F.col("of_doc"), "left_semi")
     sets = sets_of(df, counts, loose, wanted, wanted_texts)
     joined = sets.join(sent, (F.col("own_key") == F.col("key")) & (F.col("own_doc") == F.col("doc")) & (F.col("own_line") == F.col("line")) & (F.col("own_tie") == F.col("tie")))
     dealt = joined.select("group", "part", "role", "key", "words").repartition(partitions(spark), "group", "part").sortWithinPartitions("group", "part", "role")
@@ -560,34 +579,37 @@ def verified(df: DataFrame, counts, loose, pairs: DataFrame) -> DataFrame:
     return out
 
 
-def stays(df: DataFrame) -> DataFrame:
-    """(stay_doc, stay_tie, stay): of each document of ``df`` (doc, tie, text) the numbers of the lines that stay."""
+def stays(df: DataFrame) -> tuple[DataFrame, bool]:
+    """(stay_doc, stay_tie, stay): of each document of ``df`` (doc, tie, text) the numbers of the lines that stay; and whether there may be equal documents."""
     spark = df.sparkSession
     bounded_batches(spark)
     send = spark.sparkContext.broadcast
-    twice = cut(df.where(f"doc != {NO_ID}").groupBy("doc").count().where("count > 1").select("doc"))
+    twice = cut(df.groupBy("doc").count().where("count > 1").select("doc"))
     n = twice.count()
     loose = send(marked(twice, lambda part: np.asarray(part.column(0)), n) if n else None)
     drop(twice)
     counts = send(count_words(df))
     own = cut(classes(df, counts, loose))
-    splits = send(parts_of_words(own))
-    found = cut(candidates(postings(own, splits)))
+    many = posted_words(own)
+    blocks = partitions(spark) * (1 + int(many.sum()) * _POST.itemsize // (partitions(spark) * BLOCK))
+    splits = send(np.maximum(1, -(-many // HOT)).astype(np.uint32))
+    found = cut(candidates(postings(own, splits, blocks)))
     pairs = found.select(F.explode("best").alias("x")).select(*[F.col(f"x.{x}").alias(x) for x in _PAIR])
     gone = verified(df, counts, loose, pairs)
     still = cut(found.where("more").select(F.col("later_key").alias("later")).join(gone, "later", "left_anti"))
     n = still.count()
     if n:
         asked = send(marked(still, lambda part: np.asarray(part.column(0)), n))
-        words = send(marked(own.select("packed"), lambda part: np.concatenate([np.zeros(0, np.uint32), *(c.tokens[np.repeat(asked.value.has(c.heads["key"]), c.heads["prefix"])] for c in _each([part]))]), FIRST * 4 * n))
-        rest = all_candidates(postings(own, splits, asked, words))
+        words = send(marked(own.select("packed"), lambda part: np.concatenate([np.zeros(0, np.uint32), *(c.tokens[np.repeat(asked.value.has(c.heads["key"]), c.heads["prefix"])] for c in _each([part]))]), 16 * n))
+        rest = all_candidates(postings(own, splits, blocks, asked, words))
         rest = cut(rest.join(still.withColumnRenamed("later", "later_key"), "later_key", "left_semi").join(pairs, ["later_key", "earlier_key"], "left_anti"))
         more = verified(df, counts, loose, rest)
         drop(rest)
         gone = gone.unionAll(more)
     drop(found, still)
     kept = first_places(own).join(gone, F.col("key") == F.col("later"), "left_anti")
-    return kept.groupBy(F.col("doc").alias("stay_doc"), F.col("tie").alias("stay_tie")).agg(F.collect_list(F.col("line").cast("long")).alias("stay"))
+    kept = kept.groupBy(F.col("doc").alias("stay_doc"), F.col("tie").alias("stay_tie")).agg(F.collect_list(F.col("line").cast("long")).alias("stay"))
+    return kept, loose.value is not None
 
 
 def _with_kept(df: DataFrame, text: str, key: str) -> tuple[DataFrame, str]:
@@ -596,11 +618,16 @@ def _with_kept(df: DataFrame, text: str, key: str) -> tuple[DataFrame, str]:
     doc, tie = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(whole, F.lit("")))
     own = df.select(doc.alias("doc"), tie.alias("tie"), whole.alias("text"))
     names = {x: free_name(df, f"line_dedup_{x}") for x in ("result", "doc", "tie", "row", "n", "lines", "stay")}
-    stay = stays(own).select(F.col("stay_doc").alias(names["doc"]), F.col("stay_tie").alias(names["tie"]), F.col("stay").alias(names["stay"]))
+    stay, repeated = stays(own)
+    stay = stay.select(F.col("stay_doc").alias(names["doc"]), F.col("stay_tie").alias(names["tie"]), F.col("stay").alias(names["stay"]))
     named = df.withColumns({names["row"]: F.monotonically_increasing_id(), names["doc"]: doc, names["tie"]: tie})
-    copies = named.groupBy(names["doc"], names["tie"]).agg(F.min(names["row"]).alias(names["n"]), F.count("*").alias(names["lines"])).where(F.col(names["lines"]) > 1).drop(names["lines"])
-    joined = named.join(stay, [names["doc"], names["tie"]], "left").join(copies, [names["doc"], names["tie"]], "left")
-    mine = F.when(F.coalesce(F.col(names["n"]) == F.col(names["row"]), F.lit(True)), F.coalesce(F.col(names["stay"]), F.array().cast("array<long>"))).otherwise(F.array().cast("array<long>"))
+    joined = named.join(stay, [names["doc"], names["tie"]], "left")
+    none = F.array().cast("array<long>")
+    mine = F.coalesce(F.col(names["stay"]), none)
+    if repeated:
+        copies = named.groupBy(names["doc"], names["tie"]).agg(F.min(names["row"]).alias(names["n"]), F.count("*").alias(names["lines"])).where(F.col(names["lines"]) > 1).drop(names["lines"])
+        joined = joined.join(copies, [names["doc"], names["tie"]], "left")
+        mine = F.when(F.coalesce(F.col(names["n"]) == F.col(names["row"]), F.lit(True)), mine).otherwise(none)
     count = F.when(F.coalesce(whole, F.lit("")) == "", 0).otherwise(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long")
     joined = joined.withColumn(names["stay"], mine).withColumn(names["n"], count)
     n, stay_at = F.col(names["n"]), F.col(names["stay"])

@@ -7,8 +7,7 @@ band are candidates. Within a band's bucket, similarity is estimated from the co
 chance agreement; pairs estimated high enough are tied together.
 
 Ties are confirmed on full sets in two steps. First each class is compared with the first one that it is tied to; most
-groups are whole after that. The groups of ties that are still in several parts are then compared exactly, all members
-of different parts. The confirmed links make the components.
+groups are whole after that. Parts that ties still join are then compared exactly, all members of different parts. The confirmed links make the components.
 
 A ``Link`` says from which similarity documents are linked, and how such pairs are searched. A pair right at it meets in
 no band, or is estimated too low, with a chance of 8.5e-7 for QUERY (0.85) and 1.9e-7 for STAGE (0.8); a pair above it
@@ -331,21 +330,24 @@ def class_roots(own: DataFrame, link: Link) -> tuple[DataFrame, DataFrame]:
     with_sig = members.join(classes.select(F.col("node").alias("own_node"), "packed"), F.col("node") == F.col("own_node"))
     ties = cut(_in_groups(with_sig, ["bucket", "pair"], ["node", "packed"], lambda columns: _alike(columns, link)).distinct())
     links = first_links(own, classes, ties, link)
-    parts, groups_of = components(links), components(ties)
-    in_group = classes.select("key", "check", "node", "n").join(groups_of.select(F.col("node").alias("own_node"), F.col("root").alias("group")), F.col("node") == F.col("own_node")).drop("own_node")
-    placed = cut(in_group.join(parts.select(F.col("node").alias("own_node"), F.col("root").alias("part")), F.col("node") == F.col("own_node"), "left").drop("own_node").withColumn("part", F.coalesce("part", "node")))
-    sizes = placed.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.col("n") * 8) / TILE_BYTES)).alias("tiles"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("group", "tiles")
-    sizes = cut(sizes)
-    open_groups = cut(placed.join(sizes.select("group"), "group", "left_semi"))
-    if open_groups.take(1):
-        wide = tiled(with_sets(own, open_groups), "group", "node", sizes)
-        links = links.unionAll(_in_groups(wide, ["group", "pair"], ["node", "words", "part"], lambda columns: _linked(columns, link)))
+    parts = components(links)
+    of_part = lambda end: parts.select(F.col("node").alias(f"{end}_node"), F.col("root").alias(f"{end}_root"))
+    between = ties.join(of_part("a"), F.col("a") == F.col("a_node"), "left").join(of_part("b"), F.col("b") == F.col("b_node"), "left")
+    between = cut(between.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a != b").distinct())
+    if between.take(1):
+        in_group = components(between).select(F.col("node").alias("of_part"), F.col("root").alias("group"))
+        in_part = classes.select("key", "check", "node", "n").join(of_part("own"), F.col("node") == F.col("own_node"), "left").withColumn("part", F.coalesce("own_root", "node"))
+        placed = cut(in_part.join(in_group, F.col("part") == F.col("of_part")).select("key", "check", "node", "n", "part", "group"))
+        sizes = placed.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.col("n") * 8) / TILE_BYTES)).alias("tiles"))
+        wide = tiled(with_sets(own, placed), "group", "node", sizes)
+        links = links.unionAll(cut(_in_groups(wide, ["group", "pair"], ["node", "words", "part"], lambda columns: _linked(columns, link))))
         parts = components(links)
+        drop(placed)
     known = classes.select("key", "check", "node", "first_id").join(parts.withColumnRenamed("node", "own_node"), F.col("node") == F.col("own_node"), "left").withColumn("group", F.coalesce("root", "node"))
     known = cut(known.select("key", "check", "group", "first_id"))
     least = known.groupBy(F.col("group").alias("own_group")).agg(F.min("first_id").alias("least"))
     answer = cut(known.join(least, F.col("group") == F.col("own_group")).select(F.col("key").alias("own_key"), F.col("check").alias("own_check"), F.col("least").alias("root")))
-    drop(classes, crowded, ties, placed, sizes, open_groups, known)
+    drop(classes, crowded, ties, between, known)
     return rows.select("doc_id", "n", "key", "check"), answer
 
 

@@ -120,6 +120,9 @@ def test_line_dedup_rows_without_an_id(spark):
 def test_line_dedup_crowds(spark, monkeypatch):
     """Words with many lines: neighbours first, words in parts, and the second round give the same as every pair compared."""
     monkeypatch.setattr(line_dedup, "CROWD", 8)
+    monkeypatch.setattr(line_dedup, "BLOCK", 1 << 12)
+    monkeypatch.setattr(line_dedup, "HELD", 1 << 12)
+    monkeypatch.setattr(line_dedup, "FEW", 0)
     monkeypatch.setattr(line_dedup, "HOT", 16)
     monkeypatch.setattr(line_dedup, "FIRST", 2)
     draw = random.Random(6)
