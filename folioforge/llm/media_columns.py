@@ -1,13 +1,14 @@
 """Media columns: lossless PNG in binary columns, and low-frequency cosine-transform hashes of what is read back.
 
 A payload of bytes becomes an 8-bit RGB image of 64 pixels a row. Writing and reading are done here with zlib and
-numpy: chunk framing, CRC tests, inflating and unfiltering of all five filter types. The perceptual hash takes the
+numpy: each row's filter is chosen when it is written; chunk framing, CRC tests, inflating and unfiltering of all five
+filter types when it is read. The perceptual hash takes the
 mean brightness on a 32 x 32 grid, its two-dimensional cosine transform, and the signs of the 8 x 8 lowest frequencies
 against their median.
 
 Defined results: a null or empty text is the payload of 192 spaces; equal texts have equal rows; repeated rows stay
 repeated; a null ``doc_id`` passes through; an empty table gives no rows. A file whose chunks or checksums are damaged
-raises ValueError from ``read_png``. One text is held in memory at a time.
+raises ValueError from ``read_png``. A slice of texts (half a megabyte, or one longer text) is held in memory at a time.
 """
 
 from __future__ import annotations
@@ -40,15 +41,51 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(body, zlib.crc32(kind)))
 
 
-def write_png(samples: bytes, width: int = ROW_BYTES // CHANNELS, channels: int = CHANNELS, level: int = LEVEL) -> bytes:
-    """8-bit samples, row by row, as a PNG."""
+def _near(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Whichever of three neighbours is nearest to left + up - corner; ties go to left, then up."""
+    p = left + up - corner
+    a, b, c = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+    return np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+
+
+def choose_filters(rows: np.ndarray, step: int, tops: np.ndarray) -> np.ndarray:
+    """Rows as a PNG holds them: each with the filter whose result has the least sum of absolute (signed) values, and its type in front.
+
+    ``tops`` marks the first row of each image.
+    """
+    wide = rows.astype(np.int16)
+    left, up, corner = np.zeros_like(wide), np.zeros_like(wide), np.zeros_like(wide)
+    left[:, step:] = wide[:, :-step]
+    up[1:] = wide[:-1]
+    up[tops] = 0
+    corner[:, step:] = up[:, :-step]
+    out = np.empty((len(rows), rows.shape[1] + 1), np.uint8)
+    least = np.full(len(rows), np.iinfo(np.int64).max)
+    for kind, guess in enumerate((np.int16(0), left, up, (left + up) >> 1, _near(left, up, corner))):
+        line = (wide - guess).astype(np.uint8)
+        cost = np.abs(line.view(np.int8).astype(np.int16)).sum(axis=1, dtype=np.int64)
+        better = cost < least
+        out[better, 0], out[better, 1:], least[better] = kind, line[better], cost[better]
+    return out
+
+
+def write_pngs(payloads: list[bytes], width: int = ROW_BYTES // CHANNELS, channels: int = CHANNELS, level: int = LEVEL) -> list[bytes]:
+    """8-bit samples, row by row, as a PNG each."""
     stride = width * channels
-    rows = np.frombuffer(samples, np.uint8).reshape(-1, stride)
+    rows = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, stride)
+    ends = np.cumsum([len(x) // stride for x in payloads])
+    tops = np.zeros(len(rows), bool)
+    tops[[0, *ends[:-1]]] = True
     colour = {1: 0, 2: 4, 3: 2, 4: 6}[channels]
-    lines = np.zeros((len(rows), stride + 1), np.uint8)
-    lines[:, 1:] = rows
-    header = struct.pack(">IIBBBBB", width, len(rows), 8, colour, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
+    out = []
+    for lines in np.split(choose_filters(rows, channels, tops), ends[:-1]):
+        header = struct.pack(">IIBBBBB", width, len(lines), 8, colour, 0, 0, 0)
+        out.append(SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b""))
+    return out
+
+
+def write_png(samples: bytes, width: int = ROW_BYTES // CHANNELS, channels: int = CHANNELS, level: int = LEVEL) -> bytes:
+    return write_pngs([samples], width, channels, level)[0]
 
 
 def chunks(png: bytes):
@@ -72,42 +109,37 @@ def chunks(png: bytes):
     raise ValueError("PNG has no end chunk")
 
 
-def unfilter(kinds: np.ndarray, lines: np.ndarray, step: int) -> np.ndarray:
-    """Undo the row filters: 0 none, 1 left, 2 up, 3 mean of both, 4 the nearest of left, up and corner."""
-    if not kinds.any():
-        return lines
+def unfilter(kinds: np.ndarray, lines: np.ndarray, step: int, tops: np.ndarray | None = None) -> np.ndarray:
+    """Undo the row filters: 0 none, 1 left, 2 up, 3 mean of both, 4 the nearest of left, up and corner.
+
+    Rows of several images of one width may stand one after the other, ``tops`` marks the first row of each. A pixel
+    needs those to its left, above and between them, so pixels whose row and column in their image add up to the same
+    number are done at once, in all images.
+    """
     if (kinds > 4).any():
         raise ValueError("PNG has an unknown filter type")
-    pixels = lines.reshape(len(lines), -1, step)
-    if (kinds == 1).all():
-        return np.cumsum(pixels, axis=1, dtype=np.uint8).reshape(lines.shape)
-    if (kinds == 2).all():
-        return np.cumsum(lines, axis=0, dtype=np.uint8)
-    out, above = np.empty_like(pixels), np.zeros_like(pixels[0])
-    for y, kind in enumerate(kinds):
-        row = pixels[y]
-        if kind == 1:
-            row = np.cumsum(row, axis=0, dtype=np.uint8)
-        elif kind == 2:
-            row = row + above
-        elif kind > 2:
-            row, left, corner = row.copy(), np.zeros(step, np.int64), np.zeros(step, np.int64)
-            for x in range(len(row)):
-                up = above[x].astype(np.int64)
-                if kind == 3:
-                    guess = (left + up) >> 1
-                else:
-                    p = left + up - corner
-                    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
-                row[x] = (row[x] + guess) & 255
-                left, corner = row[x].astype(np.int64), up
-        out[y] = above = row
-    return out.reshape(lines.shape)
-
-
-def read_png(png: bytes) -> tuple[np.ndarray, int]:
-    """(rows of samples, channels) of an 8-bit PNG without interlacing."""
+    many, width = len(lines), lines.shape[1] // step
+    tops = np.arange(many) == 0 if tops is None else tops
+    depth = np.arange(many) - np.maximum.accumulate(np.where(tops, np.arange(many), 0))
+    order = np.argsort(depth, kind="stable")
+    place = np.empty(many, np.int64)
+    place[order] = np.arange(many)
+    above = np.where(tops, many, place[np.arange(many) - 1])[order]
+    depth, kind = depth[order], kinds[order][:, None]
+    first = np.searchsorted(depth, np.arange(int(depth[-1]) + 2 if many else 1))
+    given = lines.reshape(many, width, step)[order].astype(np.int16)
+    out = np.zeros((many + 1, width + 1, step), np.int16)  # a row of zeros below all, and a column of zeros before all
+    for t in range(len(first) - 1 + width - 1 if many else 0):
+        a, b = int(first[max(0, t - width + 1)]), int(first[min(t + 1, len(first) - 1)])
+        x, mine, k = t - depth[a:b], np.arange(a, b), kind[a:b]
+        left, up, corner = out[mine, x], out[above[a:b], x + 1], out[above[a:b], x]
+        guess = np.where(k == 1, left, np.where(k == 2, up, np.where(k == 3, (left + up) >> 1, np.where(k == 4, _near(left, up, corner), 0))))
+        out[mine, x + 1] = (given[mine, x] + guess) & 255
+    return out[place, 1:].astype(np.uint8).reshape(lines.shape)
+
+
+def _lines_of(png: bytes) -> tuple[np.ndarray, int]:
+    """(rows with their filter types in front, channels) of an 8-bit PNG without interlacing."""
     header, data = None, []
     for kind, body in chunks(png):
         if kind == b"IHDR":
@@ -120,8 +152,27 @@ def read_png(png: bytes) -> tuple[np.ndarray, int]:
     lines = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
     if lines.size != height * (width * channels + 1):
         raise ValueError("PNG data has the wrong size")
-    lines = lines.reshape(height, -1)
-    return unfilter(lines[:, 0], lines[:, 1:], channels), channels
+    return lines.reshape(height, -1), channels
+
+
+def read_pngs(images: list[bytes]) -> list[tuple[np.ndarray, int]]:
+    """(rows of samples, channels) of each image; images of one shape are unfiltered together."""
+    found = [_lines_of(x) for x in images]
+    out: list = [None] * len(found)
+    shapes = {(lines.shape[1], channels) for lines, channels in found}
+    for shape in shapes:
+        mine = [i for i, (lines, channels) in enumerate(found) if (lines.shape[1], channels) == shape]
+        lines = np.concatenate([found[i][0] for i in mine])
+        ends = np.cumsum([len(found[i][0]) for i in mine])
+        tops = np.zeros(len(lines), bool)
+        tops[[0, *ends[:-1]]] = True
+        for i, rows in zip(mine, np.split(unfilter(lines[:, 0], lines[:, 1:], shape[1], tops), ends[:-1])):
+            out[i] = rows, shape[1]
+    return out
+
+
+def read_png(png: bytes) -> tuple[np.ndarray, int]:
+    return read_pngs([png])[0]
 
 
 _GRID = 32
@@ -151,9 +202,8 @@ def with_media(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     def step(part: pa.RecordBatch) -> dict:
         texts = part.column(1).to_pylist()
         out = {name: [] for name in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media")}
-        for value in texts:
-            media = write_png(payload_of(value))
-            rows, channels = read_png(media)
+        written = write_pngs([payload_of(value) for value in texts])
+        for value, media, (rows, channels) in zip(texts, written, read_pngs(written)):
             back = rows.tobytes()
             for name, x in (("n_bytes", len((value or "").encode())), ("payload_bytes", len(back)), ("payload_sha256", hashlib.sha256(back).hexdigest()), ("tail_crc32", zlib.crc32(back[-16:])), ("media_bytes", len(media)), ("media_sha256", hashlib.sha256(media).hexdigest()), ("feature", cosine_hash(rows, channels)), ("media", media)):
                 out[name].append(x)
