@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from .frames import in_arrow
 
-#: Characters of a leaf, and characters of a window from which its matches are looked at one by one.
-LEAF, WINDOW = 16384, 8192
+#: Characters (tokens, in decoding) of a leaf, and characters of a window from which its matches are looked at one by one.
+LEAF, WINDOW = 256, 1024
 _SEAM = regex.compile(r"[^\s\x1c-\x1f](?=[ \n])")
 _SEAM_BACK = regex.compile(r"(?r)[^\s\x1c-\x1f](?=[ \n])")
 
 
 class TreeBPE:
-    """Encoder and decoder over a rank file; ``leaf`` and ``window`` are small in tests only."""
+    """Encoder and decoder over a rank file; ``leaf`` and ``window`` are smaller in tests."""
 
     def __init__(self, path: str, pattern: str, leaf: int = LEAF, window: int = WINDOW):
         with open(path, "rb") as f:
@@ -43,12 +43,13 @@ class TreeBPE:
         self.pattern, self.leaf, self.window = regex.compile(pattern), leaf, window
         self.text_of = [str(i) for i in range(max(self.bytes_of, default=-1) + 1)]
 
-    def encode(self, text: str) -> list[int]:
-        if len(text) <= self.leaf:
+    def encode(self, text: str, leaf: int = 1) -> list[int]:
+        """The ids of ``text``: of its halves, joined. Only halves within a text are leaves; a whole text of two characters is halved too."""
+        if len(text) <= leaf:
             return self.encoding.encode_ordinary(text)
         half = len(text) // 2
         a, b = text[:half], text[half:]
-        return self.join(a, self.encode(a), b, self.encode(b))
+        return self.join(a, self.encode(a, self.leaf), b, self.encode(b, self.leaf))
 
     def join(self, a: str, left: list[int], b: str, right: list[int]) -> list[int]:
         """The encoding of ``a + b`` from those of ``a`` and ``b``."""
@@ -115,7 +116,7 @@ class TreeBPE:
         if len(ids) <= self.leaf:
             return b"".join(map(self.bytes_of.__getitem__, ids))
         half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        return b"".join([self.decode(ids[:half]), self.decode(ids[half:])])
 
 
 @functools.lru_cache(maxsize=2)
