@@ -13,6 +13,7 @@ passes through; other columns are not read; an empty table gives no rows. The wo
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -301,10 +302,29 @@ def _lit(rules: list[Signature]) -> Column:
     return F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex")) for r in rules])
 
 
+_SPAN = "struct<label:string,priority:int,start:int,stop:int>"
+#: Elements that are gone through at once; what is found is handed on block by block, so that the work is in proportion to the matches.
+_BLOCK = 64
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named inside."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks_of(array: Column) -> Column:
+    """The numbers of the blocks of an array."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(array) - 1) / _BLOCK).cast("int")))
+
+
+def _block(array: Column, number: Column) -> Column:
+    return F.transform(F.sequence(number * _BLOCK, F.least(number * _BLOCK + _BLOCK, F.size(array)) - 1), lambda i: F.get(array, i))
+
+
 def _spans(text: Column, rule: Column) -> Column:
     """All matches of a rule as structs of label, priority, start and end (characters from 0)."""
-    pieces = F.split(F.regexp_replace(text, rule["regex"], F.lit("\x01$0\x02")), "\x01")
-    kind = "struct<at:int,found:array<struct<label:string,priority:int,start:int,stop:int>>>"
+    kind = f"struct<at:int,found:array<{_SPAN}>>"
+    kinds = f"struct<at:int,found:array<array<{_SPAN}>>>"
 
     def add(state: Column, piece: Column) -> Column:
         shut = F.instr(piece, "\x02")
@@ -312,7 +332,12 @@ def _spans(text: Column, rule: Column) -> Column:
         at = state["at"] + F.length(piece) - F.when(shut > 0, 1).otherwise(0)
         return F.struct(at.alias("at"), F.when(shut > 0, F.array_append(state["found"], span)).otherwise(state["found"]).alias("found")).cast(kind)
 
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().alias("found")).cast(kind), add, lambda s: s["found"])
+    def add_block(state: Column, block: Column) -> Column:
+        own = F.aggregate(block, F.struct(state["at"].alias("at"), F.array().alias("found")).cast(kind), add)
+        return _once(own, lambda x: F.struct(x["at"].alias("at"), F.array_append(state["found"], x["found"]).alias("found")).cast(kinds))
+
+    blocks = _once(F.split(F.regexp_replace(text, rule["regex"], F.lit("\x01$0\x02")), "\x01"), lambda pieces: F.transform(_blocks_of(pieces), lambda number: _block(pieces, number)))
+    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().alias("found")).cast(kinds), add_block, lambda s: F.flatten(s["found"]))
 
 
 def _all_spans(text: Column, rules: Column) -> Column:
@@ -320,17 +345,31 @@ def _all_spans(text: Column, rules: Column) -> Column:
 
 
 def surviving(spans: Column) -> Column:
-    """Spans that no other label's span of higher priority, or of equal priority and greater length, contains."""
+    """Spans that no other label's span of higher priority, or of equal priority and greater length, contains.
+
+    In order of start, and from the longest and the highest priority at one start, whatever contains a span stands before
+    it. So spans are swept block by block, and a block is compared with itself and with those before that reach into it.
+    """
+    of = lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("back"), (-x["priority"]).alias("below"), x["label"].alias("label"))
+    back = lambda x: F.struct(x["label"].alias("label"), (-x["below"]).alias("priority"), x["start"].alias("start"), (-x["back"]).alias("stop"))
+    kind = "struct<start:int,back:int,below:int,label:string>"
+    kinds = f"struct<reach:array<{kind}>,kept:array<array<{kind}>>>"
+
+    def beats(o: Column, s: Column) -> Column:
+        """Whether ``o`` contains ``s`` and is above it; in one place, being longer is to start before or stop after."""
+        around = (o["label"] != s["label"]) & (o["start"] <= s["start"]) & (o["back"] <= s["back"])
+        return around & ((o["below"] < s["below"]) | ((o["below"] == s["below"]) & ((o["start"] < s["start"]) | (o["back"] < s["back"]))))
 
-    def size(x: Column) -> Column:
-        return x["stop"] - x["start"]
+    def sweep(state: Column, block: Column) -> Column:
+        def pooled(pool: Column) -> Column:
+            kept = F.filter(block, lambda s: ~F.exists(pool, lambda o: beats(o, s)))
+            return _once(F.element_at(block, -1)["start"], lambda last: F.struct(F.filter(pool, lambda o: -o["back"] > last).alias("reach"), F.array_append(state["kept"], kept).alias("kept")).cast(kinds))
 
-    def beaten(s: Column) -> Column:
-        around = lambda o: (o["label"] != s["label"]) & (o["start"] <= s["start"]) & (o["stop"] >= s["stop"])
-        above = lambda o: (o["priority"] > s["priority"]) | ((o["priority"] == s["priority"]) & (size(o) > size(s)))
-        return F.exists(spans, lambda o: around(o) & above(o))
+        return _once(F.concat(state["reach"], block), pooled)
 
-    return F.filter(spans, lambda s: ~beaten(s))
+    none = F.struct(F.array().alias("reach"), F.array().alias("kept")).cast(kinds)
+    blocks = _once(F.array_sort(F.transform(spans, of)), lambda ordered: F.transform(_blocks_of(ordered), lambda number: _block(ordered, number)))
+    return F.transform(F.aggregate(blocks, none, sweep, lambda s: F.flatten(s["kept"])), back)
 
 
 def scan(df: DataFrame, rules: list[Signature] = SIGNATURES, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -346,7 +385,7 @@ def scan(df: DataFrame, rules: list[Signature] = SIGNATURES, text: str = "text",
         test = F.contains(F.col("any_case"), F.lit(stem))
         gate = test if gate is None else gate | test
     gated = start.select(key, "text", F.when(gate, F.translate(F.translate(F.col("text"), "\x01\x02", "  "), _UPPER, _LOWER)).alias("low"))
-    empty = F.array().cast("array<struct<label:string,priority:int,start:int,stop:int>>")
+    empty = F.array().cast(f"array<{_SPAN}>")
     none_if = lambda x: F.when(F.col("low").isNotNull(), x).otherwise(empty)
     found = gated.select(key, "text", "low", none_if(_all_spans(F.col("low"), _lit(_BASE_RULES))).alias("base"), none_if(_all_spans(F.col("low"), _lit(rules))).alias("all_spans"))
     kept = found.select(key, "text", "low", "base", F.when(F.size("all_spans") > 0, surviving(F.col("all_spans"))).otherwise(empty).alias("spans"))

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from cases import corpus, empty, frame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,67 @@ def test_media(spark):
     assert media_columns.with_media(empty(spark)).count() == 0
 
 
+def plain_png(raw):
+    """Samples of a PNG by a reader of its own: chunks by their lengths, pixels one by one."""
+    at, data = 8, b""
+    while at < len(raw):
+        size = int.from_bytes(raw[at : at + 4], "big")
+        kind, body = raw[at + 4 : at + 8], raw[at + 8 : at + 8 + size]
+        assert int.from_bytes(raw[at + 8 + size : at + 12 + size], "big") == zlib.crc32(kind + body)
+        if kind == b"IHDR":
+            width, height = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
+            assert body[8:] == bytes([8, 2, 0, 0, 0])
+        data += body if kind == b"IDAT" else b""
+        at += 12 + size
+    lines, stride = zlib.decompress(data), 3 * width
+    before, out, kinds = [0] * stride, [], set()
+    for y in range(height):
+        kind, *line = lines[y * (stride + 1) : (y + 1) * (stride + 1)]
+        kinds.add(kind)
+        for x in range(stride):
+            a, c = (line[x - 3], before[x - 3]) if x >= 3 else (0, 0)
+            b = before[x]
+            p = a + b - c
+            near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            line[x] = (line[x] + [0, a, b, (a + b) // 2, near][kind]) % 256
+        out += line
+        before = line
+    return bytes(out), kinds
+
+
+def plain_hash(samples):
+    """Signs of the lowest frequencies of brightness on a grid, term by term."""
+    rows = [[sum(samples[y * 192 + 3 * x : y * 192 + 3 * x + 3]) for x in range(64)] for y in range(len(samples) // 192)]
+    rows = [r for r in rows for _ in range(-(-32 // len(rows)) if len(rows) < 32 else 1)]
+    mean = lambda x: sum(x) / len(x)
+    cut = [k * len(rows) // 32 for k in range(33)]
+    grid = [[mean([rows[y][x] for y in range(cut[i], cut[i + 1]) for x in (2 * j, 2 * j + 1)]) for j in range(32)] for i in range(32)]
+    low = [sum(grid[y][x] * np.cos(np.pi * u * (2 * y + 1) / 64) * np.cos(np.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    return low
+
+
+def test_media_against_a_plain_reader(spark):
+    """Every row of sf0.001, and odd texts: what an independent reader finds in the stored form, with all kinds of filters; and the transform term by term."""
+    import pyarrow.parquet as pq
+
+    texts = [(i, t) for i, t in enumerate(pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist()) if len(t or "") < 20_000]
+    texts += [(10_000, None), (10_001, ""), (10_002, "\u00e9" * 500), (10_003, "".join(chr(33 + k * k % 90) for k in range(5000)))]
+    kinds = set()
+    for r in media_columns.with_media(frame(spark, texts)).collect():
+        raw = (dict(texts)[r["doc_id"]] or "").encode()
+        payload, found = plain_png(bytes(r["media"]))
+        kinds |= found
+        assert payload == raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(r["media"]), hashlib.sha256(r["media"]).hexdigest())
+        if r["doc_id"] % 20 == 0:
+            low = plain_hash(payload)
+            bits = bin(int(r["feature"], 16))[2:].zfill(64)
+            edge = np.median(low)
+            assert all((b == "1") == (x > edge) for b, x in zip(bits, low) if abs(x - edge) > 1e-6)
+    assert kinds == {0, 1, 2, 3, 4}
+
+
 def filtered(kind, rows, step):
     """Rows under one of the five filters, by the book."""
     out = np.zeros_like(rows)
@@ -101,6 +163,33 @@ def test_bpe_rows(spark):
     assert bpe.with_tokens(empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_every_text_takes_the_tree(monkeypatch):
+    """All documents of two characters or more are joined from halves, and none is encoded whole."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    tree = bpe.TreeBPE(RANKS, public_tokenizers.PATTERN)
+    joins, longest = [0], [0]
+    whole, join = tree.encoding.encode_ordinary, tree.join
+    monkeypatch.setattr(tree, "join", lambda *x: joins.__setitem__(0, joins[0] + 1) or join(*x))
+
+    class Leaves:
+        def encode_ordinary(self, text):
+            longest[0] = max(longest[0], len(text))
+            return whole(text)
+
+        def _encode_single_piece(self, raw):
+            return own._encode_single_piece(raw)
+
+    own = tree.encoding
+    monkeypatch.setattr(tree, "encoding", Leaves())
+    for text in texts:
+        before = joins[0]
+        assert tree.encode(text or "") == whole(text or "")
+        assert joins[0] - before >= (len(text or "") > 1) + (len(text or "") > 2 * tree.leaf) * len(text or "") // (4 * tree.leaf)
+    assert longest[0] <= max(tree.leaf, tree.window)
+
+
 # --- packing -------------------------------------------------------------------------------------------------------------
 
 
@@ -197,6 +286,22 @@ def test_license_scan(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_license_scan_of_many_matches(spark):
+    """Hundreds of matches that overlap, over many blocks of spans, against every pair of spans compared; twenty thousand of them in seconds."""
+    import random
+    import time
+
+    draw = random.Random(3)
+    parts = ["mit license", "apache license", "gnu general public license version 2 or any later version", "cc by-nc 4.0", "gnu general public license", "apache license version 2.0", "x", "all rights reserved", "creative commons attribution sharealike 4.0 international license"]
+    texts = [(k, " ".join(draw.choice(parts) for _ in range(400))) for k in range(4)]
+    got = license_scan.scan(frame(spark, texts)).collect()
+    found = sorted((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"]) for r in got)
+    assert found == sorted((i, *plain_scan(t)) for i, t in texts)
+    began = time.monotonic()
+    long = license_scan.scan(frame(spark, [(1, "mit license apache license " * 10_000)])).first()
+    assert long["n_base"] == 20_000 and time.monotonic() - began < 60
+
+
 def test_license_stems_cover_the_rules():
     """Whatever a rule matches at the least holds its keyword and a stem."""
     for text in LICENSED:
@@ -316,22 +421,83 @@ def test_url_rules_under_every_filing(spark):
 # --- edit fingerprints -----------------------------------------------------------------------------------------------------
 
 
+def plain_walk(text):
+    """One symbol a step, from the character a walk stands on, by the tables' definition; and the samples of the steps."""
+    def mixed(x):
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> shift)) * by % (1 << 64)
+        return x ^ (x >> 31)
+
+    out, at, step = [], 0, 0
+    while at < len(text):
+        cell = step % edit_fingerprint.PERIOD * edit_fingerprint.CLASSES + (ord(text[at]) * 2654435761 % (1 << 32) >> 24)
+        out.append("0123456789abcdef"[mixed(cell + (1 << 40)) >> 60])
+        at += mixed(cell) >> 63
+        step += 1
+    def steps():
+        yield 0
+        for octave in range(40):
+            width = (1 << octave) // edit_fingerprint.SAMPLES
+            for k in range(1 << octave if octave < edit_fingerprint.FIRST else edit_fingerprint.SAMPLES):
+                yield (1 << octave) + (k if octave < edit_fingerprint.FIRST else k * width + mixed(k + (octave << 20)) % width)
+
+    chosen = []
+    for s in steps():
+        if s >= len(out):
+            break
+        chosen.append(out[s])
+    return "".join(chosen)
+
+
 @pytest.mark.parametrize("runs", [1, 5, 40])
 def test_fingerprints(spark, runs):
-    texts = [x for x in corpus() if x[0] is not None and x[0] != 1006]
-    got = {r["doc_id"]: r for r in edit_fingerprint.with_fingerprints(frame(spark, texts), runs=runs).collect()}
-    order = sorted(texts)
-    assert len(got) == len(texts)
+    """Against one walk after the other in plain Python, with null and repeated ids."""
+    texts = [*corpus(), *[(None, f"without an id {k}") for k in range(30)], *[(1002, f"one id {k}") for k in range(30)]]
+    got = edit_fingerprint.with_fingerprints(frame(spark, texts), runs=runs).collect()
+    tie = lambda t: (n := xxhash.xxh64(t.encode(), seed=42).intdigest()) - (n >> 63 << 64)
+    order = sorted(((i, t or "") for i, t in texts), key=lambda x: (x[0] is not None, x[0] or 0, tie(x[1])))
+    want = []
     for k, (i, text) in enumerate(order):
-        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        after = order[(k + 1) % len(order)][1]
         n = len(text) // 4
-        assert got[i]["n_chars"] == len(text)
-        assert got[i]["edited_sha256"] == hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest()
-        assert got[i]["fingerprint"] == edit_fingerprint.fingerprints([edit_fingerprint.code_points(text)])[0]
-        assert 0 <= got[i]["near_next"] <= 1 and 0 <= got[i]["near_edited"] <= 1
+        other = text[: len(text) - n] + after[:n]
+        want.append((i, len(text), hashlib.sha256(other.encode()).hexdigest(), plain_walk(text), plain_walk(other)))
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1 for r in got)
     assert edit_fingerprint.with_fingerprints(empty(spark)).count() == 0
 
 
+def test_runs_keep_the_order():
+    """Runs follow (doc_id, hash), and a doc_id with a third of the rows, or rows without one, fall into several."""
+    draw = np.random.default_rng(5)
+    docs = np.concatenate([draw.integers(-50, 50, 300), np.full(300, 7), np.zeros(300, np.int64)])
+    null = np.arange(900) >= 600
+    hashes = draw.integers(-(1 << 63), (1 << 63) - 1, 900)
+    runs = edit_fingerprint.Runs([int(x) for x in np.quantile(docs[:600], np.arange(1, 12) / 12, method="lower")], 4)
+    found = runs.of(docs, null, hashes)
+    order = np.lexsort((hashes, docs, ~null))
+    assert (np.diff(found[order]) >= 0).all()
+    assert len(set(found[null])) == 4 and len(set(found[300:600])) > 3 and found.max() < 30
+
+
+def test_recall_of_near_pairs(spark, monkeypatch):
+    """At least nine of ten pairs whose likeness is NEAR or more are found, of all pairs compared."""
+    draw = np.random.default_rng(11)
+    prose = lambda k: "".join(map(chr, draw.integers(97, 123, k)))
+    texts = []
+    for _ in range(40):
+        base = prose(int(draw.integers(200, 3000)))
+        for edits in (0, 1, 3, 6, 12):
+            own = list(base)
+            for k in draw.integers(0, len(own), edits).tolist():
+                own[k] = prose(int(draw.integers(0, 3)))
+            texts.append("".join(own))
+    prints = edit_fingerprint.fingerprints([edit_fingerprint.code_points(t) for t in texts])
+    got = {(r["a"], r["b"]) for r in edit_fingerprint.near_pairs(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")).collect()}
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if edit_fingerprint.likeness(prints[i], prints[j]) >= edit_fingerprint.NEAR}
+    assert len(want) > 100 and got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_fingerprint_edges(spark):
     texts = [(1, "same text here"), (1, "same text here"), (None, "none"), (2, None)]
     got = edit_fingerprint.with_fingerprints(frame(spark, texts)).collect()
