@@ -12,7 +12,7 @@ All walks of a slice of a batch are made in lockstep, a step at a time over all
 
 Defined results: a null or empty text has an empty fingerprint, which is like an empty one only (likeness 1); equal
 texts have equal fingerprints; the next document is the next row by doc_id, rows without one first, equal ones in the
-order of their texts, and after the last the first, also if that is the row itself; repeated rows stay repeated; only
+order of their texts' hashes, and after the last the first, also if that is the row itself; repeated rows stay repeated; only
 the named columns are read; an empty table gives no rows.
 """
 
@@ -21,12 +21,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import STEP_BYTES, bounded_batches, cut, groups, mapped, mix, partitions
-from .minhash_dedup import TILE, tiled
+from .minhash_dedup import tiled
 
 #: Steps after which the random bits repeat, classes of characters, the first octave (steps below go whole) and samples of each further one.
 PERIOD, CLASSES, FIRST, SAMPLES = 4096, 256, 5, 32
@@ -114,35 +115,56 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+class Runs:
+    """Runs of rows in the order of (doc_id, hash of the text), nulls first; a doc_id with many rows, or none, has runs of its own, by hash."""
+
+    def __init__(self, cuts: list[int], nulls: int):
+        """``cuts`` are quantiles of doc_id, a frequent one repeated; ``nulls`` is how many runs the rows without one get."""
+        self.values, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.nulls = nulls
+        self.own = np.where(times > 1, times, 0)  # runs that hold one doc_id only
+        self.start = nulls + 1 + np.arange(len(times)) + np.cumsum(self.own) - self.own
+
+    def of(self, docs: np.ndarray, null: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The run of each row."""
+        spread = (hashes.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        out = (spread * np.uint64(max(1, self.nulls)) >> np.uint64(32)).astype(np.int64)
+        last = np.searchsorted(self.values, docs, side="right") - 1
+        if not len(self.values):
+            return np.where(null, out, self.nulls)
+        at = np.maximum(last, 0)
+        among = np.where(self.values[at] == docs, (spread * self.own[at].astype(np.uint64) >> np.uint64(32)).astype(np.int64), self.own[at])
+        return np.where(null, out, np.where(last < 0, self.nulls, self.start[at] + among))
+
+
 def dealt(df: DataFrame, many: int) -> DataFrame:
-    """(part, seq, doc_id, text): rows in runs of doc_id, each run also holding the first row of the next, with seq 1.
+    """(part, seq, doc_id, hash, text): rows in runs of doc_id and hash, each run also holding the first row of the next, with seq 1.
 
-    Runs are cut at quantiles of doc_id, and every row of one doc_id is in one run. The last run ends with the first
-    run's first row, with seq 2.
+    Runs are cut at quantiles of doc_id; equal rows are in one run. The last run ends with the first run's first row,
+    with seq 2. The driver gets one row a run.
     """
     spark = df.sparkSession
-    cuts = sorted(set(df.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / many for i in range(1, many)], 1 / (4 * many)))) if many > 1 else []
-    cuts = [int(x) for x in cuts]
-    part = F.lit(0)
-    if cuts:
-        part = F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col("doc_id"))), F.lit(0))
-    placed = df.withColumn("part", part)
-    heads = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", F.xxhash64("text").alias("hash"))).alias("head"))
-    order = {r["part"]: r["head"] for r in heads.collect()}  # one row for each run
-    if not order:
-        return placed.select("part", F.lit(0).alias("seq"), "doc_id", "text")
-    runs = sorted(order)
-    copies = []
-    for at, run in enumerate(runs):
-        head = order[run]
-        is_head = F.col("doc_id").eqNullSafe(F.lit(head["doc_id"])) & (F.xxhash64("text") == F.lit(head["hash"]))
-        to, seq = (runs[-1], 2) if at == 0 else (runs[at - 1], 1)
-        copies.append((run, is_head, to, seq))
-    extra = None
-    for run, is_head, to, seq in copies:
-        extra = F.when((F.col("part") == run) & is_head, F.struct(F.lit(to).alias("part"), F.lit(seq).alias("seq"))) if extra is None else extra.when((F.col("part") == run) & is_head, F.struct(F.lit(to).alias("part"), F.lit(seq).alias("seq")))
-    places = F.array_compact(F.array(F.struct(F.col("part"), F.lit(0).alias("seq")), extra))
-    return placed.withColumn("place", F.explode(places)).select("place.part", "place.seq", "doc_id", "text").repartition(partitions(spark), "part")
+    known = df.where("doc_id IS NOT NULL")
+    cuts = known.approxQuantile("doc_id", [i / many for i in range(1, many)], 1 / (4 * many)) if many > 1 else []
+    size = df.agg(F.count("*").alias("all"), F.count("doc_id").alias("known")).first()
+    nulls = -(-many * (size["all"] - size["known"]) // max(1, size["all"]))
+    runs = spark.sparkContext.broadcast(Runs([int(x) for x in cuts], nulls))
+
+    @F.pandas_udf("int")
+    def run_of(docs: pd.Series, null: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(runs.value.of(docs.to_numpy(np.int64), null.to_numpy(bool), hashes.to_numpy(np.int64)).astype(np.int32))
+
+    bounded_batches(spark)
+    hashed = df.withColumn("hash", F.xxhash64("text"))
+    placed = hashed.withColumn("part", run_of(F.coalesce("doc_id", F.lit(0).cast("long")), F.col("doc_id").isNull(), "hash"))
+    heads = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "hash")).alias("head")).orderBy("part").collect()  # one row for each run
+    parts = [r["part"] for r in heads]
+    copies = [(r["head"]["doc_id"], r["head"]["hash"], *((parts[-1], 2) if at == 0 else (parts[at - 1], 1))) for at, r in enumerate(heads)]
+    ends = F.broadcast(spark.createDataFrame(copies, "head_doc long, head_hash long, to int, seq int"))  # as many rows as there are runs
+    joined = placed.join(ends, F.col("doc_id").eqNullSafe(F.col("head_doc")) & (F.col("hash") == F.col("head_hash")), "left")
+    copy = F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("part"), "seq"))
+    places = F.array_compact(F.array(F.struct(F.col("part"), F.lit(0).alias("seq")), copy))
+    return joined.withColumn("place", F.explode(places)).select("place.part", "place.seq", "doc_id", "hash", "text").repartition(partitions(spark), "part")
 
 
 def with_fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", runs: int | None = None) -> DataFrame:
@@ -152,7 +174,7 @@ def with_fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", ru
     """
     bounded_batches(df.sparkSession)
     own = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    sorted_runs = dealt(own, runs or 4 * partitions(df.sparkSession)).withColumn("hash", F.xxhash64("text")).sortWithinPartitions("part", "seq", F.col("doc_id").asc_nulls_first(), "hash").drop("hash")
+    sorted_runs = dealt(own, runs or 4 * partitions(df.sparkSession)).sortWithinPartitions("part", "seq", F.col("doc_id").asc_nulls_first(), "hash").drop("hash")
     names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "band_hits_edited", "band_hits_next"]
     ddl = f"{key} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, band_hits_edited int, band_hits_next int"
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
@@ -216,9 +238,9 @@ def near_pairs(prints: DataFrame, key: str = "doc_id", fingerprint: str = "finge
     spark = prints.sparkSession
     bounded_batches(spark)
 
-    @F.udf("array<string>")
-    def names(x):
-        return bands(x or "")
+    @F.pandas_udf("array<string>")
+    def names(prints: pd.Series) -> pd.Series:
+        return prints.map(bands)
 
     rows = prints.select(F.col(key).cast("long").alias("node"), F.col(fingerprint).alias("print")).where("node IS NOT NULL AND print != ''").distinct()
     held = cut(rows.withColumn("band", F.explode(names("print"))).withColumn("band", F.xxhash64("band")))
