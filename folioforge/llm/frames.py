@@ -290,15 +290,18 @@ def _slots(keys: np.ndarray, size: int) -> np.ndarray:
 
 
 #: Bits of marks: so many for each key, within bounds.
-BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 28
 _CHUNK = 1 << 13
 
 
-def marked(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], many: int) -> Marks:
-    """Marks of the 64-bit keys that ``keys`` makes from the batches of ``df``; the table is sized for ``many`` of them, up to MOST_BITS."""
+def marked(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], many: int, among: int = 0) -> Marks:
+    """Marks of the 64-bit keys that ``keys`` makes from the batches of ``df``.
+
+    The table is sized for ``many`` of them, and so that of ``among`` other keys hardly more than ``many`` pass by chance, up to MOST_BITS.
+    """
     bounded_batches(df.sparkSession)
     size = LEAST_BITS
-    while size < min(MOST_BITS, BITS_A_KEY * many):
+    while size < min(MOST_BITS, max(BITS_A_KEY * many, among)):
         size *= 2
     schema = pa.schema([("chunk", pa.int32()), ("part", pa.binary())])
 

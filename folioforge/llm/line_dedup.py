@@ -599,8 +599,8 @@ def stays(df: DataFrame) -> tuple[DataFrame, bool]:
     still = cut(found.where("more").select(F.col("later_key").alias("later")).join(gone, "later", "left_anti"))
     n = still.count()
     if n:
-        asked = send(marked(still, lambda part: np.asarray(part.column(0)), n))
-        words = send(marked(own.select("packed"), lambda part: np.concatenate([np.zeros(0, np.uint32), *(c.tokens[np.repeat(asked.value.has(c.heads["key"]), c.heads["prefix"])] for c in _each([part]))]), 16 * n))
+        asked = send(marked(still, lambda part: np.asarray(part.column(0)), n, 2 * own.agg(F.sum("many")).first()[0]))
+        words = send(marked(own.select("packed"), lambda part: np.concatenate([np.zeros(0, np.uint32), *(c.tokens[np.repeat(asked.value.has(c.heads["key"]), c.heads["prefix"])] for c in _each([part]))]), 16 * n, int(many.sum()) // 16))
         rest = all_candidates(postings(own, splits, blocks, asked, words))
         rest = cut(rest.join(still.withColumnRenamed("later", "later_key"), "later_key", "left_semi").join(pairs, ["later_key", "earlier_key"], "left_anti"))
         more = verified(df, counts, loose, rest)
