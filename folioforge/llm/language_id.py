@@ -24,6 +24,8 @@ from .frames import bounded_batches, flat, free_name, in_arrow, mapped, slices,
 #: Gram buckets, grams of a segment, EM steps; a gram's share of independent evidence, and the cost of a language.
 BUCKETS, SEGMENT, STEPS, SHARE, PENALTY = 1 << 16, 64, 12, 0.25, 4.0
 UNDEFINED = "und"
+#: Languages that can be told apart at most: with more values than that, ``lang`` holds something else.
+MOST_LANGUAGES = 1000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 32
@@ -72,7 +74,10 @@ def count_grams(df: DataFrame, text: str, lang: str) -> DataFrame:
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """The languages and their log-probabilities of the buckets (BUCKETS x languages), from rows with a language and a text."""
-    found = count_grams(df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), text, lang).toPandas()
+    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    if labelled.select(lang).distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"{lang} has more than {MOST_LANGUAGES} values")
+    found = count_grams(labelled, text, lang).toPandas()  # BUCKETS rows a language at most
     names = sorted(found["lang"].unique())
     table = np.full((BUCKETS, len(names)), 0.5)
     for i, name in enumerate(names):

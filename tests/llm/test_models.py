@@ -5,8 +5,9 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
-from cases import SCHEMA, empty, frame
+from cases import SCHEMA, empty, frame, plain_language, plain_toxicity
 
 from folioforge.llm import language_id, toxicity
 
@@ -61,6 +62,23 @@ def test_mixture_proportions(spark):
     assert [got[k]["lang_pred"] for k in (3, 4, 5)] == ["und"] * 3 and got[4]["score"] == 0
 
 
+def test_mixtures_against_plain_loops(spark, documents):
+    """Languages, scores and shares of sf0.01's shorter documents, and of mixtures of them, against loops over segments and languages."""
+    model = language_id.learn(documents)
+    texts = [r["text"] for r in documents.where("length(text) < 2500").orderBy("doc_id").limit(120).collect()]
+    texts += [texts[k] + " " + texts[-k - 1] for k in range(30)] + ["", None, "12 34", "x", "\u00e9"]
+    got = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        lang, score, _ = plain_language(text, *model)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-3, i
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        language_id.learn(spark.createDataFrame([("text", x) for x in "abc"], "text string, lang string"))
+
+
 def test_documents_of_many_languages(spark):
     """A text of five languages lists them all, and is kept by its largest share even where that language isn't the likeliest of the whole text."""
     draw = random.Random(7)
@@ -91,18 +109,6 @@ def test_language_edges(spark):
     assert language_id.keep_identified(clash, 0.2).columns == clash.columns
 
 
-def test_toxicity_held_out(spark, documents):
-    labels = spark.read.parquet(f"{SF}/../check_s/labels.parquet")
-    docs = spark.read.parquet(f"{SF}/../check_s/documents.parquet")
-    got = toxicity.classify(docs, labels).toPandas().merge(labels.select("doc_id", "toxic").toPandas().rename(columns={"toxic": "label"}), on="doc_id")
-    held = got[got["held_out"]]
-    assert (got["held_out"] == got["doc_id"].map(lambda x: zlib.crc32(str(x).encode()) % 4 == 2)).all()
-    assert auc(held["score"].to_numpy(), held["label"].to_numpy()) > 0.98
-    hit = (held["predicted"] == 1) & (held["label"] == 1)
-    assert hit.sum() / max(1, (held["predicted"] == 1).sum()) > 0.9 and hit.sum() / (held["label"] == 1).sum() > 0.9
-    assert ((got["score"] >= 0.3).astype(int) == got["predicted"]).all() and got["score"].between(0, 1).all()
-
-
 def toy(n=300, seed=1):
     draw = random.Random(seed)
     plain = [f"w{k}" for k in range(200)]
@@ -117,6 +123,33 @@ def toy(n=300, seed=1):
     return rows, labels
 
 
+def test_toxicity_held_out(spark):
+    """On rows that were not learned from: few mistakes at the fixed threshold."""
+    rows, labels = toy(3000, 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.classify(docs, known).toPandas()
+    got["label"] = got["doc_id"].map({i: y for i, _, y in labels})
+    assert (got["held_out"] == got["doc_id"].map(lambda x: zlib.crc32(str(x).encode()) % 4 == 2)).all()
+    held = got[got["held_out"]]
+    assert auc(held["score"].to_numpy(), held["label"].to_numpy()) > 0.98
+    hit = (held["predicted"] == 1) & (held["label"] == 1)
+    assert hit.sum() / max(1, (held["predicted"] == 1).sum()) > 0.9 and hit.sum() / (held["label"] == 1).sum() > 0.9
+    assert ((got["score"] >= 0.3).astype(int) == got["predicted"]).all() and got["score"].between(0, 1).all()
+
+
+def test_toxicity_against_plain_windows(spark, documents):
+    """Scores of sf0.01's shorter documents against one window after the other, by one and the same model."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.learn(documents, labels)
+    texts = {r["doc_id"]: r["text"] for r in documents.where("length(text) < 1500").collect()}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(documents, model).collect()}
+    assert len(texts) > 300
+    for i, text in texts.items():
+        buckets, _ = toxicity.features(pa.array([text]))
+        assert abs(got[i] - plain_toxicity(model, buckets.tolist())) < 1e-4, i
+
+
 def test_toxicity_learns_words(spark):
     rows, labels = toy()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

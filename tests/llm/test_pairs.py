@@ -3,59 +3,11 @@
 import random
 
 import pytest
-import xxhash
-from cases import SPACE, corpus, empty, frame, lower, words
+from cases import corpus, empty, frame, order, plain_components, plain_lines
 
 from folioforge.llm import graph, line_dedup, minhash_dedup
 
 
-def order(doc_id):
-    return (doc_id is None, doc_id or 0)
-
-
-def plain_lines(texts):
-    """The texts without later matches, every line compared with every earlier one. Rows without an id, and those of one id, go by their texts' hashes."""
-    tie = lambda t: (n := xxhash.xxh64((t or "").encode(), seed=42).intdigest()) - (n >> 63 << 64)
-    out, seen = [], []
-    for i, t in sorted(texts, key=lambda x: (order(x[0]), tie(x[1]))):
-        kept = []
-        for line in (t or "").split("\n"):
-            own = frozenset(w for w in SPACE.split(lower(line)) if w)
-            if not own or not any(5 * len(own & x) >= 4 * len(own | x) for x in seen):
-                kept.append(line)
-            if own:
-                seen.append(own)
-        out.append((order(i), "\n".join(kept) if t is not None else None))
-    return sorted(out, key=repr)
-
-
-def plain_components(texts):
-    sets = []
-    for i, t in texts:
-        w = words(t)
-        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
-    parent = list(range(len(texts)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(texts)):
-        for b in range(a):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                parent[find(a)] = find(b)
-    groups = {}
-    for k in range(len(texts)):
-        groups.setdefault(find(k), []).append(texts[k][0])
-    out = []
-    for k, (i, _) in enumerate(texts):
-        ids = [x for x in groups[find(k)] if x is not None] if sets[k] else [i] * (i is not None)
-        root = min(ids, default=None)
-        out.append((i, len(sets[k]), root, root is None or i == root))
-    return sorted(out, key=repr)
-
-
 @pytest.mark.parametrize("seed", [3, 4])
 def test_line_dedup(spark, seed):
     texts = corpus(seed=seed)
