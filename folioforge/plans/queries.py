@@ -6,6 +6,7 @@ against. Arrays are joined to texts.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -219,7 +220,15 @@ def recover_lease(spark: SparkSession, d: str) -> DataFrame:
     return recover.recovered(made(spark, d, "LEASES")).select("id", *fixed.RECOVERABLE)
 
 
-@query()
+_joined = lambda *cases: f"array_to_string(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL), '{{sep}}')"
+_open = {"lessor": f"(lessor = '' OR upper(lessor) IN {_generic_party})", "lessee": f"(lessee = '' OR upper(lessee) IN {_generic_party})"} | {f: f"{f} = ''" for f in ("signed_date", "property_article", "property_section", "monthly_rent")}
+_method = {"lessee": "CASE WHEN id % 4 < 3 THEN 'known_lessee_text_match' END", "lessor": "CASE WHEN id % 5 = 4 THEN 'labelled_text_pattern' ELSE 'filename_candidate_confirmed_in_text' END"} | {f: f"'{f}_pattern'" for f in ("signed_date", "property_article", "property_section", "monthly_rent")}
+_attempted = _joined(*[f"CASE WHEN {_open[f]} THEN '{f}' END" for f in ("lessor", "lessee", "signed_date", "property_article", "property_section", "monthly_rent")])
+_changed = _joined(*[f"CASE WHEN {_open[f]} THEN '{f}=' || {_method[f]} END" for f in _method])
+_fields = _joined(*[f"CASE WHEN {_open[f]} AND {_method[f]} IS NOT NULL THEN '{f}' END" for f in _method])
+
+
+@query(f"SELECT id, {_attempted.format(sep='; ')} AS attempted, {_changed.format(sep='; ')} AS changes, CASE WHEN {_open['lessee']} AND id % 4 = 3 THEN 'lessee' ELSE '' END AS unresolved, CASE WHEN {_fields.format(sep=', ')} = '' THEN '' ELSE '{fixed.RECOVERY_NOTE}' || {_fields.format(sep=', ')} END AS extraction_notes FROM {as_sql('LEASES')} AS t")
 def recovery_changes(spark: SparkSession, d: str) -> DataFrame:
     out = recover.recovered(made(spark, d, "LEASES"))
     return out.select("id", joined(F.col("recovery.attempted_fields")).alias("attempted"), joined(F.transform("recovery.changes", lambda c: F.concat_ws("=", c["field"], c["method"]))).alias("changes"), joined(F.col("recovery.unresolved_fields")).alias("unresolved"), "extraction_notes")
@@ -240,6 +249,13 @@ def display_names(spark: SparkSession, d: str) -> DataFrame:
     return s.df.select("id", "currency", "property_display_name")
 
 
+def _review_sql(date: str) -> str:
+    reasons = _joined("CASE id % 4 WHEN 1 THEN 'confidence=low' WHEN 3 THEN 'confidence=blank' END", "'extracted_text_too_short'", "CASE WHEN lessor = '' THEN 'missing_lessor' END", "CASE WHEN lessee = '' THEN 'missing_lessee' END", date, "CASE WHEN monthly_rent = '' THEN 'missing_monthly_rent' END").format(sep=", ")
+    name = "'Artigo ' || CASE WHEN property_article = '' THEN cast(1 + id % 900 AS string) ELSE property_article END || ' - Secção ' || CASE WHEN property_section = '' THEN substr('ABCDEFGHIJ', cast(1 + id % 10 AS int), 1) ELSE property_section END"
+    rent = "CASE id % 5 WHEN 0 THEN '' WHEN 3 THEN '0.00' WHEN 4 THEN '1250.50' ELSE '500.00' END"
+    return f"SELECT id, document_category, '' AS iban, '123456789' AS owner_tax_id, {rent} AS monthly_rent, {name} AS property_display_name, 'yes' AS needs_review, CASE WHEN review_reason = '' THEN '' ELSE review_reason || ' | ' END || {reasons} AS review_reason, 'processed' AS processing_status FROM {as_sql('LEASES')} AS t"
+
+
 def _reviewed(strict: bool) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         out = rules.ruled(detect.with_signals(made(spark, d, "LEASES")), strict=strict)
@@ -249,9 +265,12 @@ def _reviewed(strict: bool) -> Query:
 
 
 QUERIES["review_full"], QUERIES["review_strict"] = _reviewed(False), _reviewed(True)
+SQL["review_full"], SQL["review_strict"] = _review_sql("CASE WHEN signed_date = '' THEN 'missing_signed_date' END"), _review_sql("'missing_contract_start_date'")
 
+_cleared = _joined("CASE WHEN id % 6 IN (1, 2, 3) THEN 'payment_amount_without_clear_payment_context' END", "CASE WHEN id % 4 = 0 THEN 'property_name_looked_like_bank_name' END", "CASE WHEN id % 4 = 1 THEN 'property_name_generic' END", "CASE WHEN id % 6 > 0 THEN 'missing_payment_amount' END", "'confidence=blank'", "'extracted_text_too_short'").format(sep=", ")
 
-@query()
+
+@query(f"SELECT id, {_given} AS payment_date, CASE WHEN id % 6 = 0 THEN '1234.56' ELSE '' END AS payment_amount, CASE id % 5 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' WHEN 3 THEN CASE WHEN id % 6 = 0 THEN 'EUR' ELSE '' END ELSE 'CHF' END AS currency, CASE WHEN id % 4 = 2 THEN 'Monte Alto' ELSE '' END AS property_name, 'yes' AS needs_review, {_cleared} AS review_reason FROM {as_sql('PAYMENTS')} AS t")
 def negative_rules(spark: SparkSession, d: str) -> DataFrame:
     df = made(spark, d, "PAYMENTS").withColumns({"text": F.lit("pagamento"), "file_name": F.lit("x.pdf"), "document_category": F.lit("payment_proof"), "payer": F.lit("A"), "payee": F.lit("B")})
     out = rules.ruled(detect.with_signals(df))
@@ -305,7 +324,17 @@ _REPLIES = [
 ]
 
 
-@query()
+def _normalised_sql() -> str:
+    """What each of the replies holds of the expected fields, as said here and not by the parser."""
+    fields = [n for n in fixed.CATEGORY_FIELDS["lease_contract"] if n not in fixed.GENERAL]
+    held = [{"lessor": "A", "lessee": "B", "monthly_rent": "500"}, {"lessor": '["X","Y"]', "lessee": "C", "property_article": "9", "contract_start_date": "2020-01-01"}, {}, {}]
+    given, unknown, wrong = [{"lessor", "lessee", "monthly_rent"}, set(), set(), {"lessor"}], ["", "fields; lessors", "", "unknown"], ["monthly_rent", "", "", ""]
+    case = lambda values: "CASE id % 4 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+    values = [json.dumps({f: own.get(f, "") for f in fields}, separators=(",", ":")) for own in held]
+    return f"SELECT id, {case(values)} AS values, false AS schema_valid, {case('; '.join(sorted(set(fields) - own)) for own in given)} AS missing, {case(unknown)} AS unknown, {case(wrong)} AS invalid FROM {as_sql('PAYMENTS')} AS t"
+
+
+@query(_normalised_sql())
 def json_normalise(spark: SparkSession, d: str) -> DataFrame:
     reply = F.element_at(F.array(*map(F.lit, _REPLIES)), (F.col("id") % 4 + 1).cast("int"))
     out = made(spark, d, "PAYMENTS").select("id", model.normalised(reply, F.lit("lease_contract")).alias("n"))
@@ -344,7 +373,13 @@ def intake_records(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "document_category", *fixed.RECOVERABLE, "quality_score", "validation_status", "review_priority", "review_reason")
 
 
-@query()
+# S5, S6, S7
+_SPACE = "[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]"
+
+
+@query(f"""SELECT id, CASE WHEN n < 600 AND m > n THEN 'cached_ocr_pdf_text' ELSE 'native_pdf_text' END AS source, n AS native_text_chars, CASE WHEN n >= 600 THEN 0 ELSE coalesce(m, 0) END AS ocr_text_chars,
+CASE WHEN n >= 600 THEN '' WHEN m IS NULL THEN '{fixed.OCR_OFF_NOTE}' WHEN m > n THEN '{fixed.OCR_REUSED_NOTE}' ELSE '{fixed.OCR_NO_BETTER_NOTE}' END AS notes
+FROM (SELECT id, length(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g')) AS n, CASE id % 3 WHEN 0 THEN 900 WHEN 1 THEN 1 END AS m FROM {as_sql('NOISY')} AS t) AS u""")
 def ocr_choices(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string")
     cached = F.when(F.col("id") % 3 == 0, F.rpad(F.lit("x"), 900, "x")).when(F.col("id") % 3 == 1, "y")
@@ -352,7 +387,11 @@ def ocr_choices(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "c.source", "c.native_text_chars", "c.ocr_text_chars", "c.notes")
 
 
-@query()
+_PAGES = f"list_transform(list_slice(string_split(text, chr(10)), 1, 12), lambda p, k: {{'k': k, 'p': trim(regexp_replace(p, '{_SPACE}+', ' ', 'g'))}})"
+
+
+@query(f"""SELECT id, left(array_to_string(list_transform(list_filter(numbered, lambda c, k: coalesce(list_sum(list_transform(list_slice(numbered, 1, k - 1), lambda x: length(x))), 0) < 24000), lambda c: c), chr(10) || chr(10)), 24000) AS text
+FROM (SELECT id, list_transform(list_filter({_PAGES}, lambda x: x.p <> ''), lambda x: '[Page ' || x.k || '] ' || x.p) AS numbered FROM {as_sql('NOISY')} AS t) AS u""")
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
     paged = files.with_pages(made(spark, d, "NOISY").select("id", F.regexp_replace("text", "\n", "\f").cast("binary").alias("content")))
     return paged.select("id", files.page_text(F.col("pages")).alias("text"))
