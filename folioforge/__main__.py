@@ -22,6 +22,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--config", required=True)
     parser.add_argument("--model", choices=["offline", "chat"], default="offline")
     parser.add_argument("--profile", choices=["live", "full", "strict"], default="live")
+    parser.add_argument("--reader", choices=["document", "plain"], default="document", help="how contents become pages: by what they hold, or as plain text")
     parser.add_argument("--to", help="folder of an export")
     given = parser.parse_args(argv)
     config = files.Config.from_json(given.config)
@@ -30,11 +31,12 @@ def main(argv: list[str] | None = None) -> int:
         staging.log_to(config.log_dir)
     spark = SparkSession.builder.appName("folioforge").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     asked = ChatModel(config.model_url, config.model_name, config.model_timeout_seconds) if given.model == "chat" else OfflineModel()
+    reader = files.document_pages if given.reader == "document" else files.plain_pages
     year = datetime.date.today().year
     if given.command == "scan":
-        logging.getLogger(__name__).info("registered %d documents", intake.scan(spark, config, year, asked=asked, profile=given.profile))
+        logging.getLogger(__name__).info("registered %d documents", intake.scan(spark, config, year, asked=asked, profile=given.profile, reader=reader))
     elif given.command == "watch":
-        watch.watch(spark, config, year, f"{config.processing_dir}/.watch", asked=asked, profile=given.profile).awaitTermination()
+        watch.watch(spark, config, year, f"{config.processing_dir}/.watch", asked=asked, profile=given.profile, reader=reader).awaitTermination()
     else:
         register.export_csv(spark, config.register_path, given.to or f"{config.register_path}-csv")
     return 0

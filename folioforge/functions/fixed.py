@@ -145,5 +145,12 @@ SECOND_TIMEOUT_NOTE = "Timeout na segunda avaliacao do Ollama local: "
 SECOND_FAILURE_NOTE = "Falha na segunda avaliacao do Ollama local: "
 ERROR_REASON = "Erro durante processamento automatico."
 OCR_OFF_NOTE = "OCR novo desativado, nenhum OCR reutilizavel foi encontrado e o texto nativo do PDF parece insuficiente."
+OCR_NO_BETTER_NOTE = "OCR existente encontrado, mas nao melhorou a quantidade de texto extraido."
+OCR_REUSED_NOTE = "OCR existente reutilizado; OCRmyPDF nao foi executado."
+OCR_UNREAD_NOTE = "OCR executado, mas o arquivo gerado nao produziu texto reutilizavel."
+OCR_USED_NOTE = "OCR executado e texto OCR utilizado."
+OCR_FAILED_NOTE = "OCR indisponivel; processamento continuou com o texto nativo. Detalhe: {why}"
+OCR_TIMEOUT_NOTE = "OCR excedeu {seconds} segundos; processamento continuou com o texto nativo."
+OCR_BLOCKED_NOTE = "OCR bloqueado pela seguranca do Windows ({why}); processamento continuou com o texto nativo."
 RECOVERY_NOTE = "Sprint 1B recovered: "
 EXCERPTS = ["DOCUMENT BEGINNING - title, parties and initial property description", "KEYWORD-BASED RELEVANT EXCERPTS", "DOCUMENT END - signatures, dates and final clauses"]

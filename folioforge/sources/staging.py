@@ -1,6 +1,7 @@
 """What is done with files beside the tables: staging copies, archive and error folders, and OCR by an outside program.
 
-These act on the files of one machine, file by file, after a scan has registered its rows.
+Files are copied after a scan has registered its rows, and OCR runs where files are read, all in tasks: the folders must
+be ones that all machines share.
 """
 
 from __future__ import annotations
@@ -8,11 +9,17 @@ from __future__ import annotations
 import logging
 import shutil
 import subprocess
+import tempfile
+from collections.abc import Callable
 from logging.handlers import RotatingFileHandler
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import fixed
 
 
 def local(path: str) -> Path:
@@ -28,30 +35,31 @@ def stage(source: str, target: str) -> Path:
 
 
 def archive(staged: str, folder: str) -> Path:
-    """Move a staged file to the archive."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    return Path(shutil.move(staged, Path(folder) / Path(staged).name))
+    """Copy a staged file to the archive if it isn't there yet."""
+    return stage(staged, str(Path(folder) / Path(staged).name))
 
 
 def set_aside(source: str, folder: str) -> None:
     """Copy a file that failed to the error folder; the source stays, and a copy that fails is only logged."""
     try:
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        shutil.copy2(local(source), Path(folder) / local(source).name)
+        stage(source, str(Path(folder) / local(source).name))
     except OSError as exc:
         logging.getLogger(__name__).warning("%s was not set aside: %s", source, exc)
 
 
 def file_scan(rows: DataFrame, archive_dir: str, error_dir: str) -> int:
-    """Stage and archive, or set aside, the files of register rows that have a ``path``; how many that was. Rows come in one at a time."""
-    done = 0
-    for r in rows.select("path", "copied_file_path", "processing_status").toLocalIterator():
-        if r["processing_status"] == "error":
-            set_aside(r["path"], error_dir)
-        else:
-            archive(str(stage(r["path"], r["copied_file_path"])), archive_dir)
-        done += 1
-    return done
+    """Stage and archive, or set aside, the files of register rows that have a ``path``; how many that was. Each task acts on its own rows."""
+
+    @F.pandas_udf("int")
+    def acted(paths: pd.Series, copies: pd.Series, states: pd.Series) -> pd.Series:
+        for path, copy, state in zip(paths, copies, states):
+            if state == "error":
+                set_aside(path, error_dir)
+            else:
+                archive(str(stage(path, copy)), archive_dir)
+        return pd.Series(1, index=paths.index)
+
+    return rows.select(acted("path", "copied_file_path", "processing_status").alias("n")).agg(F.sum("n")).first()[0] or 0
 
 
 def ocr_command(source: str, target: str, language: str) -> list[str]:
@@ -65,17 +73,55 @@ def run_ocr(source: str, target: str, language: str, timeout_seconds: int) -> st
         ran = subprocess.run(ocr_command(source, target, language), capture_output=True, text=True, timeout=timeout_seconds)
         if ran.returncode == 0:
             return ""
-        why = f"OCR indisponivel; processamento continuou com o texto nativo. Detalhe: {ran.stderr[:600]}"
+        why = fixed.OCR_FAILED_NOTE.format(why=(ran.stderr or ran.stdout).strip()[:600])
     except subprocess.TimeoutExpired:
-        why = f"OCR excedeu {timeout_seconds} segundos; processamento continuou com o texto nativo."
+        why = fixed.OCR_TIMEOUT_NOTE.format(seconds=timeout_seconds)
     except PermissionError as exc:
-        why = f"OCR bloqueado pela seguranca do Windows ({exc}); processamento continuou com o texto nativo."
+        why = fixed.OCR_BLOCKED_NOTE.format(why=exc)
     except OSError as exc:
-        why = f"OCR indisponivel; processamento continuou com o texto nativo. Detalhe: {exc}"
+        why = fixed.OCR_FAILED_NOTE.format(why=exc)
     Path(target).unlink(missing_ok=True)
     return why
 
 
+def with_ocr(files: DataFrame, stem: Column, wanted: Column, reader: Callable[[bytes], list[str]], folder: str, enabled: bool, language: str, timeout_seconds: int, to: str = "seen") -> DataFrame:
+    """``files`` with a struct of the pages that OCR gave before (``cached``) or gives now (``fresh``), null where there are none, and why it ``failed``.
+
+    Only rows that are ``wanted`` are looked at. Results are kept in ``folder`` by ``stem``; without one they are not kept.
+    """
+
+    def seen(content: bytes, name: str) -> tuple:
+        with tempfile.TemporaryDirectory() as own:  # what the outside program reads; nothing that another task needs
+            target = Path(local(folder) if folder else own) / f"{name}__ocr.pdf"
+            if target.exists() and target.stat().st_size:
+                return reader(target.read_bytes()), None, ""
+            if not enabled:
+                return None, None, ""
+            source = Path(own) / "source.pdf"
+            source.write_bytes(content)
+            why = run_ocr(str(source), str(target), language, timeout_seconds)
+            if why or not target.exists():
+                return None, None, why
+            return None, reader(target.read_bytes()), ""
+
+    @F.pandas_udf("struct<cached:array<string>,fresh:array<string>,failed:string>")
+    def ocr(contents: pd.Series, names: pd.Series, ask: pd.Series) -> pd.DataFrame:
+        found = [seen(bytes(c), n) if a and c is not None else (None, None, "") for c, n, a in zip(contents, names, ask)]
+        return pd.DataFrame(found, columns=["cached", "fresh", "failed"])
+
+    return files.withColumn(to, ocr(F.col("content"), stem, wanted))
+
+
+def created_at(path: Column) -> Column:
+    """When a file that this machine reaches was made, in seconds; null for others."""
+
+    @F.pandas_udf("double")
+    def made(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda x: local(x).stat().st_ctime if x and local(x).exists() else None).astype("float64")
+
+    return made(path)
+
+
 def log_to(folder: str, level: str = "INFO") -> None:
     """Log to a file of 5 MiB with five older ones beside it, and to the console."""
     Path(folder).mkdir(parents=True, exist_ok=True)

@@ -1,12 +1,10 @@
-"""Watching a folder: a scan a tick, or the files that a stream finds; the register decides what is new."""
+"""Watching a folder: a scan a tick, or one; the register decides what is new."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import register
 from ..plans import intake
 from ..sources import files
 
@@ -22,13 +20,8 @@ def watch(spark: SparkSession, config: files.Config, as_of_year: int, checkpoint
     return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=f"{config.poll_interval_seconds} seconds").start()
 
 
-def scan_available(spark: SparkSession, config: files.Config, as_of_year: int, checkpoint: str, suffix: str = "*.pdf", **how) -> StreamingQuery:
-    """A query over the files that are there now and that the checkpoint hasn't seen; contents already registered are left out."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", suffix).load(config.input_dir)
-
-    def run(batch: DataFrame, number: int) -> None:
-        new = intake.new_files(batch.where(F.col("length") > 0), register.hashes(spark, config.register_path))
-        register.append(intake.registered(new, config, as_of_year, **how), config.register_path, wide=True)
-
-    return found.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def scan_available(spark: SparkSession, config: files.Config, as_of_year: int, checkpoint: str, **how) -> StreamingQuery:
+    """A query that scans the folder once and ends. A file that hasn't settled is left to the next run, as it is the register that says what is new."""
+    tick = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    run = lambda batch, number: intake.scan(spark, config, as_of_year, **how)
+    return tick.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(once=True).start()

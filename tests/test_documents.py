@@ -1,5 +1,6 @@
 """Detection, rules, recovery, the model stage, the register, scans and streams, on single documents."""
 
+import hashlib
 import json
 from pathlib import Path
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import checksums, detect, fixed
 from folioforge.operators import model, quality, recover, register, rules
 from folioforge.plans import intake
-from folioforge.sources import files
+from folioforge.sources import files, staging
 from folioforge.streaming import watch
 
 IBAN = "PT50 0002 0123 1234 5678 9015 4"
@@ -262,6 +263,102 @@ def test_stream_of_files(spark, config, tmp_path):
     assert register.read(spark, config.register_path).count() == 2
 
 
+def made_pdf(pages, packed=True):
+    """A PDF of some pages of text lines, with compressed contents and, if ``packed``, its other objects in an object stream."""
+    import zlib
+
+    def stream(data, extra=b""):
+        data = zlib.compress(data)
+        return b"<< /Length %d /Filter /FlateDecode %s >>\nstream\n%s\nendstream" % (len(data), extra, data)
+
+    kids = [10 + 2 * k for k in range(len(pages))]
+    plain = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count %d /Kids [%s] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids)), 3: b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", 4: b"<< /Type /Font /Subtype /Type0 /ToUnicode 5 0 R >>"}
+    streams = {5: stream(b"1 beginbfchar <0001> <00E7> endbfchar 1 beginbfrange <0041> <005A> <0061> endbfrange")}
+    for n, lines in zip(kids, pages):
+        plain[n] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (n + 1)
+        escaped = [x.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").encode("cp1252") for x in lines]
+        body = b"BT /F1 12 Tf 50 700 Td " + b" T* ".join(b"(%s) Tj" % x for x in escaped) + b" T* [(Con) -20 (trato) -400 (novo)] TJ /F2 12 Tf T* <000100410042> Tj ET"
+        streams[n + 1] = stream(body)
+    out = b"%PDF-1.5\n"
+    if packed:
+        bodies = list(plain.items())
+        heads, data = b"", b""
+        for n, body in bodies:
+            heads += b"%d %d " % (n, len(data))
+            data += body + b" "
+        streams[99] = stream(heads + data, b"/Type /ObjStm /N %d /First %d" % (len(bodies), len(heads)))
+        plain = {}
+    for n, body in [*plain.items(), *streams.items()]:
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
+    return out + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_pdf_pages(packed):
+    got = files.document_pages(made_pdf([["Primeira (1) página", "renda 500,00 EUR"], ["Segunda"]], packed))
+    tidy = [" ".join(x.split()) for x in got]
+    assert tidy == ["Primeira (1) página renda 500,00 EUR Contrato novo çab", "Segunda Contrato novo çab"]
+    assert files.document_pages(b"plain\ftext") == ["plain", "text"] and files.document_pages(b"%PDF-1.4 damaged") == []
+
+
+def test_scan_of_pdfs(spark, config):
+    """A PDF's text is registered, not its bytes; it is staged and archived, and its times are there."""
+    Path(config.input_dir, "a.pdf").write_bytes(made_pdf([["contrato de arrendamento com a renda de 500,00 EUR"] * 20]))
+    assert intake.scan(spark, config, 2026) == 1
+    row = register.read(spark, config.register_path, wide=True).first()
+    assert int(row["native_text_chars"]) > 600 and row["text_source"] == "native_pdf_text" and "500,00 EUR" in row["deterministic_json"] and "%PDF" not in str(row)
+    assert Path(row["copied_file_path"]).exists() and (Path(config.archive_dir) / Path(row["copied_file_path"]).name).exists()
+    assert row["file_created_at"] and row["file_modified_at"]
+
+
+def test_scan_with_ocr(spark, config, monkeypatch, tmp_path):
+    """OCR runs where native text is short, says why if it can't, and its results are used again."""
+    import dataclasses
+
+    config = dataclasses.replace(config, ocr_dir=str(tmp_path / "ocr"))
+    Path(config.input_dir, "short.pdf").write_bytes(made_pdf([["pouco"]]))
+    assert intake.scan(spark, config, 2026) == 1
+    assert "OCR indisponivel" in register.read(spark, config.register_path).first()["extraction_notes"]
+    tool = tmp_path / "bin" / "ocrmypdf"
+    tool.parent.mkdir()
+    (tmp_path / "read.pdf").write_bytes(made_pdf([["texto lido por OCR"] * 60]))
+    tool.write_text(f"#!/bin/sh\nfor last; do :; done\ncp {tmp_path}/read.pdf \"$last\"\n")
+    tool.chmod(0o755)
+    monkeypatch.setattr(staging, "ocr_command", lambda source, target, language: [str(tool), source, target])
+    for name, note in (("other.pdf", "OCR executado"), ("again.pdf", "OCR existente reutilizado")):
+        Path(config.input_dir, name).write_bytes(made_pdf([["outro", name]]))
+        if name == "again.pdf":
+            digest = hashlib.sha256(Path(config.input_dir, name).read_bytes()).hexdigest()
+            (tmp_path / "ocr" / f"again__{digest[:12]}__ocr.pdf").write_bytes((tmp_path / "read.pdf").read_bytes())
+        assert intake.scan(spark, config, 2026) == 1
+        row = register.read(spark, config.register_path).where(F.col("source_file_name") == name).first()
+        assert note in row["extraction_notes"] and row["text_source"] == "cached_ocr_pdf_text" and int(row["ocr_text_chars"]) > 600
+
+
+def test_unsettled_files_are_seen_later(spark, config, tmp_path):
+    import dataclasses
+    import os
+    import time
+
+    config = dataclasses.replace(config, minimum_file_age_seconds=3600)
+    put(config, "Late.PDF", LEASE)
+    watch.scan_available(spark, config, 2026, str(tmp_path / "stream")).awaitTermination()
+    assert register.read(spark, config.register_path).count() == 0
+    os.utime(Path(config.input_dir, "Late.PDF"), (time.time() - 7200,) * 2)
+    watch.scan_available(spark, config, 2026, str(tmp_path / "stream")).awaitTermination()
+    assert register.read(spark, config.register_path).count() == 1
+
+
+def test_contents_are_not_shuffled(spark, config):
+    """Hashes, paths and times are dealt to find what is new; contents are read for what is left."""
+    put(config, "a.pdf", LEASE)
+    found = files.listing(spark, config.input_dir, ".pdf", 0)
+    plan = intake.new_files(found, register.hashes(spark, config.register_path))._jdf.queryExecution().executedPlan().toString()
+    for line in plan.split("\n"):
+        if "Exchange hashpartitioning" in line or "Window" in line:
+            assert "content" not in line
+
+
 def test_register_header_changes(spark, tmp_path):
     path = str(tmp_path / "register")
     spark.createDataFrame([("h1", "gone")], "sha256 string, old_column string").write.parquet(path)

@@ -63,7 +63,7 @@ def test_file_actions(tmp_path):
     source = tmp_path / "a b.pdf"
     source.write_text("x")
     staged = staging.stage(f"file://{tmp_path}/a%20b.pdf", str(tmp_path / "work" / "s.pdf"))
-    assert staged.read_text() == "x" and staging.archive(str(staged), str(tmp_path / "done")).exists() and not staged.exists()
+    assert staged.read_text() == "x" and staging.archive(str(staged), str(tmp_path / "done")).exists() and staged.exists()
     staging.set_aside(str(source), str(tmp_path / "bad"))
     assert (tmp_path / "bad" / "a b.pdf").exists() and source.exists()
     staging.set_aside(str(tmp_path / "missing"), str(tmp_path / "bad"))
