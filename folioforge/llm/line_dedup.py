@@ -612,12 +612,12 @@ def stays(df: DataFrame) -> tuple[DataFrame, bool]:
     return kept, loose.value is not None
 
 
-def _with_kept(df: DataFrame, text: str, key: str) -> tuple[DataFrame, str]:
-    """``df`` with a struct, named so that it clashes with no column, of the text without later matches and its numbers of lines."""
+def _with_kept(df: DataFrame, text: str, key: str) -> tuple[DataFrame, str, str]:
+    """``df`` with a struct of the text without later matches and its numbers of lines, and whether a line with a word stays or none was there; their names clash with no column."""
     whole = F.col(text).cast("string")
     doc, tie = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(whole, F.lit("")))
     own = df.select(doc.alias("doc"), tie.alias("tie"), whole.alias("text"))
-    names = {x: free_name(df, f"line_dedup_{x}") for x in ("result", "doc", "tie", "row", "n", "lines", "stay")}
+    names = {x: free_name(df, f"line_dedup_{x}") for x in ("result", "doc", "tie", "row", "n", "lines", "stay", "some")}
     stay, repeated = stays(own)
     stay = stay.select(F.col("stay_doc").alias(names["doc"]), F.col("stay_tie").alias(names["tie"]), F.col("stay").alias(names["stay"]))
     named = df.withColumns({names["row"]: F.monotonically_increasing_id(), names["doc"]: doc, names["tie"]: tie})
@@ -629,14 +629,15 @@ def _with_kept(df: DataFrame, text: str, key: str) -> tuple[DataFrame, str]:
         joined = joined.join(copies, [names["doc"], names["tie"]], "left")
         mine = F.when(F.coalesce(F.col(names["n"]) == F.col(names["row"]), F.lit(True)), mine).otherwise(none)
     count = F.when(F.coalesce(whole, F.lit("")) == "", 0).otherwise(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    joined = joined.withColumn(names["stay"], mine).withColumn(names["n"], count)
+    joined = joined.withColumns({names["stay"]: mine, names["some"]: F.size(mine) > 0, names["n"]: count})
     n, stay_at = F.col(names["n"]), F.col(names["stay"])
     joined = joined.withColumn(names["lines"], F.when((n > 0) & (F.size(stay_at) < n), F.split(whole, "\n")))
     joined = joined.withColumn(names["stay"], F.when(F.col(names["lines"]).isNotNull(), _staying(F.col(names["lines"]), stay_at, n)))
     changed = F.col(names["lines"]).isNotNull()
     left = F.array_join(F.transform(stay_at, lambda i: F.get(F.col(names["lines"]), i.cast("int"))), "\n")
     parts = F.struct(F.when(changed, left).otherwise(whole).alias("text"), n.alias("n_lines"), F.when(changed, n - F.size(stay_at)).otherwise(0).cast("long").alias("n_removed"))
-    return joined.withColumn(names["result"], parts).select(*[F.col(f"`{c}`") for c in df.columns], names["result"]), names["result"]
+    some = F.col(names["some"]) | ~F.coalesce(whole.rlike("[^ \\t-\\r]"), F.lit(False))
+    return joined.withColumns({names["result"]: parts, names["some"]: some}).select(*[F.col(f"`{c}`") for c in df.columns], names["result"], names["some"]), names["result"], names["some"]
 
 
 def _staying(lines: Column, stay: Column, n: Column) -> Column:
@@ -647,12 +648,11 @@ def _staying(lines: Column, stay: Column, n: Column) -> Column:
 
 def dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, text, n_lines, n_removed): the texts without later matches; each removed line is a link to an earlier one."""
-    out, name = _with_kept(df.select(key, text), text, key)
+    out, name, _ = _with_kept(df.select(key, text), text, key)
     return out.select(key, F.col(f"{name}.text").alias(text), F.col(f"{name}.n_lines").alias("n_lines"), F.col(f"{name}.n_removed").alias("n_removed"))
 
 
 def without_repeated_lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``df`` with the texts without later matches, less the rows of which no line with a word is left."""
-    out, name = _with_kept(df, text, key)
-    left = F.coalesce(F.trim(F.regexp_replace(F.col(f"{name}.text"), "\\s+", " ")) != "", F.lit(False))
-    return out.where((F.col(f"{name}.n_removed") == 0) | left).select(*[F.col(f"{name}.text").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    out, name, some = _with_kept(df, text, key)
+    return out.where(some).select(*[F.col(f"{name}.text").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
