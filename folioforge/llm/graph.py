@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points the larger neighbours of every node to its smallest one, then the smaller neighbours and the node
     itself to the smallest of them, until no link changes. The smallest neighbour is found by an aggregate and joined
-    back, so a node with very many links is split among tasks. No links give no rows.
+    back, so a node with very many links is split among tasks. No links give no rows. The result is a table of its own,
+    the only one that is left.
     """
     now = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     before = None
@@ -30,4 +31,6 @@ def components(links: DataFrame) -> DataFrame:
         last, now = now, cut(small.where("a != b").distinct())
         drop(last)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
+    out = cut(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots))
+    drop(now)
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, edit_fingerprint, language_id, license_scan, line_dedup, media_columns, minhash_dedup, packing, prefix_trie, sessionise, toxicity, url_filter
+from . import bpe, edit_fingerprint, language_id, license_scan, line_dedup, media_columns, minhash_dedup, ngram_join, packing, prefix_trie, sessionise, toxicity, url_filter
 from .frames import table
 
 
@@ -55,6 +55,10 @@ def op11_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessionise.sessions(table(spark, sf_dir, "clicks"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -64,4 +68,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.judge_sql(), "op11_sessions": sessionise.sessions_sql(), "op13_prefix_trie": prefix_trie.trie_sql()}
+    return {
+        "op5_url_filter": url_filter.judge_sql(),
+        "op8_minhash_dedup": ngram_join.joined_sql(minhash_dedup.QUERY, kept=True),
+        "op11_sessions": sessionise.sessions_sql(),
+        "op12_ngram_join": ngram_join.joined_sql(),
+        "op13_prefix_trie": prefix_trie.trie_sql(),
+    }
