@@ -154,3 +154,16 @@ OCR_TIMEOUT_NOTE = "OCR excedeu {seconds} segundos; processamento continuou com
 OCR_BLOCKED_NOTE = "OCR bloqueado pela seguranca do Windows ({why}); processamento continuou com o texto nativo."
 RECOVERY_NOTE = "Sprint 1B recovered: "
 EXCERPTS = ["DOCUMENT BEGINNING - title, parties and initial property description", "KEYWORD-BASED RELEVANT EXCERPTS", "DOCUMENT END - signatures, dates and final clauses"]
+
+#: What a model is told to look for in a document of each category, and what not to take for it.
+GUIDANCE = {
+    "lease_contract": "A lease, its amendment, renewal or end. The signing date is the day on which the parties sign, not the day from which it counts. Names stand alone, without numbers, addresses or marital status; several lessors are joined by semicolons in lessor. Rent counts only if it is said to be monthly. The property is the one that is let, not a party's address. Bank fields only from payment instructions.",
+    "property_document": "A land register or tax record of a property. Article, section, parish, municipality, district, place and owners matter most. There is a lessor or lessee only where a lease is spoken of.",
+    "bank_details": "Data of a bank account: numbers, bank, holder. It proves no payment unless a completed one is told with date, payer, payee and amount.",
+    "payment_proof": "Proof that a payment was made. The amount stands with a currency or a word for an amount; account numbers and references are no amounts.",
+    "invoice_or_receipt": "An invoice or receipt: its date, parties, total and what it is for. Payment fields only where a bank transfer is proven.",
+    "identity_document": "Who a person or company is, as far as the document says so itself.",
+    "tax_document": "A tax office's paper: taxpayers, their numbers, and amounts that are stated.",
+    "correspondence": "A letter or message: who writes to whom, if that helps, and a short summary.",
+    "other": "None of the other categories fits safely. Leave a field empty rather than guess.",
+}

@@ -62,15 +62,15 @@ def file_scan(rows: DataFrame, archive_dir: str, error_dir: str) -> int:
     return rows.select(acted("path", "copied_file_path", "processing_status").alias("n")).agg(F.sum("n")).first()[0] or 0
 
 
-def ocr_command(source: str, target: str, language: str) -> list[str]:
-    return ["ocrmypdf", "--skip-text", "--deskew", "--rotate-pages", "--language", language, source, target]
+def ocr_command(source: str, target: str, language: str, program: str = "ocrmypdf") -> list[str]:
+    return [program, "--skip-text", "--deskew", "--rotate-pages", "--language", language, source, target]
 
 
-def run_ocr(source: str, target: str, language: str, timeout_seconds: int) -> str:
+def run_ocr(source: str, target: str, language: str, timeout_seconds: int, program: str = "ocrmypdf") -> str:
     """Run OCR into ``target``; the reason if it gave nothing, else empty. A partial file is removed."""
     try:
         Path(target).parent.mkdir(parents=True, exist_ok=True)
-        ran = subprocess.run(ocr_command(source, target, language), capture_output=True, text=True, timeout=timeout_seconds)
+        ran = subprocess.run(ocr_command(source, target, language, program), capture_output=True, text=True, timeout=timeout_seconds)
         if ran.returncode == 0:
             return ""
         why = fixed.OCR_FAILED_NOTE.format(why=(ran.stderr or ran.stdout).strip()[:600])
@@ -84,7 +84,7 @@ def run_ocr(source: str, target: str, language: str, timeout_seconds: int) -> st
     return why
 
 
-def with_ocr(files: DataFrame, stem: Column, wanted: Column, reader: Callable[[bytes], list[str]], folder: str, enabled: bool, language: str, timeout_seconds: int, to: str = "seen") -> DataFrame:
+def with_ocr(files: DataFrame, stem: Column, wanted: Column, reader: Callable[[bytes], list[str]], folder: str, enabled: bool, language: str, timeout_seconds: int, program: str = "ocrmypdf", to: str = "seen") -> DataFrame:
     """``files`` with a struct of the pages that OCR gave before (``cached``) or gives now (``fresh``), null where there are none, and why it ``failed``.
 
     Only rows that are ``wanted`` are looked at. Results are kept in ``folder`` by ``stem``; without one they are not kept.
@@ -99,7 +99,7 @@ def with_ocr(files: DataFrame, stem: Column, wanted: Column, reader: Callable[[b
                 return None, None, ""
             source = Path(own) / "source.pdf"
             source.write_bytes(content)
-            why = run_ocr(str(source), str(target), language, timeout_seconds)
+            why = run_ocr(str(source), str(target), language, timeout_seconds, program)
             if why or not target.exists():
                 return None, None, why
             return None, reader(target.read_bytes()), ""

@@ -148,7 +148,7 @@ def test_recovery_asks_for_the_rest(spark):
 
 @pytest.mark.parametrize("candidate,body,want", [("Ana Maria Silva", "x ANA MARIA SILVA y", True), ("Ana Maria Silva", "ANA, MARIA - SILVA", True), ("Ana Maria Silva", "SILVA OUTRA COISA MARIA", True), ("Ana Maria Silva", "SILVA", False), ("Ana", "MARIA", False), ("A.C+ (Ltda", "X A.C+ Y", False), ("", "X", False)])
 def test_support(spark, candidate, body, want):
-    assert value(spark, recover.supported, candidate, body) is want
+    assert value(spark, lambda c, b: recover.supported(c, b, F.split(b, r"(?U)\W+")), candidate, body) is want
 
 
 # --- the model stage -------------------------------------------------------------------------------------------------------
@@ -311,7 +311,7 @@ def test_scan_of_pdfs(spark, config):
     assert row["file_created_at"] and row["file_modified_at"]
 
 
-def test_scan_with_ocr(spark, config, monkeypatch, tmp_path):
+def test_scan_with_ocr(spark, config, tmp_path):
     """OCR runs where native text is short, says why if it can't, and its results are used again."""
     import dataclasses
 
@@ -324,7 +324,7 @@ def test_scan_with_ocr(spark, config, monkeypatch, tmp_path):
     (tmp_path / "read.pdf").write_bytes(made_pdf([["texto lido por OCR"] * 60]))
     tool.write_text(f"#!/bin/sh\nfor last; do :; done\ncp {tmp_path}/read.pdf \"$last\"\n")
     tool.chmod(0o755)
-    monkeypatch.setattr(staging, "ocr_command", lambda source, target, language: [str(tool), source, target])
+    config = dataclasses.replace(config, ocr_program=str(tool))
     for name, note in (("other.pdf", "OCR executado"), ("again.pdf", "OCR existente reutilizado")):
         Path(config.input_dir, name).write_bytes(made_pdf([["outro", name]]))
         if name == "again.pdf":
