@@ -12,9 +12,11 @@ fewer parts with such a signature than parts that must agree, it shares one with
 A set for which that fails takes further partings of the domain until it holds in one; both sets of a pair are in all
 partings up to the one where it holds for either. After PARTINGS of them all signatures count.
 
-Sets with a common signature are a bucket. Each bucket's first set is compared with the others exactly, on full sets,
-the pair with most common signatures first; buckets whose members are then in several components are compared in tiles,
-member by member across components. The confirmed links make the components.
+Sets with a common signature are a bucket. Each bucket's first set is paired with the others. Pairs whose parity
+sketches differ in more bits than linked sets may in features are surely none; the others are confirmed on full sets,
+for each set the pair with most common signatures first. In buckets whose members are then in several components the
+sketches of all members of different components are compared in tiles: first a forest of the possible pairs is
+confirmed, and then, if components are still apart, all that are left. The confirmed links make the components.
 
 Defined results: a null text, or one without words, has the empty set and is linked with nothing; repeated rows are
 copies of each other; rows without a doc_id take part, but name a component only if no row with one is in it, and then
@@ -24,6 +26,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .frames import bounded_batches, cut, drop, flat, mapped, marked, mix, partitions, slices
 from .graph import components
-from .minhash_dedup import TILE, TILE_BYTES, Link, _in_groups, _linked, set_keys, shingles, similar, tiled
+from .minhash_dedup import TILE, TILE_BYTES, Link, _in_groups, forest, set_keys, shingles, similar, tiled
 
 #: Links of the query: similarity as a fraction (the other fields are for MinHash only).
 QUERY = Link(80, 100, 0, 0, 0.0)
@@ -200,8 +203,8 @@ def buckets(signed_classes: DataFrame) -> DataFrame:
     return mapped(dealt, run, "bucket long, a long, b long").groupBy("bucket", "a", "b").agg(F.count("*").alias("n"))
 
 
-def sets_of(classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(set_node, words): the sets of the classes among ``nodes`` (and, by chance, of a few others)."""
+def of_nodes(classes: DataFrame, nodes: DataFrame, made: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(of_node, words): what is ``made`` of the sets of the classes among ``nodes`` (and, by chance, of a few others)."""
     spark = classes.sparkSession
     bounded_batches(spark)
     wanted = spark.sparkContext.broadcast(marked(nodes, lambda part: np.asarray(part.column(0)), nodes.count()))
@@ -210,20 +213,74 @@ def sets_of(classes: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             asked = batch.filter(pa.array(wanted.value.has(np.asarray(batch.column(0)))))
             for part, hashes, bounds in _sets(asked, 1) if asked.num_rows else ():
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], names=["set_node", "words"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([made(hashes[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], names=["of_node", "words"])
 
-    return mapped(classes.select("node", "text"), run, "set_node long, words binary")
+    return mapped(classes.select("node", "text"), run, "of_node long, words binary")
 
 
-def confirmed(classes: DataFrame, pairs: DataFrame, link: Link) -> DataFrame:
-    """(a, b): those of the ``pairs`` (a, b) whose sets are similar. A class in very many pairs is sent once for PART of them."""
-    spark = classes.sparkSession
+def sketch(words: np.ndarray) -> bytes:
+    """A set's size and its parity sketch: of each of some 2 to 4 bits a feature, whether an odd number of features falls on it.
+
+    Two sketches differ in no more bits than their sets in features, so a pair that differs in more than linked sets may
+    is surely none. Folding the halves of a sketch together gives the one of half the size.
+    """
+    bits = max(256, 1 << int(2 * len(words) - 1).bit_length())
+    out = np.zeros(bits // 64 + 1, np.uint64)
+    at = words & np.uint64(bits - 1)
+    np.bitwise_xor.at(out, (at >> np.uint64(6)).astype(np.int64) + 1, np.uint64(1) << (at & np.uint64(63)))
+    out[0] = len(words)
+    return out.tobytes()
+
+
+def folded(one: np.ndarray, words: int) -> np.ndarray:
+    while len(one) > words:
+        one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+    return one
+
+
+def may_link(a: np.ndarray, b: np.ndarray, link: Link) -> bool:
+    """Whether two sets of such sketches can be similar."""
+    n, m = int(a[0]), int(b[0])
+    words = min(len(a), len(b)) - 1
+    apart = int(np.bitwise_count(folded(a[1:], words) ^ folded(b[1:], words)).sum())
+    return link.down * min(n, m) >= link.up * max(n, m) and apart * (link.down + link.up) <= (n + m) * (link.down - link.up)
+
+
+def _candidates(columns: list, link: Link, every: bool) -> list[tuple[int, int]]:
+    """Members of a bucket, of different components, that may be linked: all such pairs, or a forest of them."""
+    held, part = [np.frombuffer(x, np.uint64) for x in columns[1].to_pylist()], np.asarray(columns[2])
+    _, part = np.unique(part, return_inverse=True)
+    sizes = np.array([int(x[0]) for x in held])
+    words = min(len(x) for x in held) - 1
+    bits = np.stack([folded(x[1:], words) for x in held])
+    left, right = [], []
+    step = max(1, (1 << 22) // (len(held) * words))
+    for i in range(0, len(held), step):
+        mine = slice(i, i + step)
+        apart = np.bitwise_count(bits[mine, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
+        both = sizes[mine, None] + sizes[None, :]
+        near = (apart * (link.down + link.up) <= both * (link.down - link.up)) & (part[mine, None] < part[None, :])
+        near &= link.down * np.minimum(sizes[mine, None], sizes[None, :]) >= link.up * np.maximum(sizes[mine, None], sizes[None, :])
+        x, y = np.nonzero(near)
+        left.append(x + i)
+        right.append(y)
+    a, b = np.concatenate(left), np.concatenate(right)
+    if every:
+        return list(zip(a.tolist(), b.tolist()))
+    _, first = np.unique(part[a] * len(part) + part[b], return_index=True)  # one pair for each two components, then a forest of these
+    of = {(part[x], part[y]): (x, y) for x, y in zip(a[first].tolist(), b[first].tolist())}
+    return [of[t] for t in forest(len(part), part[a[first]], part[b[first]])]
+
+
+def tested(pairs: DataFrame, values: DataFrame, test: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
+    """(a, b): those of the ``pairs`` (a, b) whose ``values`` (of_node, words) pass. A class in very many pairs is sent once for PART of them."""
+    spark = pairs.sparkSession
+    bounded_batches(spark)
     many = pairs.groupBy(F.col("a").alias("of")).agg(F.ceil(F.count("*") / PART).alias("parts"))
     part = F.pmod(F.xxhash64("b"), F.col("parts"))
     target = lambda end, role: F.struct(F.col(end).alias("node"), F.col("a").alias("group"), part.alias("part"), F.lit(role).alias("role"))
-    sent = cut(pairs.join(many, F.col("a") == F.col("of")).select(F.explode(F.array(target("a", 0), target("b", 1))).alias("x")).select("x.*").distinct())
-    sets = sets_of(classes, sent.select("node").distinct())
-    dealt = sent.join(sets, F.col("node") == F.col("set_node")).select("group", "part", "role", "node", "words").repartition(partitions(spark), "group", "part").sortWithinPartitions("group", "part", "role")
+    sent = pairs.join(many, F.col("a") == F.col("of")).select(F.explode(F.array(target("a", 0), target("b", 1))).alias("x")).select("x.*").distinct()
+    dealt = sent.join(values, F.col("node") == F.col("of_node")).select("group", "part", "role", "node", "words").repartition(partitions(spark), "group", "part").sortWithinPartitions("group", "part", "role")
 
     def run(batches):
         last, base = None, np.zeros(0, np.uint64)
@@ -233,14 +290,18 @@ def confirmed(classes: DataFrame, pairs: DataFrame, link: Link) -> DataFrame:
                 words = np.frombuffer(raw, np.uint64)
                 if not role:
                     last, base = (group, piece), words
-                elif last == (group, piece) and link.down * min(len(base), len(words)) >= link.up * max(len(base), len(words)) and similar(base, words, link):
+                elif last == (group, piece) and test(base, words):
                     left.append(group)
                     right.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    out = cut(mapped(dealt, run, "a long, b long"))
-    drop(sent)
-    return out
+    return cut(mapped(dealt, run, "a long, b long"))
+
+
+def confirmed(classes: DataFrame, pairs: DataFrame, link: Link) -> DataFrame:
+    """(a, b): those of the ``pairs`` (a, b) whose full sets are similar."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return tested(pairs, of_nodes(classes, nodes, lambda words: words.tobytes()), lambda a, b: similar(a, b, link))
 
 
 def with_parts(df: DataFrame, column: str, parts: DataFrame, name: str) -> DataFrame:
@@ -251,33 +312,54 @@ def with_parts(df: DataFrame, column: str, parts: DataFrame, name: str) -> DataF
 def linked(classes: DataFrame, link: Link) -> DataFrame:
     """(node, root) of all classes (node, n, text) that are linked with others."""
     shared = cut(buckets(signed(classes, link)))
-    ties = cut(shared.groupBy("a", "b").agg(F.sum("n").alias("n")))
+    met = shared.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sketches = cut(of_nodes(classes, met, sketch))
+    counted = shared.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    likely = tested(counted.select("a", "b"), sketches, lambda a, b: may_link(a, b, link))
+    ties = cut(likely.withColumnsRenamed({"a": "of_a", "b": "of_b"}).join(counted, (F.col("a") == F.col("of_a")) & (F.col("b") == F.col("of_b"))).select("a", "b", "n"))
+    drop(likely)
     best = ties.groupBy("b").agg(F.max(F.struct(F.col("n"), -F.col("a"))).alias("x")).select((-F.col("x")["col2"]).alias("a"), "b")
     links = [confirmed(classes, best, link)]
     parts = components(links[0])
-    rest = cut(with_parts(with_parts(ties, "a", parts, "part_a"), "b", parts, "part_b").where("part_a != part_b").select("a", "b").join(best.withColumnsRenamed({"a": "of_a", "b": "of_b"}), (F.col("a") == F.col("of_a")) & (F.col("b") == F.col("of_b")), "left_anti"))
-    if rest.take(1):
-        links.append(confirmed(classes, rest, link))
-        drop(parts)
-        parts = components(links[0].unionAll(links[1]))
-    # buckets whose members are still apart: all members of different components meet
+
+    def more(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """Confirm further pairs; the components with them."""
+        pairs = cut(pairs.distinct())
+        if pairs.take(1):
+            links.append(confirmed(classes, pairs, link))
+            drop(parts)
+            parts = components(all_of(links))
+        drop(pairs)
+        return parts
+
+    # other pairs with a first member, then all members of a bucket that are in different components
+    apart = with_parts(with_parts(ties, "a", parts, "part_a"), "b", parts, "part_b").where("part_a != part_b").select("a", "b")
+    parts = more(apart.join(best.withColumnsRenamed({"a": "of_a", "b": "of_b"}), (F.col("a") == F.col("of_a")) & (F.col("b") == F.col("of_b")), "left_anti"), parts)
+    for every in (False, True):
+        members = cut(unsettled(shared, classes, parts))
+        if members.take(1):
+            sizes = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_BYTES)).alias("tiles"))
+            full = tiled(members, "bucket", "node", sizes).join(sketches, F.col("node") == F.col("of_node"))
+            parts = more(_in_groups(full, ["bucket", "pair"], ["node", "words", "part"], lambda columns, every=every: _candidates(columns, link, every)), parts)
+        drop(members)
+    drop(shared, sketches, ties, *links)
+    return parts
+
+
+def all_of(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def unsettled(shared: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(bucket, node, part, n): the members, with their components, of buckets in which there are several."""
     wide = shared.where("bucket != 0").select("bucket", F.explode(F.array("a", "b")).alias("node")).distinct()
     placed = with_parts(wide, "node", parts, "part")
     apart = placed.groupBy(F.col("bucket").alias("of")).agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("of")
-    members = placed.join(apart, F.col("bucket") == F.col("of"), "left_semi").join(classes.select(F.col("node").alias("of_node"), "n"), F.col("node") == F.col("of_node")).select("bucket", "node", "part", "n")
-    members = cut(members)
-    if members.take(1):
-        sizes = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.col("n") * 8) / TILE_BYTES)).alias("tiles"))
-        spread = tiled(members, "bucket", "node", sizes)
-        full = spread.join(sets_of(classes, members.select("node").distinct()), F.col("node") == F.col("set_node"))
-        links.append(cut(_in_groups(full, ["bucket", "pair"], ["node", "words", "part"], lambda columns: _linked(columns, link))))
-    drop(shared, ties, rest, members, parts)
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionAll(more)
-    out = components(every)
-    drop(*links)
-    return out
+    sizes = classes.select(F.col("node").alias("own_node"), "n")
+    return placed.join(apart, F.col("bucket") == F.col("of"), "left_semi").join(sizes, F.col("node") == F.col("own_node")).select("bucket", "node", "part", "n")
 
 
 def joined(df: DataFrame, text: str = "text", key: str = "doc_id", link: Link = QUERY) -> DataFrame:

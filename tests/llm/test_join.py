@@ -80,6 +80,20 @@ def test_unrelated_sets_share_none():
         assert len(np.unique(found)) == len(found) and len(found) < 1.5 * len(row) and set(row.tolist()) == set(range(200))
 
 
+def test_sketches_lose_no_link():
+    """Sets at the least similarity pass, whatever their sizes; sets far apart don't."""
+    draw = np.random.default_rng(3)
+    view = lambda x: np.frombuffer(ngram_join.sketch(x), np.uint64)
+    for size in (5, 9, 40, 127, 128, 129, 300, 1000, 4000):
+        for _ in range(20):
+            common = size - int(draw.integers(0, size // 5 + 1))
+            a = draw.integers(0, 2**63, size, dtype=np.uint64)
+            b = np.concatenate([a[:common], draw.integers(0, 2**63, int(common / 0.8) - size, dtype=np.uint64)])
+            assert minhash_dedup.similar(a, b, ngram_join.QUERY) and ngram_join.may_link(view(a), view(b), ngram_join.QUERY) and ngram_join.may_link(view(b), view(a), ngram_join.QUERY)
+        far = np.concatenate([a[: size // 2], draw.integers(0, 2**63, size // 2, dtype=np.uint64)])
+        assert not ngram_join.may_link(view(a), view(far), ngram_join.QUERY)
+
+
 def test_edges(spark):
     assert ngram_join.joined(empty(spark)).count() == 0
     check(spark, [(1, None), (2, ""), (3, " \n"), (4, None), (None, "a b"), (None, None)])
