@@ -397,6 +397,65 @@ def page_texts(spark: SparkSession, d: str) -> DataFrame:
     return paged.select("id", files.page_text(F.col("pages")).alias("text"))
 
 
+# W4, P0: files that can't be read give error rows beside the others
+_BAD = "doc_id % 7 = 0"
+_CONTENT = f"CASE WHEN {_BAD} THEN unhex('FF') || encode(coalesce(text, '')) ELSE encode(coalesce(text, '')) END"
+
+
+@query(f"""SELECT doc_id AS id, sha256({_CONTENT}) AS sha256, CASE WHEN {_BAD} THEN 'error' ELSE '' END AS processing_status, CASE WHEN {_BAD} THEN 'no' ELSE '' END AS processed_ok,
+CASE WHEN {_BAD} THEN 'yes' ELSE '' END AS needs_review, CASE WHEN {_BAD} THEN '{fixed.ERROR_REASON}' ELSE '' END AS review_reason,
+CASE WHEN {_BAD} THEN '''utf-8'' codec can''t decode byte 0xff in position 0: invalid start byte' ELSE '' END AS error_message, CASE WHEN {_BAD} THEN 'low' ELSE 'high' END AS confidence,
+CASE WHEN {_BAD} THEN '' ELSE left(string_split(coalesce(text, ''), chr(12))[1], 100) END AS summary FROM documents""")
+def dead_letters(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files, some of which are no UTF-8: the reader's errors become error rows, the other files go on."""
+    content = F.when(F.col("id") % 7 == 0, F.concat(F.unhex(F.lit("FF")), F.col("content"))).otherwise(F.col("content"))
+    read = files.with_pages(files.hashed(_as_files(spark, d).withColumn("content", content)), files.text_pages)
+    record = read.withColumns({"summary": F.left(F.get("pages", F.lit(0)), F.lit(100)), "confidence": F.lit("high")})
+    columns = ["processing_status", "processed_ok", "needs_review", "review_reason", "error_message", "confidence", "summary"]
+    return register.with_dead_letters(record, "read_error", ["sha256"]).select("id", "sha256", *[text.text(c).alias(c) for c in columns])
+
+
+# S4, H1, P3: hashes that are known by path, time and length are not worked out again
+@query("SELECT doc_id AS id, doc_id % 3 = 0 AS known, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def known_files(spark: SparkSession, d: str) -> DataFrame:
+    from . import intake
+
+    listed = _as_files(spark, d).withColumn("length", F.length("content").cast("long"))
+    older = F.when(F.col("id") % 3 == 1, F.col("modificationTime") - F.expr("INTERVAL 1 SECOND")).otherwise(F.col("modificationTime"))
+    index = files.hashed(listed.where("id % 3 < 2")).withColumn("modificationTime", older).select("path", "modificationTime", "length", "sha256")
+    known = files.known_hashes(listed.select("id", "path", "modificationTime", "length"), index).select(F.col("path").alias("of"), "id", F.col("sha256").isNotNull().alias("known"))
+    return intake.named_contents(listed, index).join(known, F.col("path") == F.col("of")).select("id", "known", "sha256")
+
+
+# H2, S9: the anti join reads the hash index by prefix
+@query("SELECT doc_id AS id FROM documents WHERE sha256(coalesce(text, ''))[1:2] IN ('00', '7f', 'a1') AND sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE doc_id % 2 = 0)")
+def new_by_prefix(spark: SparkSession, d: str) -> DataFrame:
+    found = files.hashed(_as_files(spark, d)).withColumn("prefix", F.left("sha256", F.lit(2)))
+    return files.unregistered(found.where("prefix IN ('00', '7f', 'a1')"), found.where("id % 2 = 0 AND prefix IN ('00', '7f', 'a1')")).select("id")
+
+
+# L3, L4: prompts of both passes
+_KINDS_SQL = "\n".join(f"- {k}: {v}" for k, v in fixed.CATEGORIES.items()).replace("'", "''")
+_SIGNALS_SQL = json.dumps({"suggested_category": "other"}, separators=(",", ":"))
+_CHOSEN = "CASE id % 4 WHEN 0 THEN 'lease_contract' WHEN 1 THEN 'bank_details' WHEN 2 THEN 'unheard_of' ELSE 'payment_proof' END"
+
+
+def _prompts_sql() -> str:
+    of = lambda table, kind: f"CASE id % 4 WHEN 0 THEN '{table['lease_contract']}' WHEN 1 THEN '{table['bank_details']}' WHEN 2 THEN '{table['other']}' ELSE '{table['payment_proof']}' END"
+    quoted = {k: v.replace("'", "''") for k, v in fixed.GUIDANCE.items()}
+    fields = {k: ", ".join(n for n in names if n not in fixed.GENERAL) for k, names in fixed.CATEGORY_FIELDS.items()}
+    first = f"'Name the document''s category and describe it. Answer with one JSON object with the keys {', '.join(fixed.GENERAL)}.' || chr(10) || 'Categories:' || chr(10) || '{_KINDS_SQL}' || chr(10) || 'File name: ' || file_name || chr(10) || 'Suggested category: other' || chr(10) || 'Signals: {_SIGNALS_SQL}' || chr(10) || 'Text:' || chr(10) || text"
+    second = f"'Take the listed fields from the text. Leave empty what the text does not say; bank numbers are never amounts or property names.' || chr(10) || {of(quoted, 'kind')} || chr(10) || 'File name: ' || file_name || chr(10) || 'Category: ' || {_CHOSEN} || chr(10) || 'Fields: ' || {of(fields, 'kind')} || chr(10) || 'Signals: {_SIGNALS_SQL}' || chr(10) || 'Text:' || chr(10) || text"
+    return f"SELECT id, {first} AS first_prompt, {second} AS second_prompt FROM {as_sql('LEASES')} AS t"
+
+
+@query(_prompts_sql())
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    df = made(spark, d, "LEASES").withColumn("signals", F.struct(F.lit("other").alias("suggested_category")))
+    kind = F.element_at(F.array(*map(F.lit, ("lease_contract", "bank_details", "unheard_of", "payment_proof"))), (F.col("id") % 4 + 1).cast("int"))
+    return df.select("id", model.classify_prompt(F.col("file_name"), F.col("text"), F.col("signals")).alias("first_prompt"), model.extract_prompt(F.col("file_name"), F.col("text"), F.col("signals"), kind).alias("second_prompt"))
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: recovered, validated, scored and prioritised lease records."""
     return validated_leases(spark, d)
