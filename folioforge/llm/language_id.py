@@ -1,7 +1,7 @@
 """Language identification as a mixture: expectation-maximisation over n-gram likelihoods of a document's segments.
 
-Training counts hashed 4-byte grams of every labelled row, by language, in the executors; the driver gets one count for
-each gram bucket and language. A document's grams are cut into segments of 64; each segment has a likelihood under each
+Training counts hashed 4-byte grams of every labelled row of the MOST_LANGUAGES most frequent languages in the
+executors; the driver gets one packed row of counts a language. A document's grams are cut into segments of 64; each segment has a likelihood under each
 language, and expectation-maximisation gives the languages' proportions. Sets of the 1, 2, ... most likely languages
 are compared by their likelihood less a penalty for each language, up to all languages or until the penalty alone is
 more than the best set's loss; the best set's largest proportion is the answer.
@@ -13,19 +13,21 @@ not learned from; only the named columns are read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, flat, free_name, in_arrow, mapped, slices, tidy
+from .frames import bounded_batches, flat, free_name, in_arrow, mapped, partitions, slices, tidy
 
 #: Gram buckets, grams of a segment, EM steps; a gram's share of independent evidence, and the cost of a language.
 BUCKETS, SEGMENT, STEPS, SHARE, PENALTY = 1 << 16, 64, 12, 0.25, 4.0
 UNDEFINED = "und"
-#: Languages that can be told apart at most: with more values than that, ``lang`` holds something else.
-MOST_LANGUAGES = 1000
+#: Languages that are learned: those with most labelled rows, by name where counts tie. This bounds the model, not the rows.
+MOST_LANGUAGES = 400
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 32
@@ -51,10 +53,13 @@ def has_letter(texts: pa.Array) -> np.ndarray:
 
 
 def count_grams(df: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, bucket, n) over all rows."""
+    """(lang, counts): of each language one row, with the packed counts of its gram buckets over all rows."""
     bounded_batches(df.sparkSession)
 
-    def run(batches):
+    def rows(counts: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([zlib.compress(n.tobytes(), 1) for n in counts.values()], pa.binary())], names=["lang", "counts"])
+
+    def first(batches):
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, "text"):
@@ -64,26 +69,34 @@ def count_grams(df: DataFrame, text: str, lang: str) -> DataFrame:
                     mine = np.repeat(np.fromiter((x == name for x in langs), bool, len(langs)), np.diff(bounds))
                     counts.setdefault(name, np.zeros(BUCKETS, np.int64))
                     counts[name] += np.bincount(codes[mine], minlength=BUCKETS)
-        for name, n in counts.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
+        yield rows(counts)
+
+    def second(batches):
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts[name] = counts.get(name, 0) + np.frombuffer(zlib.decompress(raw), np.int64)
+        yield rows(counts)
 
-    partial = mapped(df.select(F.col(lang).alias("lang"), F.col(text).alias("text")), run, "lang string, bucket int, n long")
-    return partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    ddl = "lang string, counts binary"
+    partial = mapped(df.select(F.col(lang).alias("lang"), F.col(text).alias("text")), first, ddl)
+    return mapped(partial.repartition(partitions(df.sparkSession), "lang"), second, ddl)
 
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """The languages and their log-probabilities of the buckets (BUCKETS x languages), from rows with a language and a text."""
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    if labelled.select(lang).distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"{lang} has more than {MOST_LANGUAGES} values")
-    found = count_grams(labelled, text, lang).toPandas()  # BUCKETS rows a language at most
-    names = sorted(found["lang"].unique())
-    table = np.full((BUCKETS, len(names)), 0.5)
-    for i, name in enumerate(names):
-        mine = found[found["lang"] == name]
-        table[mine["bucket"], i] += mine["n"]
-    return names, np.log(table / table.sum(axis=0)).astype(np.float32) if names else table.astype(np.float32)
+    frequent = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()
+    names = sorted(r[lang] for r in frequent)
+    table = np.full((BUCKETS, len(names)), 0.5, np.float32)
+    total = np.zeros(len(names))
+    if names:
+        at = {name: i for i, name in enumerate(names)}
+        for r in count_grams(labelled.where(F.col(lang).isin(names)), text, lang).toLocalIterator():  # a row a language
+            counts = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+            total[at[r["lang"]]] = counts.sum()
+            table[:, at[r["lang"]]] += counts
+    return names, (np.log(table) - np.log(total + 0.5 * BUCKETS)).astype(np.float32) if names else table
 
 
 def _em(like: np.ndarray, first: np.ndarray, sizes: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -329,25 +329,26 @@ def class_roots(own: DataFrame, link: Link) -> tuple[DataFrame, DataFrame]:
     members = tiled(entries, "bucket", "node", crowded)
     with_sig = members.join(classes.select(F.col("node").alias("own_node"), "packed"), F.col("node") == F.col("own_node"))
     ties = cut(_in_groups(with_sig, ["bucket", "pair"], ["node", "packed"], lambda columns: _alike(columns, link)).distinct())
-    links = first_links(own, classes, ties, link)
-    parts = components(links)
+    links = [first_links(own, classes, ties, link)]
+    parts = components(links[0])
     of_part = lambda end: parts.select(F.col("node").alias(f"{end}_node"), F.col("root").alias(f"{end}_root"))
     between = ties.join(of_part("a"), F.col("a") == F.col("a_node"), "left").join(of_part("b"), F.col("b") == F.col("b_node"), "left")
     between = cut(between.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a != b").distinct())
     if between.take(1):
-        in_group = components(between).select(F.col("node").alias("of_part"), F.col("root").alias("group"))
+        met = components(between)
+        in_group = met.select(F.col("node").alias("of_part"), F.col("root").alias("group"))
         in_part = classes.select("key", "check", "node", "n").join(of_part("own"), F.col("node") == F.col("own_node"), "left").withColumn("part", F.coalesce("own_root", "node"))
         placed = cut(in_part.join(in_group, F.col("part") == F.col("of_part")).select("key", "check", "node", "n", "part", "group"))
         sizes = placed.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.col("n") * 8) / TILE_BYTES)).alias("tiles"))
         wide = tiled(with_sets(own, placed), "group", "node", sizes)
-        links = links.unionAll(cut(_in_groups(wide, ["group", "pair"], ["node", "words", "part"], lambda columns: _linked(columns, link))))
-        parts = components(links)
-        drop(placed)
+        links.append(cut(_in_groups(wide, ["group", "pair"], ["node", "words", "part"], lambda columns: _linked(columns, link))))
+        drop(met, placed, parts)
+        parts = components(links[0].unionAll(links[1]))
     known = classes.select("key", "check", "node", "first_id").join(parts.withColumnRenamed("node", "own_node"), F.col("node") == F.col("own_node"), "left").withColumn("group", F.coalesce("root", "node"))
     known = cut(known.select("key", "check", "group", "first_id"))
     least = known.groupBy(F.col("group").alias("own_group")).agg(F.min("first_id").alias("least"))
     answer = cut(known.join(least, F.col("group") == F.col("own_group")).select(F.col("key").alias("own_key"), F.col("check").alias("own_check"), F.col("least").alias("root")))
-    drop(classes, crowded, ties, between, known)
+    drop(classes, crowded, ties, between, known, parts, *links)
     return rows.select("doc_id", "n", "key", "check"), answer
 
 

@@ -15,8 +15,9 @@ partings up to the one where it holds for either. After PARTINGS of them all sig
 Sets with a common signature are a bucket. Each bucket's first set is paired with the others. Pairs whose parity
 sketches differ in more bits than linked sets may in features are surely none; the others are confirmed on full sets,
 for each set the pair with most common signatures first. In buckets whose members are then in several components the
-sketches of all members of different components are compared in tiles: first a forest of the possible pairs is
-confirmed, and then, if components are still apart, all that are left. The confirmed links make the components.
+sketches of all members of different components are compared in tiles. Of any two components in a tile up to SAMPLE
+possible pairs are confirmed; where there were more and the components are still apart, all that are left. The confirmed
+links make the components.
 
 Defined results: a null text, or one without words, has the empty set and is linked with nothing; repeated rows are
 copies of each other; rows without a doc_id take part, but name a component only if no row with one is in it, and then
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .frames import bounded_batches, cut, drop, flat, mapped, marked, mix, partitions, slices
 from .graph import components
-from .minhash_dedup import TILE, TILE_BYTES, Link, _in_groups, forest, set_keys, shingles, similar, tiled
+from .minhash_dedup import TILE, TILE_BYTES, Link, _in_groups, set_keys, shingles, similar, tiled
 
 #: Links of the query: similarity as a fraction (the other fields are for MinHash only).
 QUERY = Link(80, 100, 0, 0, 0.0)
@@ -44,6 +45,8 @@ QUERY = Link(80, 100, 0, 0, 0.0)
 PARTINGS, DEEP = 32, 8
 #: Members of a bucket that are held together to name it by its list, and later members that one task compares with one first member.
 LIST, PART = 1 << 16, 256
+#: Possible pairs of two components of a bucket that are confirmed before all others.
+SAMPLE = 64
 _SEEDS = mix(np.arange(2001, 2001 + PARTINGS, dtype=np.uint64))
 _SUBSETS = {1: [(0,)], 3: [(0, 1), (0, 2), (1, 2)]}
 
@@ -203,11 +206,12 @@ def buckets(signed_classes: DataFrame) -> DataFrame:
     return mapped(dealt, run, "bucket long, a long, b long").groupBy("bucket", "a", "b").agg(F.count("*").alias("n"))
 
 
-def of_nodes(classes: DataFrame, nodes: DataFrame, made: Callable[[np.ndarray], bytes]) -> DataFrame:
-    """(of_node, words): what is ``made`` of the sets of the classes among ``nodes`` (and, by chance, of a few others)."""
+def of_nodes(classes: DataFrame, pairs: DataFrame, made: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(of_node, words): what is ``made`` of the sets of the classes in ``pairs`` (a, b), a written table (and, by chance, of a few others)."""
     spark = classes.sparkSession
     bounded_batches(spark)
-    wanted = spark.sparkContext.broadcast(marked(nodes, lambda part: np.asarray(part.column(0)), nodes.count()))
+    ends = pairs.select("a", "b")
+    wanted = spark.sparkContext.broadcast(marked(ends, lambda part: np.concatenate([np.asarray(part.column(0)), np.asarray(part.column(1))]), pairs.count()))
 
     def run(batches):
         for batch in batches:
@@ -246,8 +250,11 @@ def may_link(a: np.ndarray, b: np.ndarray, link: Link) -> bool:
     return link.down * min(n, m) >= link.up * max(n, m) and apart * (link.down + link.up) <= (n + m) * (link.down - link.up)
 
 
-def _candidates(columns: list, link: Link, every: bool) -> list[tuple[int, int]]:
-    """Members of a bucket, of different components, that may be linked: all such pairs, or a forest of them."""
+def _candidates(columns: list, link: Link, most: int | None) -> list[tuple[int, int]]:
+    """Pairs of members of a bucket, of different components, that may be linked.
+
+    Of two components at most ``most`` pairs, if that is given; a member paired with itself says that there are more.
+    """
     held, part = [np.frombuffer(x, np.uint64) for x in columns[1].to_pylist()], np.asarray(columns[2])
     _, part = np.unique(part, return_inverse=True)
     sizes = np.array([int(x[0]) for x in held])
@@ -265,11 +272,15 @@ def _candidates(columns: list, link: Link, every: bool) -> list[tuple[int, int]]
         left.append(x + i)
         right.append(y)
     a, b = np.concatenate(left), np.concatenate(right)
-    if every:
-        return list(zip(a.tolist(), b.tolist()))
-    _, first = np.unique(part[a] * len(part) + part[b], return_index=True)  # one pair for each two components, then a forest of these
-    of = {(part[x], part[y]): (x, y) for x, y in zip(a[first].tolist(), b[first].tolist())}
-    return [of[t] for t in forest(len(part), part[a[first]], part[b[first]])]
+    if most is not None and len(a):
+        two = part[a].astype(np.int64) * len(part) + part[b]
+        order = np.argsort(two, kind="stable")
+        start = np.concatenate([[True], two[order][1:] != two[order][:-1]])
+        nth = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
+        keep = order[nth < most]
+        more = [(0, 0)] if len(keep) < len(a) else []
+        return more + list(zip(a[keep].tolist(), b[keep].tolist()))
+    return list(zip(a.tolist(), b.tolist()))
 
 
 def tested(pairs: DataFrame, values: DataFrame, test: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
@@ -299,9 +310,8 @@ def tested(pairs: DataFrame, values: DataFrame, test: Callable[[np.ndarray, np.n
 
 
 def confirmed(classes: DataFrame, pairs: DataFrame, link: Link) -> DataFrame:
-    """(a, b): those of the ``pairs`` (a, b) whose full sets are similar."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return tested(pairs, of_nodes(classes, nodes, lambda words: words.tobytes()), lambda a, b: similar(a, b, link))
+    """(a, b): those of the ``pairs`` (a, b), a written table, whose full sets are similar."""
+    return tested(pairs, of_nodes(classes, pairs, lambda words: words.tobytes()), lambda a, b: similar(a, b, link))
 
 
 def with_parts(df: DataFrame, column: str, parts: DataFrame, name: str) -> DataFrame:
@@ -312,37 +322,33 @@ def with_parts(df: DataFrame, column: str, parts: DataFrame, name: str) -> DataF
 def linked(classes: DataFrame, link: Link) -> DataFrame:
     """(node, root) of all classes (node, n, text) that are linked with others."""
     shared = cut(buckets(signed(classes, link)))
-    met = shared.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sketches = cut(of_nodes(classes, met, sketch))
-    counted = shared.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    sketches = cut(of_nodes(classes, shared, sketch))
+    counted = cut(shared.groupBy("a", "b").agg(F.sum("n").alias("n")))
     likely = tested(counted.select("a", "b"), sketches, lambda a, b: may_link(a, b, link))
     ties = cut(likely.withColumnsRenamed({"a": "of_a", "b": "of_b"}).join(counted, (F.col("a") == F.col("of_a")) & (F.col("b") == F.col("of_b"))).select("a", "b", "n"))
-    drop(likely)
-    best = ties.groupBy("b").agg(F.max(F.struct(F.col("n"), -F.col("a"))).alias("x")).select((-F.col("x")["col2"]).alias("a"), "b")
+    best = cut(ties.groupBy("b").agg(F.max(F.struct(F.col("n"), -F.col("a"))).alias("x")).select((-F.col("x")["col2"]).alias("a"), "b"))
     links = [confirmed(classes, best, link)]
     parts = components(links[0])
-
-    def more(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        """Confirm further pairs; the components with them."""
-        pairs = cut(pairs.distinct())
-        if pairs.take(1):
-            links.append(confirmed(classes, pairs, link))
-            drop(parts)
-            parts = components(all_of(links))
-        drop(pairs)
-        return parts
-
-    # other pairs with a first member, then all members of a bucket that are in different components
+    drop(likely, counted)
+    # the other pairs with a first member, and members of a bucket that are in different components
     apart = with_parts(with_parts(ties, "a", parts, "part_a"), "b", parts, "part_b").where("part_a != part_b").select("a", "b")
-    parts = more(apart.join(best.withColumnsRenamed({"a": "of_a", "b": "of_b"}), (F.col("a") == F.col("of_a")) & (F.col("b") == F.col("of_b")), "left_anti"), parts)
-    for every in (False, True):
+    rest = apart.join(best.withColumnsRenamed({"a": "of_a", "b": "of_b"}), (F.col("a") == F.col("of_a")) & (F.col("b") == F.col("of_b")), "left_anti")
+    for most in (SAMPLE, None):
         members = cut(unsettled(shared, classes, parts))
-        if members.take(1):
-            sizes = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_BYTES)).alias("tiles"))
-            full = tiled(members, "bucket", "node", sizes).join(sketches, F.col("node") == F.col("of_node"))
-            parts = more(_in_groups(full, ["bucket", "pair"], ["node", "words", "part"], lambda columns, every=every: _candidates(columns, link, every)), parts)
-        drop(members)
-    drop(shared, sketches, ties, *links)
+        sizes = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_BYTES)).alias("tiles"))
+        full = tiled(members, "bucket", "node", sizes).join(sketches, F.col("node") == F.col("of_node"))
+        met = _in_groups(full, ["bucket", "pair"], ["node", "words", "part"], lambda columns, most=most: _candidates(columns, link, most))
+        pairs = cut((met.unionAll(rest) if most else met).distinct())
+        if pairs.where("a != b").take(1):
+            links.append(confirmed(classes, pairs, link))
+            if links[-1].take(1):
+                drop(parts)
+                parts = components(all_of(links))
+        more = pairs.where("a = b").take(1)
+        drop(members, pairs)
+        if not more:
+            break
+    drop(shared, sketches, ties, best, *links)
     return parts
 
 

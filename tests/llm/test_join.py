@@ -32,13 +32,14 @@ def test_short_texts(spark):
     check(spark, texts)
 
 
-@pytest.mark.parametrize("limits", [(1024, 1 << 16, 256), (4, 3, 2)])
+@pytest.mark.parametrize("limits", [(1024, 1 << 16, 256, 64), (4, 3, 2, 1)])
 def test_families(spark, monkeypatch, limits):
     """Families of texts of all degrees of likeness; with small limits buckets are handed on as they come and compared in tiles."""
     monkeypatch.setattr(minhash_dedup, "TILE", limits[0])
     monkeypatch.setattr(ngram_join, "TILE", limits[0])
     monkeypatch.setattr(ngram_join, "LIST", limits[1])
     monkeypatch.setattr(ngram_join, "PART", limits[2])
+    monkeypatch.setattr(ngram_join, "SAMPLE", limits[3])
     draw = random.Random(5)
     texts = []
     for size in (30, 120, 400):

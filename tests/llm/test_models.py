@@ -74,9 +74,22 @@ def test_mixtures_against_plain_loops(spark, documents):
 
 
 def test_too_many_languages(spark, monkeypatch):
+    """The most frequent languages are learned, by name where counts tie; a text in another one still gets an answer."""
     monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
-    with pytest.raises(ValueError):
-        language_id.learn(spark.createDataFrame([("text", x) for x in "abc"], "text string, lang string"))
+    rows = [("aaaa bbbb", "x"), ("cccc dddd", "z"), ("eeee ffff", "y"), ("eeee ffff", "y"), ("gggg", None)]
+    model = language_id.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert model[0] == ["x", "y"]
+    got = language_id.predict(spark.createDataFrame([(1, "ffff eeee"), (2, "cccc"), (3, None)], "doc_id long, text string"), model).collect()
+    assert [r["lang_pred"] for r in sorted(got)][::2] == ["y", "und"] and all(r["lang_pred"] in ("x", "y", "und") for r in got)
+
+
+def test_two_thousand_languages(spark):
+    """Values without number in ``lang`` bound neither the answer nor the driver."""
+    rows = [(i, f"{'abcdefghij'[i % 10] * 5} {'klmnopqrst'[i // 10 % 10] * 5} {'uvwxyz'[i // 100 % 6] * 4}", f"l{i % 2000:04d}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, table = language_id.learn(df)
+    assert len(names) == language_id.MOST_LANGUAGES and table.shape == (language_id.BUCKETS, len(names))
+    assert {r["lang_pred"] for r in language_id.predict(df.limit(20), (names, table)).collect()} <= set(names)
 
 
 def test_documents_of_many_languages(spark):

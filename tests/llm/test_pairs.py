@@ -1,11 +1,13 @@
 """Line dedup, near-dedup and components against plain versions."""
 
+import os
 import random
 
 import pytest
 from cases import corpus, empty, frame, order, plain_components, plain_lines
 
 from folioforge.llm import graph, line_dedup, minhash_dedup
+from folioforge.llm.frames import folder
 
 
 @pytest.mark.parametrize("seed", [3, 4])
@@ -147,6 +149,14 @@ def test_near_duplicates_large_ids(spark):
         assert {r["doc_id"] for r in minhash_dedup.keep_one_of_each(frame(spark, texts)).collect()} == {a, None}
 
 
+def test_tables_left_behind(spark):
+    """Of the tables that steps are cut with, those stay that the result reads: the rows and the answer."""
+    there = lambda: set(os.listdir(folder(spark).removeprefix("file:")))
+    before = there()
+    assert minhash_dedup.near_duplicates(frame(spark, corpus())).count() == len(corpus())
+    assert len(there() - before) == 2
+
+
 def test_near_duplicates_edges(spark):
     assert minhash_dedup.near_duplicates(empty(spark)).count() == 0
     assert minhash_dedup.keep_one_of_each(empty(spark)).count() == 0
