@@ -139,6 +139,7 @@ def test_replies_are_kept(spark, tmp_path):
     asked = lambda: [p.read_text() for p in sorted((tmp_path / "asked").iterdir())] if (tmp_path / "asked").exists() else []
     rows = spark.createDataFrame([(1, "a.pdf", LEASE + "LATE"), (2, "b.pdf", LEASE), (3, "b.pdf", LEASE), (4, "c.pdf", "short")], "id int, file_name string, text string")
     shown = detect.with_signals(rows).withColumns({"sample": F.col("text"), "context": F.col("text")})
+    shown = spark.createDataFrame(shown.collect(), shown.schema)  # written down, as scans do it
     cache = model.reply_cache(str(tmp_path / "register"))
     run = lambda fail, batch: {r["id"]: r for r in model.merged(model.asked(shown, Counting(tmp_path / "asked", fail), cache=cache, batch=batch)).collect()}
     got = run("LATE", "1")
@@ -155,6 +156,7 @@ def test_replies_are_kept(spark, tmp_path):
 def test_model_error_is_the_documents_own(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a.pdf", LEASE + "ODD"), (2, "b.pdf", LEASE)], "id int, file_name string, text string")
     shown = detect.with_signals(rows).withColumns({"sample": F.col("text"), "context": F.col("text")})
+    shown = spark.createDataFrame(shown.collect(), shown.schema)  # written down, as scans do it
     got = {r["id"]: r for r in model.asked(shown, Counting(tmp_path / "asked", "ODD")).collect()}
     assert got[1]["model_error"] == "'odd'" and got[2]["model_error"] == "" and got[2]["reply_2"]
 
