@@ -15,9 +15,9 @@ partings up to the one where it holds for either. After PARTINGS of them all sig
 Sets with a common signature are a bucket. Each bucket's first set is paired with the others. Pairs whose parity
 sketches differ in more bits than linked sets may in features are surely none; the others are confirmed on full sets,
 for each set the pair with most common signatures first. In buckets whose members are then in several components the
-sketches of all members of different components are compared in tiles. Of any two components in a tile up to SAMPLE
-possible pairs are confirmed; where there were more and the components are still apart, all that are left. The confirmed
-links make the components.
+sketches of all members of different components are compared in tiles. First a forest of the possible pairs is confirmed,
+so few that a tile gives less of them than it has members; where there are more and the components are still apart, all
+that are left. The confirmed links make the components.
 
 Defined results: a null text, or one without words, has the empty set and is linked with nothing; repeated rows are
 copies of each other; rows without a doc_id take part, but name a component only if no row with one is in it, and then
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .frames import bounded_batches, cut, drop, flat, mapped, marked, mix, partitions, slices
 from .graph import components
-from .minhash_dedup import TILE, TILE_BYTES, Link, _in_groups, set_keys, shingles, similar, tiled
+from .minhash_dedup import TILE, TILE_BYTES, Link, _in_groups, forest, set_keys, shingles, similar, tiled
 
 #: Links of the query: similarity as a fraction (the other fields are for MinHash only).
 QUERY = Link(80, 100, 0, 0, 0.0)
@@ -45,8 +45,6 @@ QUERY = Link(80, 100, 0, 0, 0.0)
 PARTINGS, DEEP = 32, 8
 #: Members of a bucket that are held together to name it by its list, and later members that one task compares with one first member.
 LIST, PART = 1 << 16, 256
-#: Possible pairs of two components of a bucket that are confirmed before all others.
-SAMPLE = 64
 _SEEDS = mix(np.arange(2001, 2001 + PARTINGS, dtype=np.uint64))
 _SUBSETS = {1: [(0,)], 3: [(0, 1), (0, 2), (1, 2)]}
 
@@ -250,10 +248,10 @@ def may_link(a: np.ndarray, b: np.ndarray, link: Link) -> bool:
     return link.down * min(n, m) >= link.up * max(n, m) and apart * (link.down + link.up) <= (n + m) * (link.down - link.up)
 
 
-def _candidates(columns: list, link: Link, most: int | None) -> list[tuple[int, int]]:
-    """Pairs of members of a bucket, of different components, that may be linked.
+def _candidates(columns: list, link: Link, every: bool) -> list[tuple[int, int]]:
+    """Pairs of members of a bucket, of different components, that may be linked: all, or so few that they tie all components together that may be tied.
 
-    Of two components at most ``most`` pairs, if that is given; a member paired with itself says that there are more.
+    In the second case a member paired with itself says that there are more.
     """
     held, part = [np.frombuffer(x, np.uint64) for x in columns[1].to_pylist()], np.asarray(columns[2])
     _, part = np.unique(part, return_inverse=True)
@@ -272,15 +270,12 @@ def _candidates(columns: list, link: Link, most: int | None) -> list[tuple[int,
         left.append(x + i)
         right.append(y)
     a, b = np.concatenate(left), np.concatenate(right)
-    if most is not None and len(a):
-        two = part[a].astype(np.int64) * len(part) + part[b]
-        order = np.argsort(two, kind="stable")
-        start = np.concatenate([[True], two[order][1:] != two[order][:-1]])
-        nth = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
-        keep = order[nth < most]
-        more = [(0, 0)] if len(keep) < len(a) else []
-        return more + list(zip(a[keep].tolist(), b[keep].tolist()))
-    return list(zip(a.tolist(), b.tolist()))
+    if every:
+        return list(zip(a.tolist(), b.tolist()))
+    _, first = np.unique(part[a].astype(np.int64) * len(part) + part[b], return_index=True)  # one pair for each two components
+    of = {(part[x], part[y]): (x, y) for x, y in zip(a[first].tolist(), b[first].tolist())}
+    tied = [of[t] for t in forest(len(part), part[a[first]], part[b[first]])]
+    return tied + [(0, 0)] if len(tied) < len(a) else tied
 
 
 def tested(pairs: DataFrame, values: DataFrame, test: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
@@ -333,12 +328,12 @@ def linked(classes: DataFrame, link: Link) -> DataFrame:
     # the other pairs with a first member, and members of a bucket that are in different components
     apart = with_parts(with_parts(ties, "a", parts, "part_a"), "b", parts, "part_b").where("part_a != part_b").select("a", "b")
     rest = apart.join(best.withColumnsRenamed({"a": "of_a", "b": "of_b"}), (F.col("a") == F.col("of_a")) & (F.col("b") == F.col("of_b")), "left_anti")
-    for most in (SAMPLE, None):
+    for every in (False, True):
         members = cut(unsettled(shared, classes, parts))
         sizes = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_BYTES)).alias("tiles"))
         full = tiled(members, "bucket", "node", sizes).join(sketches, F.col("node") == F.col("of_node"))
-        met = _in_groups(full, ["bucket", "pair"], ["node", "words", "part"], lambda columns, most=most: _candidates(columns, link, most))
-        pairs = cut((met.unionAll(rest) if most else met).distinct())
+        met = _in_groups(full, ["bucket", "pair"], ["node", "words", "part"], lambda columns, every=every: _candidates(columns, link, every))
+        pairs = cut((met if every else met.unionAll(rest)).distinct())
         if pairs.where("a != b").take(1):
             links.append(confirmed(classes, pairs, link))
             if links[-1].take(1):
