@@ -15,14 +15,14 @@ CATEGORIES = {
     "correspondence": "Carta, notificacao ou comunicacao.",
     "other": "Fallback local.",
 }
-OPERATIONAL = "processed_at source_file_name copied_file_path sha256 file_created_at file_modified_at processing_status processed_ok needs_review review_reason reviewed_by reviewed_at error_message".split()
-GENERAL = "document_category document_type document_subtype document_date summary language confidence extraction_notes".split()
-LEASE = "signed_date contract_type lessor lessee contract_start_date contract_end_date rent_payment_day monthly_rent currency".split()
-PROPERTY = "property_name property_number property_display_name property_article property_section property_parish property_municipality property_district property_location property_address owner_name owner_tax_id owner_address".split()
-BANK = "bank_account_holder iban nib bic_swift bank_name bank_account_number".split()
-PAYMENT = "payment_date payer payee payment_amount payment_method payment_reference payment_description".split()
-TECHNICAL = "text_source native_text_chars ocr_text_chars deterministic_json llm_json raw_json".split()
-QUALITY = "quality_score quality_band validation_status validation_issues review_priority".split()
+OPERATIONAL = ["processed_at", "source_file_name", "copied_file_path", "sha256", "file_created_at", "file_modified_at", "processing_status", "processed_ok", "needs_review", "review_reason", "reviewed_by", "reviewed_at", "error_message"]
+GENERAL = ["document_category", "document_type", "document_subtype", "document_date", "summary", "language", "confidence", "extraction_notes"]
+LEASE = ["signed_date", "contract_type", "lessor", "lessee", "contract_start_date", "contract_end_date", "rent_payment_day", "monthly_rent", "currency"]
+PROPERTY = ["property_name", "property_number", "property_display_name", "property_article", "property_section", "property_parish", "property_municipality", "property_district", "property_location", "property_address", "owner_name", "owner_tax_id", "owner_address"]
+BANK = ["bank_account_holder", "iban", "nib", "bic_swift", "bank_name", "bank_account_number"]
+PAYMENT = ["payment_date", "payer", "payee", "payment_amount", "payment_method", "payment_reference", "payment_description"]
+TECHNICAL = ["text_source", "native_text_chars", "ocr_text_chars", "deterministic_json", "llm_json", "raw_json"]
+QUALITY = ["quality_score", "quality_band", "validation_status", "validation_issues", "review_priority"]
 REGISTER = OPERATIONAL + GENERAL + LEASE + PROPERTY + BANK + PAYMENT + TECHNICAL
 OWNER = ["owner_name", "owner_tax_id", "owner_address"]
 CATEGORY_FIELDS = {
@@ -91,12 +91,13 @@ FILE_LEASE = ["contrato", "arrendamento", "aditamento", "ratificacao", "ratifica
 FILE_PAYMENT = ["comprovativo", "transferencia", "transferência", "pagamento"]
 
 # --- fixed values: highlighting --------------------------------------------------------------------------------------
-KEYWORDS = (
-    "contrato arrendamento senhorio arrendatario arrendatário renda prazo predio prédio artigo seccao secção caderneta matriz freguesia concelho distrito "
-    "certidao certidão conservatoria conservatória descricao descrição inscricao inscrição averbamento IBAN NIB SWIFT BIC titular conta banco pagamento "
-    "transferencia transferência montante valor beneficiario beneficiário ordenante data proprietario proprietário propriedade imovel imóvel locador locatario "
-    "locatário inquilino beneficiaria beneficiária euros"
-).split() + ["artigo matricial", "valor patrimonial"]
+KEYWORDS = [
+    "contrato", "arrendamento", "senhorio", "arrendatario", "arrendatário", "renda", "prazo", "predio", "prédio", "artigo", "seccao", "secção",
+    "caderneta", "matriz", "freguesia", "concelho", "distrito", "certidao", "certidão", "conservatoria", "conservatória", "descricao", "descrição", "inscricao",
+    "inscrição", "averbamento", "IBAN", "NIB", "SWIFT", "BIC", "titular", "conta", "banco", "pagamento", "transferencia", "transferência",
+    "montante", "valor", "beneficiario", "beneficiário", "ordenante", "data", "proprietario", "proprietário", "propriedade", "imovel", "imóvel", "locador",
+    "locatario", "locatário", "inquilino", "beneficiaria", "beneficiária", "euros", "artigo matricial", "valor patrimonial",
+]
 KEYWORD = "(?iU)" + "|".join(sorted(KEYWORDS, key=lambda x: (-len(x), x)))
 MONTH = r"(?iU)\b(?:janeiro|fevereiro|mar[cç]o|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro|january|february|march|april|may|june|july|august|september|october|november|december)\b"
 MONEY_MARK = MONEY[: -len(CURRENCY)] + r"(?:EUR|USD|GBP|€|\$|£|euros?)"
