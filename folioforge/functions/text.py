@@ -46,25 +46,65 @@ def lines(x: ColumnOrName) -> Column:
     return F.split(text(x), LINE_END)
 
 
-def _plain_letters() -> tuple[str, str]:
-    """Letters whose compatibility decomposition is one plain character and marks, and these characters."""
-    found = []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        plain = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
-        if len(plain) == 1 and plain[0] != chr(code):
-            found.append((chr(code), plain[0]))
-    return "".join(a for a, _ in found), "".join(b for _, b in found)
+def _unmarked(code: int) -> str:
+    """What is left of a character's compatibility decomposition without its combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+
+
+def _ranges(chars: list[str]) -> str:
+    """The inside of a character class, neighbours as ranges."""
+    runs: list[list[int]] = []
+    for code in map(ord, chars):
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "".join(rf"\x{{{a:x}}}" + (rf"-\x{{{b:x}}}" if b > a else "") for a, b in runs)
+
+
+#: Hangul syllables, which fall apart by arithmetic: first and last, vowels and finals of each lead.
+_SYLLABLES, _VOWELS, _FINALS = (0xAC00, 0xD7A3), 21, 28
+#: Beyond it no character has a decomposition.
+_DECOMPOSED = 0x30000
+_CHANGED = {
+    chr(code): _unmarked(code) for code in range(0x80, _DECOMPOSED)
+    if not 0xD800 <= code <= 0xDFFF and not _SYLLABLES[0] <= code <= _SYLLABLES[1] and (unicodedata.decomposition(chr(code)) or unicodedata.combining(chr(code)))
+}
+#: Characters that become one other, those that go, and those that become several.
+_ONE = {c: to for c, to in _CHANGED.items() if len(to) == 1 and to != c}
+_GONE = [c for c, to in _CHANGED.items() if to == ""]
+_SEVERAL = {c: to for c, to in _CHANGED.items() if len(to) > 1}
+_APART = f"[{_ranges(list(_SEVERAL))}{_ranges([chr(c) for c in range(_SYLLABLES[0], _SYLLABLES[1] + 1)])}]"
+#: What is not Latin letters, common signs and quotes that become one character or stay: a short class, as most texts have no more.
+_UNCOMMON = f"[^{_ranges([chr(c) for c in [*range(0x250), *range(0x2010, 0x2020), 0x20AC] if chr(c) not in _SEVERAL])}]"
+
+
+def _falls_apart(piece: Column) -> Column:
+    """A piece whose first character, if it becomes several, is in its parts: by its place in a table or, for Hangul, by arithmetic."""
+    c = F.left(piece, F.lit(1))
+    table = lambda values: F.split(F.lit("\n".join(values)), "\n")
+    jamo = lambda start, n: table([chr(start + i) for i in range(n)])
+    number = F.ascii(c) - F.lit(_SYLLABLES[0])
+    lead = F.get(jamo(0x1100, 19), (number / (_VOWELS * _FINALS)).cast("int"))
+    vowel = F.get(jamo(0x1161, _VOWELS), (number % (_VOWELS * _FINALS) / _FINALS).cast("int"))
+    final = F.get(F.split(F.lit("\n" + "\n".join(chr(0x11A8 + i) for i in range(_FINALS - 1))), "\n"), (number % _FINALS).cast("int"))
+    place = F.instr(F.lit("".join(_SEVERAL)), c)
+    parts = F.when((c >= chr(_SYLLABLES[0])) & (c <= chr(_SYLLABLES[1])), F.concat(lead, vowel, final)).when((c != "") & (place > 0), F.get(table(list(_SEVERAL.values())), place - 1)).otherwise(c)
+    return F.concat(parts, F.substr(piece, F.lit(2)))
 
 
-_ACCENTED, _PLAIN = _plain_letters()
+def without_marks(x: ColumnOrName) -> Column:
+    """The compatibility decomposition (NFKD) without combining marks, for all of Unicode.
 
+    As marks go, their order doesn't matter, so each character stands for itself: ASCII texts stay as they are, others
+    are translated, and only texts with characters that become several are taken apart at these.
+    """
+    def plain(whole: Column) -> Column:
+        pieces = F.split(whole, f"(?={_APART})")
+        apart = F.when(F.regexp_like(whole, F.lit(_UNCOMMON)), F.array_join(F.transform(pieces, _falls_apart), "")).otherwise(whole)
+        return F.translate(apart, "".join(_ONE) + "".join(_GONE), "".join(_ONE.values()))
 
-def without_marks(x: ColumnOrName) -> Column:
-    """Latin letters without their marks, ligatures apart; beyond Latin, combining marks alone go."""
-    out = F.translate(text(x), _ACCENTED, _PLAIN)
-    for joined, apart in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ª", "a"), ("º", "o"), (" ", " ")):
-        out = F.replace(out, F.lit(joined), F.lit(apart))
-    return F.regexp_replace(out, r"[̀-ͯ]", "")
+    return F.when(F.length(text(x)) == F.octet_length(text(x)), text(x)).otherwise(plain(text(x)))
 
 
 def label(x: ColumnOrName) -> Column:

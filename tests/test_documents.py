@@ -2,6 +2,9 @@
 
 import hashlib
 import json
+import random
+import re
+import unicodedata
 from pathlib import Path
 
 import pytest
@@ -151,6 +154,39 @@ def test_support(spark, candidate, body, want):
     assert value(spark, lambda c, b: recover.supported(c, b, F.split(b, r"(?U)\W+")), candidate, body) is want
 
 
+def supported(candidate, body):
+    """The plain rule: whole, its longer words in order with little between them, or all of them but one."""
+    if not candidate or not body:
+        return False
+    words = [w for w in candidate.split() if len(w) >= 3]
+    near = len(words) > 1 and re.search(r"\b" + r"\W{0,30}".join(map(re.escape, words)) + r"\b", body)
+    return candidate in body or bool(near) or len(words) > 1 and sum(bool(re.search(rf"\b{re.escape(w)}\b", body)) for w in words) >= max(2, len(words) - 1)
+
+
+def test_support_like_patterns(spark):
+    """Random names and texts, many of them run together, apart by just about the gap or with other characters in their words."""
+    rng = random.Random(11)
+    parts = ["ANA", "ANANA", "RUI", "D'EL", "A.C+", "(LTDA)", "SÃO", "R&D-X", "LIMA", "XLIMA", "-AB-", "ANA.", "12A"]
+    rows = []
+    for i in range(4000):
+        words = [rng.choice(parts) for _ in range(rng.randrange(0, 6))]
+        gap = lambda: rng.choice(["", " ", " ", ", ", "-", "." * rng.choice([28, 29, 30, 31, 32]), " E ", "(", "X"])
+        body = "".join(w + gap() for _ in range(rng.randrange(3)) for w in ([rng.choice(parts)] + words if rng.random() < 0.7 else rng.sample(words, len(words))))
+        rows.append((i, " ".join(words), " ".join(body.split())))
+    plain = lambda v: " ".join("".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)).upper().split())
+    rows = [(i, c, plain(b)) for i, c, b in rows]
+    tell = recover.supported(F.col("c"), F.col("b"), F.split("b", r"(?U)\W+"))
+    frame = spark.createDataFrame(rows, "i int, c string, b string").repartition(4).select("i", tell.alias("y"))
+    got = dict(frame.collect())
+    want = {i: supported(plain(c), b) for i, c, b in rows}
+    assert [rows[i] for i in want if got[i] is not want[i]] == []
+    near_only = [1 for i, c, b in rows if want[i] and plain(c) not in b and sum(bool(re.search(rf"\b{re.escape(w)}\b", b)) for w in plain(c).split() if len(w) > 2) < max(2, len(plain(c).split()) - 1)]
+    assert len(near_only) > 20
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    patterns = re.findall(r"RLIKE\((?:[^()]|\([^()]*\))*?, ([^)]*)\)", plan)
+    assert all(p.startswith(("(?U", "[")) for p in patterns) and "lambda" not in "".join(patterns)
+
+
 # --- the model stage -------------------------------------------------------------------------------------------------------
 
 

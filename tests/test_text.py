@@ -37,14 +37,21 @@ def test_function(spark, f, value, want):
     assert one(spark, value, f) == want
 
 
-def test_plain_letters_like_unicode(spark):
-    """Latin letters lose their marks as compatibility decomposition has it."""
-    letters = "".join(chr(c) for c in [*range(0xC0, 0x180), *range(0x1E00, 0x1EFA)] if chr(c).isalpha() and len(unicodedata.normalize("NFKD", chr(c)).replace("́", "")) < 9)
-    for c in letters:
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(plain) == 1:
-            assert text._ACCENTED.find(c) < 0 or text._PLAIN[text._ACCENTED.index(c)] == plain
-    assert one(spark, "ÁÇÕüñ", text.without_marks) == "ACOun"
+def without_marks(value):
+    return "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c))
+
+
+def test_no_marks_in_all_of_unicode(spark):
+    """Every code point alone, in runs of its neighbours and in random company, as unicodedata has it."""
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF and (c < 0x30000 or unicodedata.category(chr(c)) != "Cn" and c < 0xE0200)]
+    rng = random.Random(5)
+    values = [chr(c) for c in codes] + ["".join(map(chr, codes[i : i + 64])) for i in range(0, len(codes), 64)]
+    values += ["".join(rng.choice(["a", "é", "e\u0301\u0327", "ﬃ", "각", "힣", "½", "𝔸", "㌀", " ", chr(rng.choice(codes))]) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, x string").repartition(4)
+    got = dict(rows.select("i", text.without_marks("x")).collect())
+    assert [(i, v) for i, v in enumerate(values) if got[i] != without_marks(v)] == []
+    assert one(spark, None, text.without_marks) == ""
+    assert one(spark, " ÁÇÕüñ  Ελλάδα Й ｶﾞ ", text.comparable) == "ACOUN ΕΛΛΑΔΑ И カ"
 
 
 def test_first_pages(spark):
