@@ -234,6 +234,17 @@ def recovery_changes(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", joined(F.col("recovery.attempted_fields")).alias("attempted"), joined(F.transform("recovery.changes", lambda c: F.concat_ws("=", c["field"], c["method"]))).alias("changes"), joined(F.col("recovery.unresolved_fields")).alias("unresolved"), "extraction_notes")
 
 
+#: Fragments of lease texts as a table of names, each with a name and a rank; two of them may stand in one text.
+_NAMES = """SELECT CASE c_custkey % 3 WHEN 0 THEN ' artigo {gap}' || cast(1 + c_custkey % 900 AS string) || ', sec{cut}o' ELSE 'mensal de ' || cast(100 + c_custkey % 800 AS string) || ',00 Eur' END AS fragment, c_name AS name, c_custkey AS rank FROM {customer}"""
+_names_sql = _NAMES.format(gap="", cut="cca", customer="customer")
+
+
+@query(f"SELECT id, coalesce(name, '') AS known_name, coalesce(fragment, '') AS known_fragment FROM {as_sql('LEASES')} AS t LEFT JOIN (SELECT id AS of, arg_min(name, rank) AS name, arg_min(fragment, rank) AS fragment FROM {as_sql('LEASES')} AS u JOIN (SELECT upper(trim(fragment)) AS fragment, min(rank) AS rank, arg_min(name, rank) AS name FROM ({_names_sql}) AS raw GROUP BY 1) AS n ON contains(upper(replace(u.text, chr(10), ' ')), n.fragment) GROUP BY 1) AS best ON best.of = t.id")
+def names_in_leases(spark: SparkSession, d: str) -> DataFrame:
+    names = spark.sql(_NAMES.format(gap=" ", cut="cçã", customer="{customer}"), customer=spark.read.parquet(f"{d}/customer.parquet"))
+    return recover.known_names(made(spark, d, "LEASES"), names, text.comparable("text")).select("id", "known_name", "known_fragment")
+
+
 # N1-N9
 _given = "CASE id % 8 WHEN 0 THEN '2021-03-07' WHEN 1 THEN '2021-03-07' WHEN 2 THEN '2021-03-07' WHEN 3 THEN '2021-03-07' WHEN 4 THEN '1971-03-07' WHEN 5 THEN '2021-03-07' WHEN 6 THEN '31/02/2021' ELSE 'March' END"
 add("iso_dates", "PAYMENTS", f"{_given} AS payment_date", lambda: dict(payment_date=rules.iso_date(F.col("payment_date"))))

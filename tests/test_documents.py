@@ -10,7 +10,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.functions import checksums, detect, fixed
+from folioforge.functions import checksums, detect, fixed, text
 from folioforge.operators import model, quality, recover, register, rules
 from folioforge.plans import intake
 from folioforge.sources import files, staging
@@ -187,6 +187,36 @@ def test_support_like_patterns(spark):
     assert all(p.startswith(("(?U", "[")) for p in patterns) and "lambda" not in "".join(patterns)
 
 
+def test_known_names_like_containment(spark, monkeypatch):
+    """A table of names against plain containment: short, long, overlapping and repeated fragments, nulls, ties; joined either way."""
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("ab é") for _ in range(n))
+    names = [(letters(rng.randrange(9)) or None, rng.choice(["x", "y", None]), rng.choice([None, *range(20)])) for _ in range(300)]
+    names += [("São ", "s", 99), (None, "n", 0), ("sao", "t", 99)]
+    texts = [None, "", " "] + [letters(rng.randrange(120)) for _ in range(150)] + ["zz SÃO zz"] * 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").withColumn("known_name", F.lit("old"))
+    plain = lambda v: " ".join("".join(c for c in unicodedata.normalize("NFKD", v or "") if not unicodedata.combining(c)).upper().split())
+    ranked = sorted((2**63 - 1 if r is None else r, plain(f), n or "") for f, n, r in names if plain(f))
+    want = {}
+    for i, x in enumerate(texts):
+        found = next(((n, f) for _, f, n in ranked if plain(x) and f in plain(x)), ("", ""))
+        want[i] = found
+    table = spark.createDataFrame(names, "fragment string, name string, rank long")
+    for few in (recover.FEW_NAMES, 10):
+        monkeypatch.setattr(recover, "FEW_NAMES", few)
+        out = recover.known_names(rows, table, text.comparable("x"))
+        assert out.columns == ["i", "x", "known_name", "known_fragment"]
+        assert {r["i"]: (r["known_name"], r["known_fragment"]) for r in out.collect()} == want
+    assert {r["known_name"] for r in recover.known_names(rows, table.limit(0), text.comparable("x")).collect()} == {""}
+
+
+def test_recovery_by_a_table_of_lessees(spark):
+    row = record(spark, document_category="lease_contract", lessor="A B", lessee="", text="a favor de Energía  Nova", file_name="x.pdf")
+    table = spark.createDataFrame([("energia nova", "ENERGIA NOVA, LDA.", 1), ("energia", "other", 2)], "fragment string, name string, rank int")
+    got = recover.recovered(row, lessees=table).first()
+    assert got["lessee"] == "ENERGIA NOVA, LDA." and got["recovery"]["changes"][0]["evidence"] == "ENERGIA NOVA"
+
+
 # --- the model stage -------------------------------------------------------------------------------------------------------
 
 
