@@ -154,6 +154,18 @@ def test_support(spark, candidate, body, want):
     assert value(spark, lambda c, b: recover.supported(c, b, F.split(b, r"(?U)\W+")), candidate, body) is want
 
 
+def test_recovery_when_asking_fails(spark):
+    """A document whose question fails keeps what native rules gave it, and says why in 500 characters; others are answered."""
+    rows = record(spark, document_category="lease_contract", lessor="", lessee="", text="Zeferino Brito assina; artigo 12", file_name="x.pdf").crossJoin(spark.createDataFrame([("bad",), ("good",)], "which string"))
+    answers = F.create_map(F.lit("lessor"), F.lit("Zeferino Brito"))
+    ask = lambda df: df.withColumns({"answers": answers, "answer_error": F.when(F.col("which") == "bad", F.repeat(F.lit("timeout "), F.lit(100)))})
+    got = {r["which"]: r for r in recover.recovered(rows, ask=ask).collect()}
+    assert got["bad"]["recovery"]["ai_error"] == ("timeout " * 100)[:500] and got["bad"]["lessor"] == "" and got["bad"]["property_article"] == "12"
+    assert got["good"]["recovery"]["ai_error"] == "" and got["good"]["lessor"] == "Zeferino Brito" and "answer_error" not in got["good"].asDict()
+    full = recover.recovered(record(spark, document_category="lease_contract", lessor="A Silva", lessee="B Lda", signed_date="2024-01-02", property_article="1", property_section="A", monthly_rent="1,00 EUR", text="x", file_name="x.pdf"), ask=lambda df: df.withColumn("answers", answers)).first()
+    assert full["recovery"]["ai_attempted"] is False and full["lessor"] == "A Silva"
+
+
 def supported(candidate, body):
     """The plain rule: whole, its longer words in order with little between them, or all of them but one."""
     if not candidate or not body:
