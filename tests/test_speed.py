@@ -8,11 +8,11 @@ from folioforge.functions import detect, fixed, text
 from folioforge.plans.fixtures import TABLES, made
 
 PATTERNS = {
-    "iban": [fixed.IBAN], "bic": [fixed.BIC], "tax_id": [fixed.TAX_ID], "money": [fixed.MONEY], "article": [fixed.ARTICLE_AND_SECTION, fixed.ARTICLE, fixed.MATRIX_ARTICLE], "section": [fixed.SECTION, fixed.ARTICLE_AND_SECTION],
+    "iban": [fixed.IBAN], "nib": [fixed.NIB_LABELLED], "bic": [fixed.BIC], "tax_id": [fixed.TAX_ID], "money": [fixed.MONEY], "article": [fixed.ARTICLE_AND_SECTION, fixed.ARTICLE, fixed.MATRIX_ARTICLE], "section": [fixed.SECTION, fixed.ARTICLE_AND_SECTION],
     "bank": [fixed.BANK_TERMS], "payment": [fixed.PAYMENT_TERMS], "property": [fixed.PROPERTY_TERMS], "lease": [fixed.LEASE_TERMS],
 } | {word: [pattern] for pattern, word in fixed.PLACES.values()}
 SAMPLES = (
-    "PT50 0002 0123 1234 5678 9015 4|BCOMPTPL|NIF 123456789|NIPC: 123456789|número fiscal 123456789|n. de contribuinte 123456789|1.234,56 EUR|12 USD|5 £|7 €|8 $|GBP 12 EUR|artigo matricial n.º 77|art. 12|matriz predial rústica 5"
+    "NIB: 000201231234567890154|PT50 0002 0123 1234 5678 9015 4|BCOMPTPL|NIF 123456789|NIPC: 123456789|número fiscal 123456789|n. de contribuinte 123456789|1.234,56 EUR|12 USD|5 £|7 €|8 $|GBP 12 EUR|artigo matricial n.º 77|art. 12|matriz predial rústica 5"
     "|matriz 9, secção B|secçao J|seccao n. J|secão K|IBAN|NIB|BIC|SWIFT|dados bancários|conta bancaria|instituição bancária|banco|comprovativo|pagamento|transferência|montante|valor pago|beneficiário|ordenante|caderneta|certidão"
     "|conservatória|registo predial|CRP|prédio|contrato de arrendamento|senhorio|arrendatário|renda|locador|locatário|freguesia de: Vila|paróquia X|concelho: Mogadouro|município Y|distrito 04"
 ).split("|")
@@ -53,3 +53,19 @@ def test_white_space_like_patterns(spark):
     df = spark.createDataFrame(rows, "x string").select("x", *[F.struct(got[n].alias("got"), want[n].alias("want")).alias(n) for n in want])
     for n in want:
         assert df.where(f"NOT {n}.got <=> {n}.want").count() == 0, n
+
+
+def test_patterns_that_look_ahead(spark):
+    """Keywords by their first letters, starts of dates, amounts and months, and the count of letters match as the plain patterns do."""
+    draw = random.Random(5)
+    odd = {"i": "ıİíI", "s": "ſS", "a": "áA", "c": "ç", "j": "J", "m": "M"}
+    change = lambda c: draw.choice(odd[c]) if c in odd and draw.random() < 0.2 else c
+    parts = [*fixed.KEYWORDS, "artigo matricia", "12/03/2024", "1.3.99", "2024-01-02", "EUR 1.234,56 EUR", "usd5 €", "7 euros", "março", "september", "janeiro", " ", " ", "x", "-", "9", "٣", "\u0301", "\U0001d7d8", "\U00010400", "\n"]
+    rows = [("".join(change(c) for _ in range(draw.randrange(1, 8)) for c in draw.choice(parts)),) for _ in range(6000)]
+    keyword = "(?iU)" + "|".join(sorted(fixed.KEYWORDS, key=lambda x: (-len(x), x)))
+    pairs = {"keyword": (fixed.KEYWORD, keyword)} | {n: (detect.starting(p, first), p) for n, p, first in (("date", fixed.DATE, r"\d"), ("money", fixed.MONEY, r"EUG\d"), ("mark", fixed.MONEY_MARK, r"EUG\d"), ("month", fixed.MONTH, "ADFJMNOS"))}
+    df = spark.createDataFrame(rows, "x string")
+    for name, (fast, plain) in pairs.items():
+        assert df.where(F.size(detect.found(F.col("x"), plain)) > 0).count() > 40, name
+        assert df.where(detect.found(F.col("x"), fast) != detect.found(F.col("x"), plain)).count() == 0, name
+    assert df.where(text.has_text("x") != (text.letters_and_digits("x") >= 20)).count() == 0 and 0 < df.where(text.has_text("x")).count() < 6000
