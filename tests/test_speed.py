@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from folioforge.functions import detect, fixed, text
+from folioforge.operators import model
 from folioforge.plans.fixtures import TABLES, made
 
 PATTERNS = {
@@ -69,3 +70,12 @@ def test_patterns_that_look_ahead(spark):
         assert df.where(F.size(detect.found(F.col("x"), plain)) > 0).count() > 40, name
         assert df.where(detect.found(F.col("x"), fast) != detect.found(F.col("x"), plain)).count() == 0, name
     assert df.where(text.has_text("x") != (text.letters_and_digits("x") >= 20)).count() == 0 and 0 < df.where(text.has_text("x")).count() < 6000
+
+
+def test_types_of_replies(spark):
+    """Values that aren't texts are told by the reply's own types, with no pattern made for each key."""
+    replies = ['{"lessor": "A", "lessee": 5, "currency": "EUR"}', '{"lessor": ["A"], "lessee": {"currency": 1}, "currency": null}', '{"currency": "x"}', '{"lessee": "a, lessor: STRING,", "lessor": true}', "[1]", "", "{}"]
+    df = spark.createDataFrame([(r,) for r in replies], "x string").withColumn("n", model.normalised(F.col("x"), F.lit("lease_contract")))
+    assert [r["wrong"] for r in df.select(F.col("n.invalid_value_types").alias("wrong")).collect()] == [["lessee"], ["currency", "lessee", "lessor"], [], ["lessor"], [], [], []]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "STRING(?:" not in plan
