@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from string import ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import account, text
+from .text import account, let, text
+
+#: Digits that a step of the remainder takes: with two of the remainder before them, they fit a long.
+DIGITS = 9
 
 
 def remainder_97(digits: Column) -> Column:
     """A number of any length, given as digits, modulo 97."""
-    return F.aggregate(F.filter(F.split(digits, ""), lambda d: d != ""), F.lit(0), lambda r, d: (r * 10 + d.cast("int")) % 97)
+    starts = lambda d: F.sequence(F.lit(1), F.greatest(F.length(d), F.lit(1)), F.lit(DIGITS))
+    return let(digits, lambda d: F.aggregate(starts(d), F.lit(0).cast("long"), lambda r, i: F.concat(r.cast("string"), F.substr(d, i, F.lit(DIGITS))).cast("long") % 97))
 
 
 def portuguese_iban(x: Column) -> Column:
-    value = account(x)
-    moved = F.concat(F.substr(value, F.lit(5)), F.lit("252950"))
-    return F.when(F.regexp_like(value, F.lit(r"^PT50[0-9]{21}$")), remainder_97(moved) == 1).otherwise(False)
+    moved = lambda value: F.concat(F.substr(value, F.lit(5)), F.lit("252950"))
+    return let(account(x), lambda value: F.when(F.regexp_like(value, F.lit(r"^PT50[0-9]{21}$")), remainder_97(moved(value)) == 1).otherwise(False))
 
 
 def portuguese_nib(x: Column) -> Column:
@@ -24,16 +29,20 @@ def portuguese_nib(x: Column) -> Column:
 
 
 def portuguese_tax_id(x: Column) -> Column:
-    value = text(x)
-    digit = lambda i: F.substr(value, i + F.lit(1), F.lit(1)).cast("int")
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0), lambda s, i: s + digit(i) * (9 - i))
-    check = 11 - total % 11
-    return F.when(F.regexp_like(value, F.lit(r"^[0-9]{9}$")), F.when(check >= 10, 0).otherwise(check) == digit(F.lit(8))).otherwise(False)
+    def holds(value: Column) -> Column:
+        digit = lambda i: F.substr(value, F.lit(i + 1), F.lit(1)).cast("int")
+        total = digit(0) * 9
+        for i in range(1, 8):
+            total = total + digit(i) * (9 - i)
+        check = (11 - total % 11) % 11 % 10  # 10 and 11 are 0
+        return F.when(F.regexp_like(value, F.lit(r"^[0-9]{9}$")), check == digit(8)).otherwise(False)
+
+    return let(text(x), holds)
 
 
 def any_iban(compact: Column) -> Column:
     """Whether the check digits hold; the value is upper-case letters and digits."""
-    moved = F.concat(F.substr(compact, F.lit(5)), F.substr(compact, F.lit(1), F.lit(4)))
-    as_number = lambda c: F.when(F.regexp_like(c, F.lit("[0-9]")), c).otherwise((F.ascii(c) - 55).cast("string"))
-    digits = F.array_join(F.transform(F.filter(F.split(moved, ""), lambda c: c != ""), as_number), "")
-    return remainder_97(digits) == 1
+    digits = F.concat(F.substr(compact, F.lit(5)), F.substr(compact, F.lit(1), F.lit(4)))
+    for letter in ascii_uppercase:
+        digits = F.replace(digits, F.lit(letter), F.lit(str(ord(letter) - 55)))
+    return F.when(F.regexp_like(compact, F.lit("[^A-Z0-9]")), False).otherwise(remainder_97(digits) == 1)

@@ -126,7 +126,8 @@ def comparable(x: ColumnOrName) -> Column:
 
 
 def alphanumeric(x: ColumnOrName) -> Column:
-    return F.regexp_replace(comparable(x), "[^A-Z0-9]", "")
+    """The letters and digits of ``comparable``, whose white space needs no folding as it goes."""
+    return F.regexp_replace(F.upper(without_marks(x)), "[^A-Z0-9]+", "")
 
 
 def account(x: ColumnOrName) -> Column:

@@ -65,15 +65,15 @@ def confidence(get: Getter, **_) -> Column:
 
 
 def iban(get: Getter, **_) -> Column:
-    value = alphanumeric(get("iban"))
-    shaped = F.regexp_like(value, F.lit("^[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}$"))
-    return codes(code_if((value != "") & ~shaped, "invalid_iban_format"), code_if(shaped & ~F.when(shaped, checksums.any_iban(value)).otherwise(True), "invalid_iban_checksum"))
+    shaped = lambda value: F.regexp_like(value, F.lit("^[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}$"))
+    wrong = lambda value: F.when(~shaped(value), F.when(value != "", "invalid_iban_format")).when(~checksums.any_iban(value), "invalid_iban_checksum")
+    return codes(let(alphanumeric(get("iban")), wrong))
 
 
 def owner_tax_id(get: Getter, **_) -> Column:
-    found = F.regexp_extract_all(F.regexp_replace(get("owner_tax_id"), r"(?U)[.\s-]", ""), F.lit(r"(?<![0-9])[0-9]{9}(?![0-9])"), F.lit(0))
-    given, one = get("owner_tax_id") != "", F.size(found) == 1
-    return codes(code_if(given & ~one, "invalid_or_multiple_owner_tax_id"), code_if(given & one & ~checksums.portuguese_tax_id(first_of(found)), "invalid_owner_tax_id_checksum"))
+    found = lambda given: F.regexp_extract_all(F.regexp_replace(given, r"(?U)[.\s-]", ""), F.lit(r"(?<![0-9])[0-9]{9}(?![0-9])"), F.lit(0))
+    wrong = lambda ids: F.when(F.size(ids) != 1, "invalid_or_multiple_owner_tax_id").when(~checksums.portuguese_tax_id(first_of(ids)), "invalid_owner_tax_id_checksum")
+    return codes(let(get("owner_tax_id"), lambda given: F.when(given != "", let(found(given), wrong))))
 
 
 def _lease(get: Getter, field: str) -> Column:

@@ -1,11 +1,14 @@
 """What keeps the intake queries fast over large tables: rows on all cores, and short tests before patterns that miss nothing."""
 
 import random
+import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
-from folioforge.functions import detect, fixed, text
-from folioforge.operators import model
+from folioforge.functions import checksums, detect, fixed, text
+from folioforge.operators import model, rules
+from folioforge.plans import queries
 from folioforge.plans.fixtures import TABLES, made
 
 PATTERNS = {
@@ -79,3 +82,47 @@ def test_types_of_replies(spark):
     assert [r["wrong"] for r in df.select(F.col("n.invalid_value_types").alias("wrong")).collect()] == [["lessee"], ["currency", "lessee", "lessor"], [], ["lessor"], [], [], []]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "STRING(?:" not in plan
+
+
+def test_account_rules_work_values_out_once(spark, tmp_path):
+    """A tax number is looked for once, and remainders take several digits a step; the codes are those of plain Python."""
+    draw = random.Random(6)
+    digits = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    def iban():
+        body = draw.choice([lambda: digits(21), lambda: digits(13), lambda: digits(30), lambda: "".join(draw.choice("ABWZ059") for _ in range(draw.randrange(10, 31)))])()
+        land = draw.choice(["PT", "GB", "ZZ", "AA"])
+        check = 98 - int("".join(str(int(c, 36)) for c in body + land + "00")) % 97
+        whole = f"{land}{check if draw.random() < 0.6 else draw.randrange(100):02}{body}"
+        return draw.choice([whole, whole, whole.lower(), " ".join(whole[i : i + 4] for i in range(0, len(whole), 4)), whole.replace("A", "Á") + "\xa0", whole[:12], whole + "0" * 12, digits(25)])
+    def number():
+        first = digits(8)
+        check = 11 - sum(int(c) * (9 - i) for i, c in enumerate(first)) % 11
+        whole = first + (str(check % 11 % 10) if draw.random() < 0.6 else digits(1))
+        return draw.choice([whole, whole, f"{whole[:3]} {whole[3:6]}.{whole[6:]}", whole + "0", whole[:8], f"{whole}/{whole}", "n. " + whole + "x", "٣" + whole])
+    def codes(iban, number):
+        plain = re.sub("[^A-Z0-9]", "", "".join(c for c in unicodedata.normalize("NFKD", iban) if not unicodedata.combining(c)).upper())
+        shaped = re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}", plain)
+        sound = shaped and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+        ids = re.findall("(?<![0-9])[0-9]{9}(?![0-9])", re.sub(r"[.\s-]", "", number))
+        right = len(ids) == 1 and (11 - sum(int(c) * (9 - i) for i, c in enumerate(ids[0][:8])) % 11) % 11 % 10 == int(ids[0][8])
+        one = [] if not plain or sound else ["invalid_iban_checksum" if shaped else "invalid_iban_format"]
+        return one, [] if not number.strip() or right else ["invalid_owner_tax_id_checksum" if len(ids) == 1 else "invalid_or_multiple_owner_tax_id"]
+    rows = [(iban(), number()) for _ in range(3000)] + [("", ""), (" \xa0", "\t"), ("-", "-")]
+    df = spark.createDataFrame(rows, "iban string, owner_tax_id string").coalesce(1)
+    got = df.select("iban", "owner_tax_id", rules.iban(rules.getter(df)).alias("a"), rules.owner_tax_id(rules.getter(df)).alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in got] == [codes(*row) for row in rows]
+    assert len({tuple(r["a"]) for r in got}) == len({tuple(r["b"]) for r in got}) == 3
+    spark.range(9).selectExpr("id AS c_custkey", "'n' AS c_name").write.parquet(str(tmp_path / "customer.parquet"))
+    plan = queries.account_rules(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == plan.count("aggregate(") == 1
+
+
+def test_checksums_of_other_shapes(spark):
+    """Remainders of any length; false for what isn't upper-case letters and digits."""
+    draw = random.Random(7)
+    numbers = ["", "0", "97", "000000000098", *["".join(draw.choice("0123456789") for _ in range(n)) for n in range(1, 80)]]
+    df = spark.createDataFrame([(n,) for n in numbers], "x string").coalesce(1)
+    assert [r["r"] for r in df.select(checksums.remainder_97(F.col("x")).alias("r")).collect()] == [int(n or 0) % 97 for n in numbers]
+    odd = ["GB82WEST12345698765432", "gb82west12345698765432", "GB82 WEST12345698765432", "GB82-", "é", ""]
+    df = spark.createDataFrame([(o,) for o in odd], "x string").coalesce(1)
+    assert [r["r"] for r in df.select(checksums.any_iban(F.col("x")).alias("r")).collect()] == [True, False, False, False, False, False]
