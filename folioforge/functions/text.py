@@ -14,6 +14,8 @@ LINE_END, ODD_END = r"\R|[\x1c-\x1e]", r"[\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
 #: White space as Unicode knows it, and runs of it that aren't one space already.
 WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 RUNS = r"(?U)[\s&&[^ ]]\s*| \s+"
+#: Those of them that are no controls and end no line.
+SPACES = "".join(c for c in WHITE if unicodedata.category(c) == "Zs")
 
 
 def col(x: ColumnOrName) -> Column:
@@ -142,6 +144,11 @@ def document(x: ColumnOrName) -> Column:
     return strip(F.array_join(blocks, "\n\n"))
 
 
+def by_line(x: ColumnOrName) -> Column:
+    """Every LF line, blank ones too, with tabs, form feeds, CRs and spaces as one space and no space of Unicode's (Zs) at its ends."""
+    return F.array_join(F.transform(F.split(text(x), "\n"), lambda s: F.btrim(F.regexp_replace(s, "[\t\f\r][\t\f\r ]*| [\t\f\r ]+", " "), F.lit(SPACES))), "\n")
+
+
 def searchable(x: ColumnOrName) -> Column:
     """What detectors look at: LF line ends, plain spaces, no runs of spaces."""
     ends = lambda t: F.when(F.contains(t, F.lit("\r")), F.regexp_replace(t, "\r\n?", "\n")).otherwise(t)
