@@ -43,6 +43,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Tasks for each core among which rows are dealt.
+TASKS = 4
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores, where work on a row costs more than to send it: a file has as few tasks as it has row groups. They go by their places, as keys may be missing or repeated."""
+    place = free_name(df, "place")
+    tasks = max(partitions(df.sparkSession), TASKS * df.sparkSession.sparkContext.defaultParallelism)
+    return df.withColumn(place, F.monotonically_increasing_id()).repartition(tasks, place).drop(place)
+
+
 def folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: the session's ``spark.checkpoint.dir``; one is made only in local mode, where none is set."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)

@@ -302,6 +302,17 @@ def test_license_scan_of_many_matches(spark):
     assert long["n_base"] == 20_000 and time.monotonic() - began < 60
 
 
+def test_license_scan_deals_rows_and_names_what_words_have(spark, tmp_path):
+    """A table in one row group is no single task, whatever its keys; patterns have no negated classes of ranges, which are slow, and words are the same."""
+    texts = [(None if i % 3 else 7, x) for i, x in enumerate(["a-b Mit\u00e9 LICENSE_x", "\x7f\x80 a\U0010ffffb {0}", "", " - ", "MIT License"] * 200)]
+    frame(spark, texts).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = license_scan.scan(spark.read.parquet(str(tmp_path / "documents.parquet")).coalesce(1))
+    assert rows.groupBy(F.spark_partition_id()).count().count() >= spark.sparkContext.defaultParallelism
+    plain = [len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)) for _, t in texts]
+    assert sorted(r["n_words"] for r in rows.collect()) == sorted(plain) and max(plain) == 5
+    assert not any("[^\\x" in r.regex for r in [*license_scan.SIGNATURES, *license_scan._BASE_RULES])
+
+
 def test_license_stems_cover_the_rules():
     """Whatever a rule matches at the least holds its keyword and a stem."""
     for text in LICENSED:
