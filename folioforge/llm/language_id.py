@@ -183,10 +183,12 @@ def attached(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     return docs.withColumn(free_name(docs, "judged"), judged(F.col(text).cast("string")))
 
 
-def keep_identified(docs: DataFrame, least: float, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """The rows whose text has a letter and of which some learned language makes up ``least``; all with a letter if none was learned."""
-    held = fold(F.col(key), 3, 1)
-    model = learn(docs.where(F.col(key).isNotNull() & ~held), text, lang)
+def keep_identified(docs: DataFrame, least: float, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows whose text has a letter and of which some learned language makes up ``least``; all with a letter if none was learned.
+
+    All rows with a language are learned from: none is held out, as nothing is measured here.
+    """
+    model = learn(docs, text, lang)
     if not model[0]:
         return docs.where(F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)))
     out = attached(docs, model, text)

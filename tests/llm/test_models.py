@@ -112,6 +112,20 @@ def test_documents_of_many_languages(spark):
     assert kept == {i for i, _ in mixed}
 
 
+def test_language_stage_learns_from_all_rows(spark):
+    """The pipeline's stage holds no labelled row out: a language whose rows are in the held-out fold, or have no key, is learned too."""
+    seen = []
+    held = [k for k in range(600) if zlib.crc32(str(k).encode()) % 3 == 1][:120]
+    rows = [(k, "zzz qqq xxx jjj " * 5, "zz") for k in held] + [(None, "www kkk vvv ppp " * 5, "ww")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learn, language_id.learn = language_id.learn, lambda *a: seen.append(learn(*a)) or seen[-1]
+    try:
+        kept = language_id.keep_identified(docs, 0.2)
+    finally:
+        language_id.learn = learn
+    assert seen[0][0] == ["ww", "zz"] and kept.count() == len(rows)
+
+
 def test_language_edges(spark):
     assert language_id.identify(empty(spark)).count() == 0
     unlabelled = frame(spark, [(1, "some text"), (2, None), (None, "x")], lang=None)
