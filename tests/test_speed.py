@@ -126,3 +126,19 @@ def test_checksums_of_other_shapes(spark):
     odd = ["GB82WEST12345698765432", "gb82west12345698765432", "GB82 WEST12345698765432", "GB82-", "é", ""]
     df = spark.createDataFrame([(o,) for o in odd], "x string").coalesce(1)
     assert [r["r"] for r in df.select(checksums.any_iban(F.col("x")).alias("r")).collect()] == [True, False, False, False, False, False]
+
+
+def test_replies_are_read_once(spark):
+    """The second prompt reads the first reply once, and a record's values are had without the types of its reply; they are those of ``normalised``."""
+    replies = ['{"document_category": " Identification ", "lessor": 5}', 'x {"fields": {"lessee": "C"}} y', "none", "{}", None, '{"document_category": "heard of", "lessors": ["A"]}']
+    signals = F.struct(*[F.lit("lease_contract").alias(n) if n == "suggested_category" else F.lit("s").alias(n) for n in ("suggested_category", "dates")])
+    df = spark.createDataFrame([(r,) for r in replies], "x string")
+    both = df.select(model.values(F.col("x"), F.lit("lease_contract")).alias("a"), model.normalised(F.col("x"), F.lit("lease_contract"))["values"].alias("b")).collect()
+    assert [r["a"] for r in both] == [r["b"] for r in both] and both[1]["a"]["lessee"] == "C" and both[0]["a"]["lessor"] == "5"
+    shown = spark.createDataFrame([("f", "t" * 300)], "file_name string, text string").withColumns({"sample": F.col("text"), "context": F.col("text"), "signals": signals})
+    asked = model.asked(shown, model.OfflineModel())
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    calls = [part.split("\n+-")[0] for part in plan.split("ArrowEvalPython")[1:]]
+    assert len(calls) == 2 and max(c.count("from_json(") for c in calls) <= 2
+    assert "schema_of_variant" not in model.merged(asked)._jdf.queryExecution().optimizedPlan().toString().lower().replace("schemaofvariant", "schema_of_variant")
+    assert asked.first()["reply_2"].startswith('{"signed_date": ""')
